@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, quality, secrets, simhash, topk, toxicity
+from lodestone.llm import decontaminate, licenses, quality, secrets, simhash, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -28,9 +28,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_quality, op6_exact_topk, op7_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_quality, op6_exact_topk, op7_decontamination, op8_licenses, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL}
