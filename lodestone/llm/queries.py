@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, quality, secrets, simhash, topk, toxicity
+from lodestone.llm import decontaminate, licenses, packing, quality, secrets, simhash, store, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -16,10 +16,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.stored_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -36,5 +44,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_quality, op6_exact_topk, op7_decontamination, op8_licenses, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_quality, op5_token_store, op6_exact_topk, op7_decontamination, op8_licenses, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL}
