@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, packing, quality, secrets, simhash, store, topk, toxicity
+import corpus_pipeline
+
+from lodestone.llm import decontaminate, licenses, packing, pii, quality, secrets, simhash, store, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -40,9 +42,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_quality, op5_token_store, op6_exact_topk, op7_decontamination, op8_licenses, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_quality, op5_token_store, op6_exact_topk, op7_decontamination, op8_licenses, op9_personal_data, op10_simhash)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL}
