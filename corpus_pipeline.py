@@ -33,9 +33,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; n_chars follows."""
-    clean = secrets.redact_secrets(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    """Replace every secret by a mark; n_chars follows where a text has changed."""
+    clean = secrets.redact_secrets(docs.withColumn("_length", F.length("text")))
+    n_chars = F.when(F.length("text") != F.col("_length"), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).drop("_length")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
