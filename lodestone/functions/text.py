@@ -72,7 +72,7 @@ def json_map(text: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """12.3% — null when the whole is 0."""
-    return F.format_string("%.1f%%", F.try_divide(part * F.lit(100.0), whole))
+    return F.when(whole != 0, F.format_string("%.1f%%", F.try_divide(part * F.lit(100.0), whole)))
 
 
 def file_hash(content: Column) -> Column:
