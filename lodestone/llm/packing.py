@@ -2,9 +2,10 @@
 
 Pieces shorter than a sequence are dealt by a hash into groups of a bounded number of rows, and every
 group is packed by best-fit decreasing. Dual-feasible functions of the lengths bound each group's number
-of bins from below. A group that meets its bound is certified and final; the other groups hand over the
-rows of their unfilled bins, four groups (then four of these) exchange them and run best-fit decreasing
-again, and the result stands where it has fewer bins than before.
+of bins from below. A group that meets its bound is certified; it hands over no more than its emptiest bin, if that
+is half empty. The other groups hand over the rows of all their unfilled bins. Four groups (then four of
+these) exchange what was handed over and run best-fit decreasing again, and the result stands where it has
+fewer bins than before.
 
 Defined results: a null or empty text is the end id alone; rows are told apart by a row number, so null
 and repeated doc_ids and repeated rows are packed each; other columns are ignored; empty tables give no
@@ -26,8 +27,9 @@ from lodestone.llm.common import stage
 from lodestone.llm.tokens import default_vocabulary, encoder, slices
 
 CAPACITY, END = 2048, 0
-#: Rows of a group on average; groups come in sixteens, for two exchanges by fours.
-GROUP_ROWS, FOURS = 4096, 2
+#: Rows of a group on average, and exchanges between four groups each. More rows than a group has are never in
+#: a task at first, nor more than a group's 16-fold, of what stays open, at last.
+GROUP_ROWS, FOURS = 50_000, 2
 
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -116,9 +118,9 @@ def _packer(capacity: int):
             pdf["bin"] = pdf["row"].groupby(bins).transform("min")
         else:
             n = had
-        filled = pdf.groupby("bin")["length"].transform("sum") == capacity
+        fill = pdf["length"].groupby(pdf["bin"]).transform("sum")
         pdf["gap"] = n - bound
-        pdf["open"] = (n > bound) & ~filled
+        pdf["open"] = fill < capacity if n > bound else (fill == fill.min()) & (2 * fill <= capacity)
         return pdf
 
     return pack
@@ -131,7 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     pieces = stage(cut, "packing-pieces")
     whole = pieces.where(F.col("length") == capacity).select(*pieces.columns, F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     part = pieces.where(F.col("length") < capacity)
-    groups = 4**FOURS * max(1, -(-part.count() // (GROUP_ROWS * 4**FOURS)))
+    groups = max(1, -(-part.count() // GROUP_ROWS))
     todo = part.select(*pieces.columns, F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"), F.lit(True).alias("open"), F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
     done = whole
     for exchange in range(FOURS + 1):
