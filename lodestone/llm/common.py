@@ -46,3 +46,15 @@ def split_words(text: Column, separators: str) -> Column:
     head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
     tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     return F.slice(parts, head + 1, F.size(parts) - head - tail)
+
+
+#: Lists of keys of up to so many rows (16 bytes each) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """docs without the rows whose (doc_id, text_hash) is in drop; text_hash is xxhash64 of the text."""
+    keys = stage(drop.select(F.col("doc_id").cast("long").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "drop-keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(keys["_hash"])
+    return docs.join(keys, same, "left_anti")

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, split_words, stage
+from lodestone.llm.common import ascii_lower, split_words, stage, without
 
 WINDOW, SHINGLE = 10, 3
 SEPARATORS = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
@@ -124,9 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of the benchmark."""
-    hits = window_hits(docs, items)[1].select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keep = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["_hash"]), "left_anti")
-    return keep
+    return without(docs, window_hits(docs, items)[1])
 
 
 # The same contract in DuckDB: every window against every document position, without prefixes.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage
+from lodestone.llm.common import stage, without
 from lodestone.llm.toxicity import fold
 
 FEATURES, RIDGE, SCALE = 160, 1e-3, 3.0
@@ -152,5 +152,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    bad = quality_scores(docs, labels).where(F.col("predicted") == 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_hash"]), "left_anti")
+    return without(docs, quality_scores(docs, labels).where(F.col("predicted") == 0))

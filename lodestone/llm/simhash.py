@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ascii_lower, split_words, stage
+from lodestone.llm.common import ascii_lower, split_words, stage, without
 from lodestone.llm.components import component_labels
 
 SHINGLE, BITS, RADIUS = 3, 64, 2
@@ -98,9 +98,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id (a null one counts as largest), and
     among rows that share it, that of the smallest text hash."""
     fps, of_fp = _components(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = fps.join(of_fp, "fp").groupBy("root").agg(F.min(order).alias("first"))
-    keep = stage(first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "simhash-keep")
-    mine = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = mine.join(keep, mine["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (mine["_text_hash"] == keep["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    key = ["doc_id", "text_hash"]
+    texts = stage(fps.join(of_fp, "fp").groupBy(*key, "root").agg(F.count("*").alias("rows")), "simhash-texts")
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first"))
+    others = texts.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    kept = without(docs, others)
+    if texts.where("rows > 1").isEmpty():  # no row is repeated
+        return kept
+    return kept.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

@@ -60,6 +60,7 @@ def test_against_brute_force(spark):
 
 
 def test_chains_and_hubs_of_links(spark):
+    # a chain in order is the longest way for pointers
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5001)]
     got = {}
     for r in component_labels(spark.createDataFrame(links, "a long, b long")).collect():
