@@ -42,9 +42,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_
         enc = encoder(vocabulary)
         for batch in slices(batches):
             rows: list[list] = [[], [], [], [], [], []]
-            encoded = enc.encode_many([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoded):
-                ids = np.append(np.frombuffer(data, dtype=enc.kind).astype("<u4"), np.uint32(END))
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), enc.encode_many(batch.column("text"))):
+                ids = np.append(found, found.dtype.type(END)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
                     start = end - capacity if piece else 0

@@ -78,22 +78,24 @@ def chunks_and_recipes(docs: DataFrame, vocabulary: str) -> DataFrame:
         enc, sent = encoder(vocabulary), set()
         end = np.asarray([END], dtype=enc.kind)
         for batch in slices(batches):
-            rows = []
-            encoded = enc.encode_many([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, row, data in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), encoded):
-                ids = np.append(np.frombuffer(data, dtype=enc.kind), end)
-                names, at = [], 0
+            names, data, recipes = [], [], []
+            for doc_id, row, found in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), enc.encode_many(batch.column("text"))):
+                ids = np.append(found, end)
+                whole, mine, at, width = ids.tobytes(), [], 0, ids.itemsize
                 for stop in cut_points(ids):
-                    part = ids[at:stop].tobytes()
-                    names.append(digest(part))
+                    part = whole[at * width : stop * width]
+                    mine.append(digest(part))
                     at = stop
-                    if names[-1] not in sent:
+                    if mine[-1] not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
-                        sent.add(names[-1])
-                        rows.append({"kind": "chunk", "name": names[-1], "data": part})
-                rows.append({"kind": "recipe", "name": b"r" + int(row).to_bytes(8, "big"), "doc_id": doc_id, "row": row, "n_tokens": len(ids), "chunks": names, "root": merkle_root(names)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
+                        sent.add(mine[-1])
+                        names.append(mine[-1])
+                        data.append(part)
+                recipes.append((b"r" + int(row).to_bytes(8, "big"), doc_id, row, len(ids), mine, merkle_root(mine)))
+            n, m = len(names), len(recipes)
+            columns = [["chunk"] * n + ["recipe"] * m, names + [r[0] for r in recipes], data + [None] * m, *([None] * n + [r[i] for r in recipes] for i in range(1, 6))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
     own = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string"))
     return own.mapInArrow(cut, "kind string, name binary, data binary, doc_id long, row long, n_tokens long, chunks array<binary>, root binary")
@@ -186,17 +188,18 @@ def read_digests(spark: SparkSession, path: str, vocabulary: str | None = None)
     recipes = read_recipes(spark, path)
     refs = recipes.select("row", F.posexplode("chunks").alias("seq", "name"))
     met = refs.join(verified_chunks(spark, path, vocabulary or default_vocabulary()), "name", "left")
-    parts = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "name", "crc", "n"))).alias("parts"))
-    whole = recipes.select("doc_id", "row", "start", "n_tokens", "root").join(parts, "row")
+    parts = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "n"))).alias("p"))
+    parts = parts.select("row", F.transform("p", lambda x: x["crc"]).alias("crcs"), F.transform("p", lambda x: x["n"]).alias("sizes"))
+    whole = recipes.select("doc_id", "row", "start", "n_tokens", "chunks", "root").join(parts, "row")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc32 = Crc32()
-        for batch in slices(batches, 2048):
+        for batch in batches:
             out = []
-            for doc_id, parts, root, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "parts", "root", "n_tokens"))):
-                if any(p["crc"] is None for p in parts) or merkle_root([p["name"] for p in parts]) != root or sum(p["n"] for p in parts) != n:
+            for doc_id, names, root, n, crcs, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "root", "n_tokens", "crcs", "sizes"))):
+                if None in crcs or len(crcs) != len(names) or merkle_root(names) != root or sum(sizes) != n:
                     raise ValueError(f"document {doc_id} can't be rebuilt from the store")
-                out.append(crc32.joined([(p["crc"], 4 * p["n"]) for p in parts]))
+                out.append(crc32.joined([(c, 4 * k) for c, k in zip(crcs, sizes)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return whole.mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -216,7 +219,7 @@ def read_ids(spark: SparkSession, path: str, vocabulary: str | None = None) -> D
     parts = refs.join(read_chunks(spark, path), "name").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in batches:
             ids = [np.frombuffer(b"".join(p["data"] for p in parts), dtype=kind).astype(np.int32) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "ids"])
 

@@ -1,22 +1,28 @@
-"""Token ids by the tokenizers library, with a bounded memory of pieces already encoded.
+"""Token ids by the tokenizers library, each distinct piece of a batch encoded once.
 
 A byte-level BPE splits text into pre-tokens first and never merges across them. A cut before a space, or
 before a line feed, that is followed by something else than white space always lies between pre-tokens, so
-a text may be encoded piece by piece; most pieces recur, and each worker remembers theirs. A text with any
-other white space joins the pieces around it before they are encoded.
+a text may be encoded piece by piece. A batch's pieces are made and counted by Arrow, its distinct ones go
+to the library, and the ids of all texts are gathered by NumPy. A text with any other white space joins the
+pieces around it before they are encoded. A
+worker remembers a bounded number of words from one batch to the next.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers, and the longest of them; when full, it starts anew.
-REMEMBERED, LONGEST = 600_000, 48
-MARKS = ".,;:!?"
+#: A batch is cut to so many characters, or to one text where that is longer.
+BATCH_CHARS = 8_000_000
+#: Words that a worker remembers with their ids (the first it sees, so the common ones), and the longest of them.
+REMEMBERED, LONGEST = 400_000, 32
+MARKS = string.punctuation  # these follow letters as pre-tokens of their own
 
 
 def default_vocabulary() -> str:
@@ -43,66 +49,105 @@ class Encoder:
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         shown = self.whole.encode(" ", add_special_tokens=False).tokens[0]  # how the vocabulary writes a space
         self.spaced = np.array([(self.whole.id_to_token(i) or "").startswith(shown) for i in range(size)])
-        self.pieces: dict[str, bytes] = {}
-
-    def _text(self, text: str) -> bytes:
-        return np.asarray(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind).tobytes() if text else b""
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode pieces. Plain words go in one text, whose ids fall apart again where a token begins with a space."""
-        words: dict[str, list[str]] = {}
-        for piece in missing:
-            word = piece.rstrip(MARKS)
-            if word.isalpha():
-                words.setdefault(word, []).append(piece)
-            else:
-                self.pieces[piece] = self._text(piece if piece[0] == "\n" else " " + piece)
-        if words:
-            ids = np.asarray(self.whole.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
-            ends = np.append(np.flatnonzero(self.spaced[ids])[1:], len(ids)) * np.dtype(self.kind).itemsize
-            data, at = ids.astype(self.kind).tobytes(), 0
-            for (word, pieces), end in zip(words.items(), ends.tolist(), strict=True):
-                for piece in pieces:
-                    self.pieces[piece] = data[at:end] if piece == word else data[at:end] + self._marks(piece[len(word) :])
-                at = end
-
-    def _marks(self, marks: str) -> bytes:
-        found = self.pieces.get("\n" + marks + "\n")  # a key that no piece has
-        if found is None:
-            found = self.pieces["\n" + marks + "\n"] = self._text(marks)
-        return found
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.kind."""
-        cut = [text.replace("\n", " \n").split(" ") for text in texts]
-        known = self.pieces
-        wanted = {p for pieces in cut for p in pieces[1:]}
-        if len(known) + len(wanted) > REMEMBERED:
-            known.clear()
-        missing = wanted - known.keys()
-        odd = {p for p in missing if not _regular(p)}
-        self._learn(missing - odd)
-        out = []
-        for pieces in cut:
-            rest = pieces[1:]
-            if odd and not odd.isdisjoint(rest):
-                out.append(self._irregular(pieces[0], rest))
-            else:
-                out.append(self._text(pieces[0]) + b"".join(map(known.__getitem__, rest)))
-        for piece in [p for p in missing if len(p) > LONGEST]:
-            known.pop(piece, None)
+        self.line = self.whole.encode("\n", add_special_tokens=False).ids[0]
+        self.remembered: dict[str, bytes] = {}
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, each after a space or a line feed, and how many each word has. They
+        are encoded in one text, whose ids fall apart again at the tokens that begin with a space, or are the
+        line feed."""
+        if not words:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        ids = np.asarray(self.whole.encode_batch_fast([before + before.join(words)], add_special_tokens=False)[0].ids)
+        sizes = np.diff(np.append(np.flatnonzero(self.spaced[ids] if before == " " else ids == self.line), len(ids)))
+        if len(sizes) != len(words):
+            raise ValueError("the vocabulary doesn't cut before every space")
+        return ids.astype(self.kind), sizes
+
+    def _known_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_words() after a space, but for words that are remembered."""
+        known, width = self.remembered, np.dtype(self.kind).itemsize
+        found = list(map(known.get, words))
+        fresh = [i for i, data in enumerate(found) if data is None]
+        ids, sizes = self._words([words[i] for i in fresh], " ")
+        data, ends = ids.tobytes(), (sizes.cumsum() * width).tolist()
+        for i, a, b in zip(fresh, [0, *ends], ends):
+            found[i] = data[a:b]
+        for i in fresh[: max(0, REMEMBERED - len(known))]:
+            if len(words[i]) <= LONGEST:
+                known[words[i]] = found[i]
+        return np.frombuffer(b"".join(found), dtype=self.kind), np.fromiter(map(len, found), np.int64, len(found)) // width
+
+    def _texts_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._texts(texts)
+        return np.frombuffer(b"".join(found), dtype=self.kind), np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as integers of self.kind; a null has none."""
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " \n"), " ")
+        ends = np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+        flat = cut.flatten()
+        coded = flat.dictionary_encode()
+        pieces, codes = coded.dictionary, np.array(coded.indices)
+        firsts = flat.take(pa.array(ends[:-1])).dictionary_encode()  # these follow nothing
+
+        # a piece is a word of letters with marks after it, the same after a line feed, or something else
+        bare = pc.utf8_rtrim(pieces, characters=MARKS)
+        plain = np.asarray(pc.utf8_is_alpha(bare))
+        words = bare.filter(pa.array(plain)).dictionary_encode()
+        other = np.flatnonzero(~plain)
+        others = pieces.take(pa.array(other)).to_pylist()
+        regular = np.fromiter(map(_regular, others), bool, len(others))
+        lines = {p: p[1:] for p, ok in zip(others, regular.tolist()) if ok and p[0] == "\n" and p[1:].isalpha()}
+        rest = [p for p, ok in zip(others, regular.tolist()) if ok and p not in lines]
+        marked = np.flatnonzero(plain & (np.asarray(pc.binary_length(bare)) < np.asarray(pc.binary_length(pieces))))
+        after = [p[len(w) :] for p, w in zip(pieces.take(pa.array(marked)).to_pylist(), bare.take(pa.array(marked)).to_pylist())]
+        marks = {m: i for i, m in enumerate(dict.fromkeys(after))}
+
+        # one table of ids: words, lines, the rest, first pieces, marks, and nothing
+        parts = [self._known_words(words.dictionary.to_pylist()), self._words(list(lines.values()), "\n"), self._texts_flat([p if p[0] == "\n" else " " + p for p in rest]), self._texts_flat(firsts.dictionary.to_pylist()), self._texts_flat(list(marks))]
+        stock, size = np.concatenate([ids for ids, _ in parts]), np.append(np.concatenate([n for _, n in parts]), 0)
+        base = np.cumsum([0, *(len(n) for _, n in parts)])
+        begin = np.append(0, size.cumsum())[:-1]
+        nothing = len(size) - 1
+        entry, mark = np.full(len(pieces), nothing), np.full(len(pieces), nothing)
+        entry[plain] = np.asarray(words.indices)
+        place = {p: base[1] + i for i, p in enumerate(lines)} | {p: base[2] + i for i, p in enumerate(rest)}
+        entry[other] = [place.get(p, nothing) for p in others]
+        mark[marked] = [base[4] + marks[m] for m in after]
+
+        # each piece twice, its entry and its marks; then the ids of all texts in one gather
+        twice = np.stack([entry[codes], mark[codes]], axis=1)
+        twice[ends[:-1], 0], twice[ends[:-1], 1] = base[3] + np.asarray(firsts.indices), nothing
+        twice = twice.ravel()
+        lengths = size[twice]
+        upto = lengths.cumsum()
+        every = stock[np.repeat(begin[twice] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        stops = np.append(0, upto)[2 * ends].tolist()
+        out = [every[a:b] for a, b in zip(stops, stops[1:])]
+        odd = np.zeros(len(pieces), bool)
+        odd[other[~regular]] = True
+        odd = odd[codes]
+        odd[ends[:-1]] = False
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(odd), side="right") - 1).tolist():
+            out[i] = self._irregular(flat.slice(ends[i], ends[i + 1] - ends[i]).to_pylist())
         return out
 
-    def _irregular(self, first: str, rest: list[str]) -> bytes:
+    def _irregular(self, pieces: list[str]) -> np.ndarray:
         """Pieces before which the text must not be cut join the one before them."""
-        chunks = [[first]]
-        for piece in rest:
+        chunks = [[pieces[0]]]
+        for piece in pieces[1:]:
             part = piece if piece[:1] == "\n" else " " + piece
             if _regular(piece):
                 chunks.append([part])
             else:
                 chunks[-1].append(part)
-        return b"".join(self._text("".join(c)) for c in chunks)
+        return np.frombuffer(b"".join(self._texts(["".join(c) for c in chunks])), dtype=self.kind)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -114,8 +159,13 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so that what is made of them stays small."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a bounded number of characters in a column, so that what is made of them stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        chars = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).cumsum() if batch.num_rows else np.zeros(0)
+        at = 0
+        while at < batch.num_rows:
+            before = chars[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(chars, before + BATCH_CHARS, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

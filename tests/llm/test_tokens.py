@@ -2,13 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, ODD_IDS, documents
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestone.llm import packing, store
-from lodestone.llm.tokens import Encoder, default_vocabulary
+from lodestone.llm.tokens import Encoder, default_vocabulary, slices
 
 TRICKY = ["", " ", "\n", "a  b", " lead", "trail ", "x\n\ny", "\n\n a", "tab\t here", "\t\n b", "don't  you're", "a b 　c", "²½ Ⅷ 12ab_x", "Ünïcode’s", "<|endoftext|> x", "a \n b", "a\r\nb", "\x1c x \x1f", "日本語 テキスト", "😀 😀!", "..., ,x", "A" * 3000, " " * 50 + "z"]
 
@@ -28,15 +29,21 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
 
 
-def test_pieces_encode_as_the_whole(whole, monkeypatch):
+def test_pieces_encode_as_the_whole(whole):
     rng = random.Random(1)
     parts = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", ".", "!", "'s", "1", "23", "_", "-", " ", " ", "日", "²", "\r"]
     texts = TRICKY + [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(2000)]
     enc = Encoder(default_vocabulary())
-    for remembered in (600_000, 5):
-        monkeypatch.setattr("lodestone.llm.tokens.REMEMBERED", remembered)
-        got = [np.frombuffer(x, enc.kind).tolist() for i in range(0, len(texts), 100) for x in enc.encode_many(texts[i : i + 100])]
+    for rows in (100, 3000, 1):
+        got = [x.tolist() for i in range(0, len(texts), rows) for x in enc.encode_many(pa.array(texts[i : i + rows]))]
         assert got == [ids_of(whole, t)[:-1] for t in texts]
+    assert [len(x) for x in enc.encode_many(pa.array([None, "a"], pa.string()))] == [0, 1] and enc.encode_many(pa.array([], pa.string())) == []
+
+
+def test_batches_are_cut_by_characters(monkeypatch):
+    monkeypatch.setattr("lodestone.llm.tokens.BATCH_CHARS", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["aaaa", None, "bbbbbb", "c" * 50, "", "d"]})
+    assert [b.num_rows for b in slices([batch, batch.slice(0, 0)])] == [3, 1, 2]
 
 
 def corpus():
