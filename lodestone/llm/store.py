@@ -117,11 +117,17 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> No
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, 0))
     placed = ranged.withColumn("upto", within).join(F.broadcast(before), "file").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens"))
     placed.drop("before", "upto").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    read_recipes(spark, path).groupBy("file").applyInArrow(_file_root, "file int, n_docs long, n_ids long, root binary").write.parquet(f"{path}/manifest")
+    file_roots(spark, path).write.parquet(f"{path}/manifest")
+
+
+def file_roots(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_docs, n_ids and the Merkle root over its documents' roots, of every recipe file as it is now."""
+    leaves = read_recipes(spark, path).select("file", "start", "n_tokens", "root")
+    return leaves.groupBy("file").applyInArrow(_file_root, "file int, n_docs long, n_ids long, root binary")
 
 
 def _file_root(group: pa.Table) -> pa.Table:
-    group = group.select(["file", "start", "n_tokens", "root"]).sort_by("start")
+    group = group.sort_by("start")
     return pa.table({"file": pa.array(group["file"].to_pylist()[:1], pa.int32()), "n_docs": [group.num_rows], "n_ids": [sum(group["n_tokens"].to_pylist())], "root": [merkle_root(group["root"].to_pylist())]})
 
 
@@ -207,7 +213,7 @@ def read_digests(spark: SparkSession, path: str, vocabulary: str | None = None)
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Files whose recipes no longer give the manifest's root: empty if all is well."""
-    now = read_recipes(spark, path).groupBy("file").applyInArrow(_file_root, "file int, n_docs long, n_ids long, root binary")
+    now = file_roots(spark, path)
     then = spark.read.schema("file int, n_docs long, n_ids long, root binary").parquet(f"{path}/manifest").withColumnRenamed("root", "written")
     return now.select("file", "root").join(then.select("file", "written"), "file", "full").where(~F.col("root").eqNullSafe(F.col("written")))
 
