@@ -51,17 +51,15 @@ def rollup(counted: DataFrame, *levels: str) -> DataFrame:
     )
 
 
-def render(flat: DataFrame) -> DataFrame:
-    """json: the tree of a flat manifest as one document, categories and series by name.
-
-    The document is one row by nature; a catalog larger than a row should stay flat.
-    """
-    product = F.struct("camera_id", "model_name", "image_urls", "datasheet_url", F.to_json("specifications_html").alias("specifications"))
-    series = flat.groupBy("category", "series").agg(F.sort_array(F.collect_list(product)).alias("products"), F.count("*").alias("product_count"))
-    in_series = F.map_from_entries(F.collect_list(F.struct("series", F.struct("product_count", "products"))))
-    categories = series.groupBy("category").agg(in_series.alias("series"), F.sum("product_count").alias("product_count"))
-    whole = F.map_from_entries(F.collect_list(F.struct("category", F.struct("product_count", "series"))))
-    return categories.agg(F.to_json(F.struct(F.coalesce(F.sum("product_count"), F.lit(0)).alias("total_products"), F.count("*").alias("total_categories"), whole.alias("categories"))).alias("json"))
+def render(flat: DataFrame, parts: int = 1) -> DataFrame:
+    """category, series, part and json: documents in the shape of schema.MANIFEST, one for each series, or more
+    where parts deals a large series' products over several. Together they are the manifest, as JSON lines;
+    rollup() has its totals."""
+    product = F.struct("camera_id", "model_name", "image_urls", "datasheet_url", "specifications_html")
+    dealt = flat.withColumn("part", F.pmod(F.xxhash64("camera_id"), F.lit(parts)))
+    each = dealt.groupBy("category", "series", "part").agg(F.collect_list(product).alias("products"))
+    tree = F.create_map("category", F.struct(F.create_map("series", F.struct("products")).alias("series")))
+    return each.select("category", "series", "part", F.to_json(F.struct(tree.alias("categories"))).alias("json"))
 
 
 def compare(expected: DataFrame, actual: DataFrame, *keys: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from lodestone.functions import geometry, html, specs, text
 from lodestone.operators import cache, catalog, manifest, merge, validation
-from lodestone.schema import MANIFEST
 from lodestone.sources import snapshots, tables
 from lodestone.sources.shared import scratch
 
@@ -117,13 +116,14 @@ def manifest_compare(spark, sf_dir):
 
 
 def manifest_flatten_roundtrip(spark, sf_dir):
-    """Suppliers as a manifest document in JSON, read back and flattened."""
-    product = F.struct(F.col("s_suppkey").cast("string").alias("camera_id"), F.col("s_name").alias("model_name"), F.array(F.lit("a")).alias("image_urls"))
-    per_series = _tree(spark, sf_dir).groupBy("r_name", "n_name").agg(F.sort_array(F.collect_list(product)).alias("products"))
-    per_category = per_series.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.struct("products")))).alias("series"))
-    doc = per_category.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("r_name", F.struct("series")))).alias("categories"))).alias("json"))
-    tree = doc.select(F.from_json("json", MANIFEST).alias("m")).select("m.*")
-    return manifest.flatten(tree).select("category", "series", "camera_id", "model_name")
+    """Suppliers as manifest documents in JSON, written, read back and flattened."""
+    flat = _tree(spark, sf_dir).select(
+        F.col("r_name").alias("category"), F.col("n_name").alias("series"), F.col("s_suppkey").cast("string").alias("camera_id"), F.col("s_name").alias("model_name"),
+        F.array(F.lit("a")).alias("image_urls"), F.lit(None).cast("string").alias("datasheet_url"), F.lit(None).cast("map<string, map<string, string>>").alias("specifications_html"),
+    )
+    path = scratch(spark, "manifest")
+    tables.write_documents(manifest.render(flat), path)
+    return manifest.flatten(tables.manifest(spark, path, lines=True)).select("category", "series", "camera_id", "model_name")
 
 
 def _sides(spark, sf_dir):

@@ -44,9 +44,10 @@ class CachedTable:
         return self.df
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest document; broken JSON is an error."""
-    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(MANIFEST).json(path)
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A manifest: one document, or (lines) one to a line as operators.manifest.render() makes them; broken JSON
+    is an error."""
+    return spark.read.option("multiLine", not lines).option("mode", "FAILFAST").schema(MANIFEST).json(path)
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
@@ -96,6 +97,6 @@ def write_report(report: DataFrame, path: str) -> None:
     one.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
-def write_document(df: DataFrame, path: str, column: str = "json") -> None:
-    """A one-row document as text."""
-    df.select(column).coalesce(1).write.mode("overwrite").text(path)
+def write_documents(df: DataFrame, path: str, column: str = "json") -> None:
+    """Documents, one to a line."""
+    df.select(column).write.mode("overwrite").text(path)

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from lodestone.operators import manifest, merge
 from lodestone.schema import MANIFEST, PRODUCT_CACHE
+from lodestone.sources import tables
 from lodestone.sources.snapshots import Snapshots, diff
 
 OLD = [("cam-001", "Camera 1"), ("cam-002", "Camera 2"), ("cam-003", "Camera 3")]
@@ -48,12 +49,14 @@ TREE = {"categories": {"Dome cameras": {"series": {"M30": {"products": [
 ]}}}}}
 
 
-def test_flatten_rollup_render(spark):
+def test_flatten_rollup_render(spark, tmp_path):
     flat = manifest.flatten(spark.createDataFrame([TREE], MANIFEST))
     assert flat.count() == 3 and manifest.to_products(flat).count() == 2
     rows = {(r.category, r.series): r for r in manifest.rollup(manifest.with_counts(flat.where("camera_id <> ''")), "category", "series").collect()}
     assert (rows[None, None].product_count, rows[None, None].image_count, rows["Dome cameras", "M30"].pdf_count, rows["Dome cameras", None].spec_count) == (2, 2, 1, 1)
-    assert '"total_products":2' in manifest.render(flat.where("camera_id <> ''")).first()[0]
+    tables.write_documents(manifest.render(flat.where("camera_id <> ''"), parts=3), str(tmp_path / "m"))
+    again = manifest.flatten(tables.manifest(spark, str(tmp_path / "m"), lines=True))
+    assert {(r.camera_id, ((r.specifications_html or {}).get("Video") or {}).get("Resolution")) for r in again.collect()} == {("axis-m3057-plr", "6 MP"), ("axis-m3085-v", None)}
     status = {r.category: r.status for r in manifest.compare(flat.select("category"), flat.selectExpr("concat(category, '!') category"), "category").collect()}
     assert status == {"Dome cameras": "missing", "Dome cameras!": "extra"}
 
