@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next one's docs: documents that the quality classifier rejects go, one document of each near-duplicate
 group stays, documents that hold a benchmark passage go, secrets are replaced by a mark, and what is left
 is packed into sequences.
+
+Defined results: rows without a doc_id or a text go through like any other (null and empty texts are scored
+as empty, are copies of one another, hold no passage and no secret, and are packed as the end id alone);
+repeated rows are copies; without labels nothing is rejected, and without a benchmark nothing is dropped;
+columns beyond those of documents are kept to the last stage but one; an empty table stays empty.
 """
 
 from __future__ import annotations

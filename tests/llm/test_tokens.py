@@ -145,3 +145,18 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert 61 in seen["simhash_near_dedup"] and 61 not in seen["benchmark_decontamination"]
     assert seen["secret_scan"][62] == "My [SECRET] is written down here in full." and seen["secret_scan"][5] == texts[5]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["secret_scan"])
+
+
+def test_pipeline_survives_odd_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = documents(spark, ODD, ODD_IDS)
+    for docs, name in ((odd, "odd"), (odd.limit(0), "none")):
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert i == 4 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+        assert docs.where("piece = 0").count() == spark.read.parquet(f"{tmp_path}/{name}3").count() == (9 if name == "odd" else 0)
