@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage, without
+from lodestone.llm.tokens import slices
 from lodestone.llm.toxicity import fold
 
 FEATURES, RIDGE, SCALE = 160, 1e-3, 3.0
@@ -58,7 +59,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, fold, stats (array of doubles) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "stats"])
 

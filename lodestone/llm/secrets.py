@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tokens import slices
+
 # The three base patterns, group numbers and least lengths.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -146,7 +148,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256 and all spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, spans = {k: [] for k in BASE_KINDS}, [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
@@ -165,7 +167,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; in text, every span found is replaced by mark (a null text stays null)."""
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t and redacted(t, base_spans(t) + confirmed_spans(t), mark) for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A batch is cut to so many characters, or to one text where that is longer.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
 #: Words that a worker remembers with their ids (the first it sees, so the common ones), and the longest of them.
-REMEMBERED, LONGEST = 400_000, 32
+REMEMBERED, LONGEST = 200_000, 32
 MARKS = string.punctuation  # these follow letters as pre-tokens of their own
 
 
@@ -111,11 +111,11 @@ class Encoder:
 
         # one table of ids: words, lines, the rest, first pieces, marks, and nothing
         parts = [self._known_words(words.dictionary.to_pylist()), self._words(list(lines.values()), "\n"), self._texts_flat([p if p[0] == "\n" else " " + p for p in rest]), self._texts_flat(firsts.dictionary.to_pylist()), self._texts_flat(list(marks))]
-        stock, size = np.concatenate([ids for ids, _ in parts]), np.append(np.concatenate([n for _, n in parts]), 0)
+        stock, size = np.concatenate([ids for ids, _ in parts]), np.append(np.concatenate([n for _, n in parts]), 0).astype(np.int32)
         base = np.cumsum([0, *(len(n) for _, n in parts)])
-        begin = np.append(0, size.cumsum())[:-1]
+        begin = np.append(0, size.cumsum()).astype(np.int32)[:-1]
         nothing = len(size) - 1
-        entry, mark = np.full(len(pieces), nothing), np.full(len(pieces), nothing)
+        entry, mark = np.full(len(pieces), nothing, np.int32), np.full(len(pieces), nothing, np.int32)
         entry[plain] = np.asarray(words.indices)
         place = {p: base[1] + i for i, p in enumerate(lines)} | {p: base[2] + i for i, p in enumerate(rest)}
         entry[other] = [place.get(p, nothing) for p in others]
@@ -126,8 +126,10 @@ class Encoder:
         twice[ends[:-1], 0], twice[ends[:-1], 1] = base[3] + np.asarray(firsts.indices), nothing
         twice = twice.ravel()
         lengths = size[twice]
-        upto = lengths.cumsum()
-        every = stock[np.repeat(begin[twice] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        upto = lengths.cumsum(dtype=np.int32)  # a batch is small
+        gather = np.repeat(begin[twice] - (upto - lengths), lengths)
+        gather += np.arange(upto[-1], dtype=np.int32)
+        every = stock[gather]
         stops = np.append(0, upto)[2 * ends].tolist()
         out = [every[a:b] for a, b in zip(stops, stops[1:])]
         odd = np.zeros(len(pieces), bool)
@@ -169,3 +171,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             end = max(at + 1, int(np.searchsorted(chars, before + BATCH_CHARS, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()

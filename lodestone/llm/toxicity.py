@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tokens import slices
+
 BUCKETS, PREFIX = 1 << 20, 5
 #: Bounds of the training sample (rows of each class) and of the model (terms, factors).
 POSITIVES, NEGATIVES, TERMS, FACTORS = 2500, 5000, 1024, 4
@@ -119,7 +121,7 @@ def fit_machine(rows: list[tuple[int, list[int]]], prior: float, steps: int = 12
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [list(buckets_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "buckets"])
 
@@ -135,7 +137,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = train(docs, labels, usable)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [machine.score(buckets_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
