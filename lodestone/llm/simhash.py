@@ -23,6 +23,8 @@ from lodestone.llm.common import ascii_lower, split_words, stage, without
 from lodestone.llm.components import component_labels
 
 SHINGLE, BITS, RADIUS = 3, 64, 2
+#: Fingerprints whose variants (65 each) one task combines before the shuffle.
+EMIT_ROWS = 30_000
 
 
 def shingle_hashes(docs: DataFrame) -> DataFrame:
@@ -58,8 +60,10 @@ def near_links(fps: DataFrame) -> DataFrame:
     within the radius. Every link is verified to be within it."""
     flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.struct(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("variant"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("flip"), F.lit(0).alias("own")))
     itself = F.array(F.struct(F.col("fp").alias("variant"), F.lit(0).cast("long").alias("flip"), F.lit(1).alias("own")))
+    tasks = max(1, -(-fps.count() // EMIT_ROWS))
     groups = (
         fps.select("fp")
+        .repartition(tasks, "fp")
         .select(F.explode(F.concat(itself, flips)).alias("v"))
         .groupBy("v.variant")
         .agg(F.bit_or("v.flip").alias("flips"), F.max("v.own").alias("own"))
