@@ -104,7 +104,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     fps, of_fp = _components(docs)
     key = ["doc_id", "text_hash"]
     texts = stage(fps.join(of_fp, "fp").groupBy(*key, "root").agg(F.count("*").alias("rows")), "simhash-texts")
-    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first"))
+    # written, so that the join reads two plain tables and the rows of a large component can be split
+    first = stage(texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first")), "simhash-first")
     others = texts.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
     kept = without(docs, others)
     if texts.where("rows > 1").isEmpty():  # no row is repeated
