@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, on DataFrame functions alone.
 
 Texts become lower-case words joined by single spaces. Only texts with one of a few root words go on; each
-of them meets the rules whose keyword it contains, and a rule's expression gives word intervals. Of these,
+of them meets the rules whose needed words it has, and a rule's expression gives word intervals. Of these,
 an interval inside another one of the same or a higher priority is suppressed (of equal intervals the
 higher priority, then the earlier rule, stays). Base phrases are always reported.
 
@@ -12,6 +12,9 @@ harm; other columns are ignored. score is the highest confidence of what was fou
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ BASE_CONFIDENCE = 0.5
 ROOTS = ("licen", "copyright", "reserved", "spdx", "commons", "gpl", "public domain", "warrant")
 CC_BY = "cc[" + SEPARATORS + "]+by"
 
-# Families: label, name, short name, keyword, versions ("" is the family without a version).
+# Families: label, name, short name, spdx name, keyword of the name ("a|b": a or b), versions ("" is the family without a version).
 FAMILIES = [
     ("gpl", "gnu general public licen[cs]e", "(?:gnu )?gpl", "gpl", "general", ["1.0", "2.0", "3.0"]),
     ("lgpl", "gnu (?:lesser|library) general public licen[cs]e", "(?:gnu )?lgpl", "lgpl", "general", ["2.0", "2.1", "3.0"]),
@@ -50,7 +53,7 @@ FAMILIES = [
     ("odc-by", "open data commons attribution licen[cs]e", "odc by", "odc by", "attribution", ["1.0"]),
     ("pddl", "(?:open data commons )?public domain dedication and licen[cs]e", "pddl", "pddl", "dedication", ["1.0"]),
     ("php", "php licen[cs]e", "php", "php", "php", ["3.0", "3.01"]),
-    ("psf", "(?:python software foundation|psf) licen[cs]e", "psf", "psf", "foundation", ["2.0"]),
+    ("psf", "(?:python software foundation|psf) licen[cs]e", "psf", "psf", "foundation|psf", ["2.0"]),
     ("zpl", "zope public licen[cs]e", "zpl", "zpl", "zope", ["1.1", "2.0", "2.1"]),
     ("apsl", "apple public source licen[cs]e", "apsl", "apsl", "apple", ["1.0", "1.1", "1.2", "2.0"]),
     ("npl", "netscape public licen[cs]e", "npl", "npl", "netscape", ["1.0", "1.1"]),
@@ -59,7 +62,7 @@ FAMILIES = [
     ("cecill", "cecill (?:free software )?licen[cs]e", "cecill", "cecill", "cecill", ["1.0", "1.1", "2.0", "2.1"]),
     ("ms-pl", "microsoft public licen[cs]e", "ms pl", "ms pl", "microsoft", [""]),
     ("ms-rl", "microsoft reciprocal licen[cs]e", "ms rl", "ms rl", "microsoft", [""]),
-    ("mit", "(?:mit|expat) licen[cs]e", "mit", "mit", "mit", [""]),
+    ("mit", "(?:mit|expat) licen[cs]e", "mit", "mit", "mit|expat", [""]),
     ("isc", "isc licen[cs]e", "isc", "isc", "isc", [""]),
     ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib", "zlib", "zlib", [""]),
     ("unlicense", "(?:the )?unlicense", "unlicense", "unlicense", "unlicense", [""]),
@@ -77,18 +80,19 @@ FAMILIES = [
     ("bsd-4-clause", "(?:original|4 clause) bsd licen[cs]e", "bsd 4 clause", "bsd 4 clause", "bsd", [""]),
     ("bsd", "bsd licen[cs]e", "bsd", "bsd", "bsd", [""]),
 ]
+UNDER = "licensed|released|distributed|available|published|used"
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 CC_NAMES = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
-# Single signatures: label, expression, keyword, confidence.
+# Single signatures: label, expression, needed words, confidence.
 SINGLES = [
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 0.6),
-    ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", "domain", 0.8),
-    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0", 0.9),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission", 0.9),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution", 0.9),
-    ("zlib", "this software is provided as is without any express or implied warranty", "warranty", 0.7),
-    ("proprietary", "(?:proprietary and confidential|unauthorized (?:copying|reproduction|distribution) (?:of this \\w+ )?is (?:strictly )?prohibited)", "pr", 0.8),
+    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", ("copyright",), 0.6),
+    ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", ("public", "domain"), 0.8),
+    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", ("cc0|zero",), 0.9),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("hereby", "granted"), 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission", "modify"), 0.9),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", ("redistribution", "binary"), 0.9),
+    ("zlib", "this software is provided as is without any express or implied warranty", ("warranty", "provided"), 0.7),
+    ("proprietary", "(?:proprietary and confidential|unauthorized (?:copying|reproduction|distribution) (?:of this \\w+ )?is (?:strictly )?prohibited)", ("proprietary|unauthorized", "confidential|prohibited"), 0.8),
 ]
 
 
@@ -97,37 +101,58 @@ def version_pattern(version: str) -> str:
     return f"(?:version |ver )?v ?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}") + f"|(?:version |ver )?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """label, expression, keyword, priority (higher wins), confidence: made from the families and versions."""
+def rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
+    """label, expression, needed words, priority (higher wins), confidence: made from the families and versions.
+
+    Whatever an expression matches has each of its needed words, or of "a|b" at least one."""
     out = []
     for label, name, short, spdx, keyword, versions in FAMILIES:
-        key = short.split(" ")[-1].strip("()?:").split("|")[0].rstrip(")")
+        named = (keyword, "license|licence") if "licen[cs]e" in name else (keyword,)
+        keys = tuple(word.strip("(?:)") for word in re.sub(r"\(\?:\w+ \)\?", "", short).split(" "))
         for version in versions:
             v = f" (?:{version_pattern(version)})" if version else ""
             full = f"{label}-{version}" if version else label
-            out.append((full, f"(?:the )?{name}{v}", keyword, 2, 0.95))
-            out.append((full, f"(?:licensed|released|distributed|available|published|used) under (?:the )?(?:terms of (?:the )?)?{short}{v}", key, 2, 0.9))
-            out.append((full, f"spdx licen[cs]e identifier {spdx}" + (f" {version.replace('.', ' ')}" if version else "") + "(?: only| or later)?", "spdx", 3, 1.0))
+            out.append((full, f"(?:the )?{name}{v}", named, 2, 0.95))
+            out.append((full, f"(?:{UNDER}) under (?:the )?(?:terms of (?:the )?)?{short}{v}", (*keys, "under", UNDER), 2, 0.9))
+            out.append((full, f"spdx licen[cs]e identifier {spdx}" + (f" {version.replace('.', ' ')}" if version else "") + "(?: only| or later)?", ("spdx", "identifier"), 3, 1.0))
         if versions != [""]:
-            out.append((label, f"(?:the )?{name}", keyword, 1, 0.8))
+            out.append((label, f"(?:the )?{name}", named, 1, 0.8))
     for kind, name in CC_NAMES.items():
         for version in CC_VERSIONS:
             words, v = kind.replace("-", " "), version.replace(".", " ")
-            out.append((f"cc-{kind}-{version}", f"creative commons {name}(?: (?:international|unported|generic))? (?:licen[cs]e )?(?:version )?{v}(?: (?:international|unported|generic))?(?: licen[cs]e)?", "commons", 2, 0.95))
-            out.append((f"cc-{kind}-{version}", f"cc {words} {v}", "cc", 3, 0.95))
-        out.append((f"cc-{kind}", f"creative commons {name}", "commons", 1, 0.8))
-    out += [(label, pattern, keyword, 2, confidence) for label, pattern, keyword, confidence in SINGLES]
+            out.append((f"cc-{kind}-{version}", f"creative commons {name}(?: (?:international|unported|generic))? (?:licen[cs]e )?(?:version )?{v}(?: (?:international|unported|generic))?(?: licen[cs]e)?", ("creative", "commons"), 2, 0.95))
+            out.append((f"cc-{kind}-{version}", f"cc {words} {v}", ("cc", "by"), 3, 0.95))
+        out.append((f"cc-{kind}", f"creative commons {name}", ("creative", "commons"), 1, 0.8))
+    out += [(label, pattern, needed, 2, confidence) for label, pattern, needed, confidence in SINGLES]
     return out
 
 
+def admitted(words: Column) -> Column:
+    """rules (numbers) of each group of rules with the same needed words that the words of a text include."""
+    groups = defaultdict(list)
+    for i, (_, _, needed, _, _) in enumerate(rules()):
+        groups[needed].append(i)
+    strings = lambda values: F.array(*[F.lit(v) for v in values])
+    table = F.array(*[F.struct(F.array(*[strings(n.split("|")) for n in needed]).alias("needed"), F.array(*[F.lit(i) for i in numbers]).cast("array<int>").alias("rules")) for needed, numbers in groups.items()])
+    known = strings(sorted({word for needed in groups for n in needed for word in n.split("|")}))
+    meets = lambda met: F.filter(table, lambda g: F.forall(g["needed"], lambda n: F.arrays_overlap(n, met)))
+    # inside transform() the known words of a text are made once, not once per group
+    return F.transform(F.array(F.array_intersect(words, known)), lambda met: F.when(F.size(met) > 0, meets(met)))[0]
+
+
 def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words of every row; norm (its words joined by spaces) where a rule could apply."""
+    """doc_id, text_hash, n_words of every row; where a rule could apply, norm (its words joined by spaces) and
+    rules (the numbers of those that could)."""
     lower = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lower"))
     gate = F.col("lower").rlike(CC_BY)
     for root in ROOTS:
         gate = F.col("lower").contains(root) | gate
     words = lower.select("doc_id", "text_hash", gate.alias("gate"), split_words(F.col("lower"), SEPARATORS).alias("words"))
-    return words.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("gate"), F.array_join("words", " ")).alias("norm"))
+    met = words.select("*", F.when(F.col("gate"), admitted(F.col("words"))).alias("met"))
+    return met.select(
+        "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("gate"), F.array_join("words", " ")).alias("norm"),
+        F.flatten(F.transform("met", lambda g: g["rules"])).alias("rules"),
+    )
 
 
 def spaces(text: Column) -> Column:
@@ -136,8 +161,8 @@ def spaces(text: Column) -> Column:
 
 def intervals(gated: DataFrame) -> DataFrame:
     """rule, label, priority, confidence, start, end (words, end exclusive) of every match, with the key."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(f"(?<![^ ])(?:{p})(?![^ ])").alias("pattern"), F.lit(k).alias("keyword"), F.lit(r).alias("priority"), F.lit(c).alias("confidence")) for i, (a, p, k, r, c) in enumerate(rules())])
-    met = gated.select("*", F.explode(F.filter(table, lambda r: F.col("norm").contains(r["keyword"]))).alias("r")).where(F.expr("norm rlike r.pattern"))
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(f"(?<![^ ])(?:{p})(?![^ ])").alias("pattern"), F.lit(r).alias("priority"), F.lit(c).alias("confidence")) for i, (a, p, _, r, c) in enumerate(rules())])
+    met = gated.select("*", F.explode("rules").alias("at")).withColumn("r", F.element_at(table, F.col("at") + 1)).where(F.expr("norm rlike r.pattern"))
     cut = met.select("doc_id", "text_hash", "r", F.expr("split(norm, r.pattern, -1)").alias("gaps"), F.expr("regexp_extract_all(norm, r.pattern, 0)").alias("hits"))
     each = cut.select("doc_id", "text_hash", "r", F.posexplode(F.arrays_zip("gaps", "hits")).alias("i", "x")).where("x.hits is not null")
     each = each.select("*", spaces(F.col("x.gaps")).alias("gap"), spaces(F.col("x.hits")).alias("inner"))
@@ -157,12 +182,12 @@ def surviving(found: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs."""
     every = stage(normalised(docs), "license-words")
-    gated = every.where("norm is not null").select("doc_id", "text_hash", "n_words", "norm").distinct()
+    gated = every.where("norm is not null").select("doc_id", "text_hash", "n_words", "norm", "rules").distinct()
     base = gated.select("doc_id", "text_hash", "n_words", F.split("norm", BASE_PATTERN, -1).alias("gaps"), F.regexp_extract_all("norm", F.lit(BASE_PATTERN), F.lit(0)).alias("hits"))
     names = F.concat(*[F.when(F.array_contains("hits", phrase), F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for phrase, label in BASE.items()])
     last = F.col("n_words") - spaces(F.element_at("gaps", -1)) - spaces(F.element_at("hits", -1)) - 1
     base = base.where(F.size("hits") > 0).select("doc_id", "text_hash", F.size("hits").alias("n_base"), spaces(F.col("gaps")[0]).alias("first_word"), last.alias("last_word"), names.alias("base_names"), F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("more"))
-    more = surviving(intervals(gated.select("doc_id", "text_hash", "norm"))).groupBy("doc_id", "text_hash").agg(F.max("confidence").alias("best"), F.collect_set("label").alias("more"))
+    more = surviving(intervals(gated.select("doc_id", "text_hash", "norm", "rules"))).groupBy("doc_id", "text_hash").agg(F.max("confidence").alias("best"), F.collect_set("label").alias("more"))
     both = base.unionByName(more, allowMissingColumns=True).groupBy("doc_id", "text_hash").agg(
         F.max("n_base").alias("n_base"), F.max("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.flatten(F.collect_list("base_names")).alias("base_names"), F.flatten(F.collect_list("more")).alias("more"), F.max("best").alias("best")
     )
@@ -170,7 +195,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     names = F.coalesce("base_names", F.array().cast("array<string>"))
     labels = F.concat(names, F.coalesce("more", F.array().cast("array<string>")))
     n_base = F.coalesce("n_base", F.lit(0)).cast("long")
-    joined = every.drop("norm").join(found, [every[k].eqNullSafe(found[k]) for k in ("doc_id", "text_hash")], "left")
+    joined = every.drop("norm", "rules").join(found, [every[k].eqNullSafe(found[k]) for k in ("doc_id", "text_hash")], "left")
     return joined.select(
         every["doc_id"], "n_words", n_base.alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
         F.array_join(F.sort_array(names), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_distinct(labels)), ",").alias("labels"),

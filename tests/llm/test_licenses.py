@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -52,5 +53,46 @@ def test_hundreds_of_rules_have_keywords_in_their_roots():
     assert len(table) > 300 and all(0 < c <= 1 and p in (1, 2, 3) for *_, p, c in table)
 
 
+def expansions(part):
+    """What a parsed expression matches: every alternative and option, the shortest of open repetitions."""
+    out = [""]
+    for op, value in part:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else chr(v[0]) if str(o) == "RANGE" else "x" for o, v in value]
+        elif kind == "BRANCH":
+            more = [t for branch in value[1] for t in expansions(branch)]
+        elif kind == "SUBPATTERN":
+            more = expansions(value[-1])
+        else:
+            low, high, inner = value
+            inner = expansions(inner)
+            more = ["".join(c) for n in range(low, (high if high <= 2 else low) + 1) for c in itertools.product(inner, repeat=n)]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_match_has_the_needed_words():
+    for _, pattern, needed, *_ in licenses.rules():
+        for text in expansions(re._parser.parse(pattern)):
+            words = set(text.split(" "))
+            assert all(words & set(n.split("|")) for n in needed), (text, needed)
+
+
+def test_each_alternative_fires_alone(spark):
+    cases = {
+        "Expat License": "mit",
+        "PSF License 2.0": "psf-2.0",
+        "Creative Commons Zero 1.0": "cc0-1.0",
+        "Licensed under the FDL 1.2, no licence else": "gfdl-1.2",
+        "licensed under the GNU GFDL 1.2": "gfdl-1.2",
+        "Copyright-protected: proprietary and confidential": "proprietary",
+    }
+    rows = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, list(cases))).collect()}
+    assert [rows[i].labels for i in range(len(cases))] == list(cases.values())
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(documents(spark, []).limit(0)).count() == 0
