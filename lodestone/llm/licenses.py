@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, on DataFrame functions alone.
 
-Texts become lower-case words joined by single spaces. Only texts with one of a few root words go on; each
-of them meets the rules whose needed words it has, and a rule's expression gives word intervals. Of these,
+Texts become lower-case words joined by single spaces. Only texts with all the needed words of a base phrase
+or a rule go on; each of them meets the rules whose needed words it has, and a rule's expression gives word intervals. Of these,
 an interval inside another one of the same or a higher priority is suppressed (of equal intervals the
 higher priority, then the earlier rule, stays). Base phrases are always reported.
 
@@ -27,10 +27,6 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 BASE_PATTERN = "(?<![^ ])(?:cc by|general public license|all rights reserved)(?![^ ])"
 BASE_CONFIDENCE = 0.5
 
-#: Texts without any of these hold no phrase and no rule.
-ROOTS = ("licen", "copyright", "reserved", "spdx", "commons", "gpl", "public domain", "warrant")
-CC_BY = "cc[" + SEPARATORS + "]+by"
-
 # Families: label, name, short name, spdx name, keyword of the name ("a|b": a or b), versions ("" is the family without a version).
 FAMILIES = [
     ("gpl", "gnu general public licen[cs]e", "(?:gnu )?gpl", "gpl", "general", ["1.0", "2.0", "3.0"]),
@@ -128,8 +124,9 @@ def rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
 
 
 def admitted(words: Column) -> Column:
-    """rules (numbers) of each group of rules with the same needed words that the words of a text include."""
-    groups = defaultdict(list)
+    """rules (numbers) of each group of rules with the same needed words that the words of a text include. A
+    group without rules stands for each base phrase; a text with no group holds no phrase and no rule."""
+    groups = defaultdict(list, {tuple(phrase.split(" ")): [] for phrase in BASE})
     for i, (_, _, needed, _, _) in enumerate(rules()):
         groups[needed].append(i)
     strings = lambda values: F.array(*[F.lit(v) for v in values])
@@ -144,14 +141,11 @@ def normalised(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words of every row; where a rule could apply, norm (its words joined by spaces) and
     rules (the numbers of those that could)."""
     lower = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lower"))
-    gate = F.col("lower").rlike(CC_BY)
-    for root in ROOTS:
-        gate = F.col("lower").contains(root) | gate
-    words = lower.select("doc_id", "text_hash", gate.alias("gate"), split_words(F.col("lower"), SEPARATORS).alias("words"))
-    met = words.select("*", F.when(F.col("gate"), admitted(F.col("words"))).alias("met"))
+    words = lower.select("doc_id", "text_hash", split_words(F.col("lower"), SEPARATORS).alias("words"))
+    met = words.select("*", admitted(F.col("words")).alias("met"))
     return met.select(
-        "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("gate"), F.array_join("words", " ")).alias("norm"),
-        F.flatten(F.transform("met", lambda g: g["rules"])).alias("rules"),
+        "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.size("met") > 0, F.array_join("words", " ")).alias("norm"),
+        F.when(F.size("met") > 0, F.flatten(F.transform("met", lambda g: g["rules"]))).alias("rules"),
     )
 
 

@@ -94,5 +94,30 @@ def test_each_alternative_fires_alone(spark):
     assert [rows[i].labels for i in range(len(cases))] == list(cases.values())
 
 
+def test_texts_without_root_words_reach_their_rules(spark):
+    cases = {
+        "Released under the MIT terms. Published under the terms of the MPL 2.0; used under BSD 3 clause": "bsd-3-clause,mit,mpl-2.0",
+        "distributed under MIT": "mit",
+        "available under the Apache 2.0": "apache-2.0",
+        "CC0 1.0 Universal": "cc0-1.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "Redistribution and use in source and binary forms, with or without modification": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+        "unauthorized copying is prohibited": "proprietary",
+        "Proprietary and confidential": "proprietary",
+        "dedicated to the public\n  domain": "public-domain",
+        "under the sun, mit and apache": "",
+    }
+    rows = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, list(cases))).collect()}
+    assert [rows[i].labels for i in range(len(cases))] == list(cases.values())
+
+
+def test_every_rule_finds_its_own_text(spark):
+    texts = [max(expansions(re._parser.parse(pattern)), key=len) for _, pattern, *_ in licenses.rules()]
+    every = licenses.normalised(documents(spark, texts)).cache()
+    found = licenses.intervals(every.where("norm is not null").select("doc_id", "text_hash", "norm", "rules"))
+    assert {r.doc_id for r in found.where("doc_id = rule").select("doc_id").collect()} == set(range(len(texts)))
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(documents(spark, []).limit(0)).count() == 0
