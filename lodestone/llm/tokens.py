@@ -4,7 +4,8 @@ A byte-level BPE splits text into pre-tokens first and never merges across them.
 before a line feed, that is followed by something else than white space always lies between pre-tokens, so
 a text may be encoded piece by piece. A batch's pieces are made and counted by Arrow, its distinct ones go
 to the library, and the ids of all texts are gathered by NumPy. A text with any other white space joins the
-pieces around it before they are encoded. A
+pieces around it before they are encoded. A text that holds one of the vocabulary's added tokens (such as
+<|endoftext|>) goes to the library whole, where those are to be read as tokens. A
 worker remembers a bounded number of words from one batch to the next.
 """
 
@@ -39,7 +40,8 @@ def _regular(piece: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
+        """added: read added tokens in texts as the library does by default, not as plain characters."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,6 +53,7 @@ class Encoder:
         self.spaced = np.array([(self.whole.id_to_token(i) or "").startswith(shown) for i in range(size)])
         self.line = self.whole.encode("\n", add_special_tokens=False).ids[0]
         self.remembered: dict[str, bytes] = {}
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content] if added else []
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,8 +141,21 @@ class Encoder:
         odd[ends[:-1]] = False
         for i in np.unique(np.searchsorted(ends, np.flatnonzero(odd), side="right") - 1).tolist():
             out[i] = self._irregular(flat.slice(ends[i], ends[i + 1] - ends[i]).to_pylist())
+        for i in self._with_added(texts):
+            out[i] = self._by_default(texts[i].as_py())
         return out
 
+    def _with_added(self, texts: pa.Array) -> list[int]:
+        held = [np.asarray(pc.fill_null(pc.match_substring(texts.cast(pa.string()), t), False)) for t in self.added]
+        return np.flatnonzero(np.any(held, axis=0)).tolist() if held else []
+
+    def _by_default(self, text: str) -> np.ndarray:
+        self.whole.encode_special_tokens = False
+        try:
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        finally:
+            self.whole.encode_special_tokens = True
+
     def _irregular(self, pieces: list[str]) -> np.ndarray:
         """Pieces before which the text must not be cut join the one before them."""
         chunks = [[pieces[0]]]
@@ -157,7 +173,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
+        _encoders[vocabulary] = Encoder(vocabulary, added=True)
     return _encoders[vocabulary]
 
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestone.llm import packing, store
-from lodestone.llm.tokens import Encoder, default_vocabulary, slices
+from lodestone.llm.tokens import Encoder, default_vocabulary, encoder, slices
 
 TRICKY = ["", " ", "\n", "a  b", " lead", "trail ", "x\n\ny", "\n\n a", "tab\t here", "\t\n b", "don't  you're", "a b 　c", "²½ Ⅷ 12ab_x", "Ünïcode’s", "<|endoftext|> x", "a \n b", "a\r\nb", "\x1c x \x1f", "日本語 テキスト", "😀 😀!", "..., ,x", "A" * 3000, " " * 50 + "z"]
 
@@ -40,6 +40,16 @@ def test_pieces_encode_as_the_whole(whole):
     assert [len(x) for x in enc.encode_many(pa.array([None, "a"], pa.string()))] == [0, 1] and enc.encode_many(pa.array([], pa.string())) == []
 
 
+def test_added_tokens_are_read_as_the_library_does():
+    plain = Tokenizer.from_file(default_vocabulary())
+    texts = [*TRICKY, "<|endoftext|>", "a <|endoftext|>\n b<|endoftext|><|endoftext|> c", "<|endoftext>", "x <|endoftext|>"]
+    enc = encoder(default_vocabulary())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode_many(pa.array(texts))] == want
+    assert [x.tolist() for x in enc.encode_many(pa.array([None, *texts]).slice(1))] == want
+    assert 50256 in want[-1] and len(want[-3]) > 3
+
+
 def test_batches_are_cut_by_characters(monkeypatch):
     monkeypatch.setattr("lodestone.llm.tokens.BATCH_CHARS", 10)
     batch = pa.RecordBatch.from_pydict({"text": ["aaaa", None, "bbbbbb", "c" * 50, "", "d"]})
