@@ -31,8 +31,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 BASE_KINDS = ("assign", "access", "hex")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Looks ahead, so that each dot-joined part may begin a token.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----))+)-----END \1-----")
+PEM_HEADERS = re.compile(r"(?:\s*[A-Za-z][A-Za-z0-9-]*:[ \t]*\S+(?=\s))*")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,ENCRYPTED\s[\s\S]*DEK-Info:\s*[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})\s*$")
+ESCAPED_SPACE = re.compile(r"\\+[nrt]")
+BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:" + BREAK.pattern + r"[A-Za-z0-9+/]++)+={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 HEX_ANY_CASE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 
@@ -102,6 +108,75 @@ def key_kind(data: bytes | None) -> str | None:
     return None
 
 
+def pem_key(body: str) -> bool:
+    """Whether the inside of a PEM block decodes to a key, or is an encrypted key: its headers name a cipher
+    and an initial vector, and the rest is whole cipher blocks. Line ends may be escaped, as in JSON."""
+    body = ESCAPED_SPACE.sub("\n", body).replace("\\/", "/")
+    headers = PEM_HEADERS.match(body)[0]
+    data = from_base64(re.sub(r"\s", "", body[len(headers) :]))
+    encrypted = ENCRYPTED.search(headers)
+    if encrypted and data and len(data) >= 24 and len(data) % (len(encrypted[1]) // 2) == 0:
+        return True
+    return key_kind(data) is not None
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 over several lines: a DER key's own length and an OpenSSH key's fields say
+    where it ends; an OpenSSH key that is cut off ends with the last line as long as its first."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        breaks = [b.span() for b in BREAK.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+        i = 0
+        while i < len(lines):
+            last = _last_line(text, lines, i)
+            kind = key_kind(from_base64("".join(text[a:b] for a, b in lines[i : last + 1]))) if last > i else None
+            if kind:
+                found.append((lines[i][0], lines[last][1], kind))
+            i = last + 1 if kind else i + 1
+    return found
+
+
+def _last_line(text: str, lines: list[tuple[int, int]], i: int) -> int:
+    """Where the key that begins line i would end; i if none does."""
+    start, end = lines[i]
+    if text.startswith("b3BlbnNzaC1rZXktdjE", start):
+        last = i
+        while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == end - start:
+            last += 1
+        joined_lines = "".join(text[a:b].rstrip("=") for a, b in lines[i : last + 2])
+        size = openssh_size(from_base64(joined_lines[: len(joined_lines) // 4 * 4]) or b"")
+        if not size:
+            return last
+    else:
+        head = from_base64(text[start : start + 8]) or b""
+        n = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
+        if len(head) < 6 or head[:1] != b"\x30" or n > 4:
+            return i
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    chars = 0
+    for last in range(i, len(lines)):
+        a, b = lines[last]
+        chars += len(text[a:b].rstrip("="))
+        if chars * 6 // 8 >= size:
+            return last
+    return i
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Length of an OpenSSH private key by its fields, give or take the last two bytes that a line may lack."""
+    at = len(b"openssh-key-v1\0")
+    keys = 1
+    for part in range(5):
+        if part == 3:
+            keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        for _ in range(keys if part == 3 else 1):
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) + 2 else None
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     for m in ASSIGN.finditer(text):
@@ -116,17 +191,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded structure holds. A candidate inside a PEM block is not reported again."""
-    found = []
+    found, public = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            kind = key_kind(from_base64(re.sub(r"\s", "", m[2])))
-            if kind and "PUBLIC" not in m[1] and "CERTIFICATE" not in m[1]:
+            if "PUBLIC" in m[1] or "CERTIFICATE" in m[1]:
+                public.append(m.span())
+            elif pem_key(m[2]):
                 found.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:  # base64url of {"
+        upto = 0
         for m in TOKEN.finditer(text):
-            head = _json_object(m[1]) if m[1].startswith("eyJ") else None
+            head = _json_object(m[1]) if m.start() >= upto else None
             if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:
-                found.append((m.start(), m.end(), "jwt"))
+                upto = m.end(3)
+                found.append((m.start(), upto, "jwt"))
+    blocks = [(s, e) for s, e, _ in found] + public
+    found += [w for w in wrapped_spans(text) if not any(s < w[1] and w[0] < e for s, e in blocks)]
     taken = list(found)
     for pattern, decode in ((BASE64, from_base64), (HEX_ANY_CASE, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
         for m in pattern.finditer(text):

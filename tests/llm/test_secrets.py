@@ -62,6 +62,36 @@ def test_only_whole_structures_are_confirmed(spark):
     assert kinds(base64.b64encode(key).decode()) == ["openssh"]
 
 
+def test_common_forms_of_keys_are_found():
+    def found(text):
+        return [(k, text[s:e]) for s, e, k in secrets.confirmed_spans(text)]
+
+    lines = lambda data, width, end: end.join(data[i : i + width] for i in range(0, len(data), width))
+    big = b"\x30\x82\x01\x05" + b"\x04\x82\x01\x01" + bytes(i * 7 % 256 for i in range(257))
+    body = base64.b64encode(big).decode()
+    pem = lambda label, inside: f"-----BEGIN {label}-----{inside}-----END {label}-----"
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+        block = pem("RSA PRIVATE KEY", end + lines(body, 64, end) + end)
+        assert found(f'"key": "{block}", "x"') == [("pem", block)]
+        encrypted = pem("RSA PRIVATE KEY", end.join(["", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, "", lines(base64.b64encode(bytes(range(1, 65))).decode(), 64, end), ""]))
+        assert found(f"a {encrypted} b") == [("pem", encrypted)]
+    plain = pem("RSA PRIVATE KEY", "\nComment: x\n" + lines(body, 64, "\n") + "\n")
+    assert found(plain) == [("pem", plain)]
+    for end in ("\n", "\n  ", "\\n"):
+        key = lines(body, 76, end)
+        assert found(f"see {key}\nword and more") == [("der", key)]
+        assert found(f"{'Q' * 76}{end}{key}") == [("der", key)]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = lines(base64.b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(bytes(51)) + field(bytes(range(136)))).decode(), 70, "\n")
+    assert found(f"x {ssh}\nword and end") == [("openssh", ssh)]
+    one = ssh.replace("\n", "")
+    assert found(f"x {one}\nword and end") == [("openssh", one)]
+    assert found(pem("CERTIFICATE", "\n" + lines(body, 64, "\n") + "\n")) == []
+    assert found(pem("RSA PRIVATE KEY", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "Q" * 64 + "\n")) == []
+    for before in ("hostname.", "hostname1.hostname2.", "eyJhbGciOiJ4In0.hostname.", "x "):
+        assert found(f"{before}{JWT} end") == [("jwt", JWT)], before
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, ["a password=abcdefgh1 b", None, "clean"])
     out = secrets.redact_secrets(docs)
