@@ -51,12 +51,22 @@ def rollup(counted: DataFrame, *levels: str) -> DataFrame:
     )
 
 
-def render(flat: DataFrame, parts: int = 1) -> DataFrame:
+#: Products of a document of render() on average, where its parts are not given.
+DOCUMENT_PRODUCTS = 10_000
+
+
+def render(flat: DataFrame, parts: int | None = None) -> DataFrame:
     """category, series, part and json: documents in the shape of schema.MANIFEST, one for each series, or more
-    where parts deals a large series' products over several. Together they are the manifest, as JSON lines;
-    rollup() has its totals."""
+    where a large series' products are dealt over several by id and name: over parts, or by default over as many
+    as its count of products takes. Together they are the manifest, as JSON lines; rollup() has its totals."""
     product = F.struct("camera_id", "model_name", "image_urls", "datasheet_url", "specifications_html")
-    dealt = flat.withColumn("part", F.pmod(F.xxhash64("camera_id"), F.lit(parts)))
+    if parts is None:
+        counts = flat.groupBy(F.col("category").alias("_c"), F.col("series").alias("_s")).agg(F.ceil(F.count("*") / F.lit(DOCUMENT_PRODUCTS)).alias("_parts"))
+        same = F.col("category").eqNullSafe(F.col("_c")) & F.col("series").eqNullSafe(F.col("_s"))
+        dealt = flat.join(counts, same).drop("_c", "_s")
+    else:
+        dealt = flat.withColumn("_parts", F.lit(parts))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("camera_id", "model_name"), F.col("_parts")))
     each = dealt.groupBy("category", "series", "part").agg(F.collect_list(product).alias("products"))
     tree = F.create_map("category", F.struct(F.create_map("series", F.struct("products")).alias("series")))
     return each.select("category", "series", "part", F.to_json(F.struct(tree.alias("categories"))).alias("json"))

@@ -49,6 +49,17 @@ TREE = {"categories": {"Dome cameras": {"series": {"M30": {"products": [
 ]}}}}}
 
 
+def test_render_deals_a_large_series_over_documents(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "DOCUMENT_PRODUCTS", 20)
+    rows = [("c", "large", f"id{i}", f"name{i}", ["u"], None, None) for i in range(400)] + [("c", "small", "x", "x", ["u"], None, None)]
+    columns = "category string, series string, camera_id string, model_name string, image_urls array<string>, datasheet_url string, specifications_html map<string, map<string, string>>"
+    docs = manifest.render(spark.createDataFrame(rows, columns)).collect()
+    sizes = {"large": [], "small": []}
+    for d in docs:
+        sizes[d.series].append(d.json.count('"camera_id"'))
+    assert sum(sizes["large"]) == 400 and len(sizes["large"]) > 15 and max(sizes["large"]) <= 60 and sizes["small"] == [1]
+
+
 def test_flatten_rollup_render(spark, tmp_path):
     flat = manifest.flatten(spark.createDataFrame([TREE], MANIFEST))
     assert flat.count() == 3 and manifest.to_products(flat).count() == 2
