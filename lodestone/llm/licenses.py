@@ -1,197 +1,141 @@
 """License scan by ordered signature rules, on DataFrame functions alone.
 
-Texts become lower-case words joined by single spaces. Only texts with all the needed words of a base phrase
-or a rule go on; each of them meets the rules whose needed words it has, and a rule's expression gives word intervals. Of these,
-an interval inside another one of the same or a higher priority is suppressed (of equal intervals the
-higher priority, then the earlier rule, stays). Base phrases are always reported.
-
-Defined results: null and wordless texts have zero words, no labels, score 0 and null word numbers; rows
-are keyed by doc_id and text, so rows that share both get the same result each, and null doc_ids do no
-harm; other columns are ignored. score is the highest confidence of what was found.
+Texts become lower-case words joined by single spaces. A rule is tried on the texts that have its keyword, a
+word of every match that follows from the rule's own expression. Every rule is a literal expression of its
+own, so it is compiled once; where one matches, its word intervals are listed. An interval inside another
+one of the same or a higher priority is suppressed (of equal intervals the higher priority, then the earlier
+rule, stays). Base phrases are always reported.
+
+All of this happens within a document's row, in the stage that scans the table: nothing is shuffled, joined
+or kept, and each row stands for itself.
+
+Defined results: null and wordless texts have zero words, no labels, score 0 and null word numbers; repeated
+rows, and null and repeated doc_ids, get a row each; other columns are ignored; an empty table gives no rows.
+score is the highest confidence of what was found.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, split_words, stage
+from lodestone.llm.common import ascii_lower, split_words
+from lodestone.llm.license_rules import TAG, rules
 
 SEPARATORS = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-BASE_PATTERN = "(?<![^ ])(?:cc by|general public license|all rights reserved)(?![^ ])"
 BASE_CONFIDENCE = 0.5
+#: Put around matches; no word holds them, as they separate words.
+OPEN, CLOSE = "\x01", "\x02"
 
-# Families: label, name, short name, spdx name, keyword of the name ("a|b": a or b), versions ("" is the family without a version).
-FAMILIES = [
-    ("gpl", "gnu general public licen[cs]e", "(?:gnu )?gpl", "gpl", "general", ["1.0", "2.0", "3.0"]),
-    ("lgpl", "gnu (?:lesser|library) general public licen[cs]e", "(?:gnu )?lgpl", "lgpl", "general", ["2.0", "2.1", "3.0"]),
-    ("agpl", "(?:gnu )?affero general public licen[cs]e", "(?:gnu )?agpl", "agpl", "affero", ["1.0", "3.0"]),
-    ("gfdl", "gnu free documentation licen[cs]e", "(?:gnu )?(?:gfdl|fdl)", "gfdl", "documentation", ["1.1", "1.2", "1.3"]),
-    ("apache", "apache (?:software )?licen[cs]e", "apache", "apache", "apache", ["1.0", "1.1", "2.0"]),
-    ("mpl", "mozilla public licen[cs]e", "mpl", "mpl", "mozilla", ["1.0", "1.1", "2.0"]),
-    ("epl", "eclipse public licen[cs]e", "epl", "epl", "eclipse", ["1.0", "2.0"]),
-    ("cpl", "common public licen[cs]e", "cpl", "cpl", "common", ["1.0"]),
-    ("ipl", "ibm public licen[cs]e", "ipl", "ipl", "ibm", ["1.0"]),
-    ("cddl", "common development and distribution licen[cs]e", "cddl", "cddl", "development", ["1.0", "1.1"]),
-    ("eupl", "european union public licen[cs]e", "eupl", "eupl", "european", ["1.0", "1.1", "1.2"]),
-    ("osl", "open software licen[cs]e", "osl", "osl", "open", ["1.0", "1.1", "2.0", "2.1", "3.0"]),
-    ("afl", "academic free licen[cs]e", "afl", "afl", "academic", ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-    ("artistic", "(?:perl )?artistic licen[cs]e", "artistic", "artistic", "artistic", ["1.0", "2.0"]),
-    ("bsl", "boost software licen[cs]e", "bsl", "bsl", "boost", ["1.0"]),
-    ("ofl", "(?:sil )?open font licen[cs]e", "(?:sil )?ofl", "ofl", "font", ["1.0", "1.1"]),
-    ("odbl", "open (?:data commons open )?database licen[cs]e", "odbl", "odbl", "database", ["1.0"]),
-    ("odc-by", "open data commons attribution licen[cs]e", "odc by", "odc by", "attribution", ["1.0"]),
-    ("pddl", "(?:open data commons )?public domain dedication and licen[cs]e", "pddl", "pddl", "dedication", ["1.0"]),
-    ("php", "php licen[cs]e", "php", "php", "php", ["3.0", "3.01"]),
-    ("psf", "(?:python software foundation|psf) licen[cs]e", "psf", "psf", "foundation|psf", ["2.0"]),
-    ("zpl", "zope public licen[cs]e", "zpl", "zpl", "zope", ["1.1", "2.0", "2.1"]),
-    ("apsl", "apple public source licen[cs]e", "apsl", "apsl", "apple", ["1.0", "1.1", "1.2", "2.0"]),
-    ("npl", "netscape public licen[cs]e", "npl", "npl", "netscape", ["1.0", "1.1"]),
-    ("lppl", "latex project public licen[cs]e", "lppl", "lppl", "latex", ["1.0", "1.1", "1.2", "1.3a", "1.3c"]),
-    ("ecl", "educational community licen[cs]e", "ecl", "ecl", "educational", ["1.0", "2.0"]),
-    ("cecill", "cecill (?:free software )?licen[cs]e", "cecill", "cecill", "cecill", ["1.0", "1.1", "2.0", "2.1"]),
-    ("ms-pl", "microsoft public licen[cs]e", "ms pl", "ms pl", "microsoft", [""]),
-    ("ms-rl", "microsoft reciprocal licen[cs]e", "ms rl", "ms rl", "microsoft", [""]),
-    ("mit", "(?:mit|expat) licen[cs]e", "mit", "mit", "mit|expat", [""]),
-    ("isc", "isc licen[cs]e", "isc", "isc", "isc", [""]),
-    ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib", "zlib", "zlib", [""]),
-    ("unlicense", "(?:the )?unlicense", "unlicense", "unlicense", "unlicense", [""]),
-    ("wtfpl", "do what the fuck you want to public licen[cs]e", "wtfpl", "wtfpl", "want", [""]),
-    ("ncsa", "university of illinois ncsa open source licen[cs]e", "ncsa", "ncsa", "ncsa", [""]),
-    ("upl", "universal permissive licen[cs]e", "upl", "upl", "permissive", ["1.0"]),
-    ("postgresql", "postgresql licen[cs]e", "postgresql", "postgresql", "postgresql", [""]),
-    ("openssl", "openssl licen[cs]e", "openssl", "openssl", "openssl", [""]),
-    ("ruby", "ruby licen[cs]e", "ruby", "ruby", "ruby", [""]),
-    ("vim", "vim licen[cs]e", "vim", "vim", "vim", [""]),
-    ("w3c", "w3c (?:software )?(?:notice and )?licen[cs]e", "w3c", "w3c", "w3c", [""]),
-    ("sspl", "server side public licen[cs]e", "sspl", "sspl", "server", ["1.0"]),
-    ("bsd-2-clause", "(?:simplified|2 clause) bsd licen[cs]e", "bsd 2 clause", "bsd 2 clause", "bsd", [""]),
-    ("bsd-3-clause", "(?:new|modified|revised|3 clause) bsd licen[cs]e", "bsd 3 clause", "bsd 3 clause", "bsd", [""]),
-    ("bsd-4-clause", "(?:original|4 clause) bsd licen[cs]e", "bsd 4 clause", "bsd 4 clause", "bsd", [""]),
-    ("bsd", "bsd licen[cs]e", "bsd", "bsd", "bsd", [""]),
-]
-UNDER = "licensed|released|distributed|available|published|used"
-CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-CC_NAMES = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
-# Single signatures: label, expression, needed words, confidence.
-SINGLES = [
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", ("copyright",), 0.6),
-    ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", ("public", "domain"), 0.8),
-    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", ("cc0|zero",), 0.9),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("hereby", "granted"), 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission", "modify"), 0.9),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", ("redistribution", "binary"), 0.9),
-    ("zlib", "this software is provided as is without any express or implied warranty", ("warranty", "provided"), 0.7),
-    ("proprietary", "(?:proprietary and confidential|unauthorized (?:copying|reproduction|distribution) (?:of this \\w+ )?is (?:strictly )?prohibited)", ("proprietary|unauthorized", "confidential|prohibited"), 0.8),
-]
-
-
-def version_pattern(version: str) -> str:
-    major, _, minor = version.partition(".")
-    return f"(?:version |ver )?v ?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}") + f"|(?:version |ver )?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
-
-
-def rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
-    """label, expression, needed words, priority (higher wins), confidence: made from the families and versions.
-
-    Whatever an expression matches has each of its needed words, or of "a|b" at least one."""
-    out = []
-    for label, name, short, spdx, keyword, versions in FAMILIES:
-        named = (keyword, "license|licence") if "licen[cs]e" in name else (keyword,)
-        keys = tuple(word.strip("(?:)") for word in re.sub(r"\(\?:\w+ \)\?", "", short).split(" "))
-        for version in versions:
-            v = f" (?:{version_pattern(version)})" if version else ""
-            full = f"{label}-{version}" if version else label
-            out.append((full, f"(?:the )?{name}{v}", named, 2, 0.95))
-            out.append((full, f"(?:{UNDER}) under (?:the )?(?:terms of (?:the )?)?{short}{v}", (*keys, "under", UNDER), 2, 0.9))
-            out.append((full, f"spdx licen[cs]e identifier {spdx}" + (f" {version.replace('.', ' ')}" if version else "") + "(?: only| or later)?", ("spdx", "identifier"), 3, 1.0))
-        if versions != [""]:
-            out.append((label, f"(?:the )?{name}", named, 1, 0.8))
-    for kind, name in CC_NAMES.items():
-        for version in CC_VERSIONS:
-            words, v = kind.replace("-", " "), version.replace(".", " ")
-            out.append((f"cc-{kind}-{version}", f"creative commons {name}(?: (?:international|unported|generic))? (?:licen[cs]e )?(?:version )?{v}(?: (?:international|unported|generic))?(?: licen[cs]e)?", ("creative", "commons"), 2, 0.95))
-            out.append((f"cc-{kind}-{version}", f"cc {words} {v}", ("cc", "by"), 3, 0.95))
-        out.append((f"cc-{kind}", f"creative commons {name}", ("creative", "commons"), 1, 0.8))
-    out += [(label, pattern, needed, 2, confidence) for label, pattern, needed, confidence in SINGLES]
-    return out
-
-
-def admitted(words: Column) -> Column:
-    """rules (numbers) of each group of rules with the same needed words that the words of a text include. A
-    group without rules stands for each base phrase; a text with no group holds no phrase and no rule."""
-    groups = defaultdict(list, {tuple(phrase.split(" ")): [] for phrase in BASE})
-    for i, (_, _, needed, _, _) in enumerate(rules()):
-        groups[needed].append(i)
-    strings = lambda values: F.array(*[F.lit(v) for v in values])
-    table = F.array(*[F.struct(F.array(*[strings(n.split("|")) for n in needed]).alias("needed"), F.array(*[F.lit(i) for i in numbers]).cast("array<int>").alias("rules")) for needed, numbers in groups.items()])
-    known = strings(sorted({word for needed in groups for n in needed for word in n.split("|")}))
-    meets = lambda met: F.filter(table, lambda g: F.forall(g["needed"], lambda n: F.arrays_overlap(n, met)))
-    # inside transform() the known words of a text are made once, not once per group
-    return F.transform(F.array(F.array_intersect(words, known)), lambda met: F.when(F.size(met) > 0, meets(met)))[0]
+
+def whole_words(pattern: str) -> str:
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def marked(norm: Column, pattern: Column) -> Column:
+    """The words of norm, where the first of each match begins with OPEN and the last ends with CLOSE."""
+    return F.split(F.regexp_replace(norm, pattern, F.lit(f"{OPEN}$0{CLOSE}")), " ")
+
+
+def places(words: Column, test) -> Column:
+    return F.filter(F.transform(words, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+
+
+def starts(words: Column) -> Column:
+    return places(words, lambda w: w.startswith(OPEN))
+
+
+def ends(words: Column) -> Column:
+    """Numbers of the last words of the matches."""
+    return places(words, lambda w: w.endswith(CLOSE))
+
+
+def literals(values) -> Column:
+    """A constant array; numbers, or strings without quotes. One expression, as the session's gateway is slow."""
+    return F.expr(f"array({', '.join(raw(v) if isinstance(v, str) else repr(v) for v in values)})")
+
+
+def raw(value: str) -> str:
+    return f"r'{value}'"
 
 
 def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words of every row; where a rule could apply, norm (its words joined by spaces) and
-    rules (the numbers of those that could)."""
-    lower = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lower"))
-    words = lower.select("doc_id", "text_hash", split_words(F.col("lower"), SEPARATORS).alias("words"))
-    met = words.select("*", admitted(F.col("words")).alias("met"))
+    """doc_id, n_words of every row; norm (its words joined by spaces) and rules (the numbers of those whose
+    keyword it has) where it has any word of a base phrase or a keyword."""
+    index = defaultdict(list)
+    for i, rule in enumerate(rules()):
+        for word in rule.keyword.split("|"):
+            index[word].append(i)
+    known = literals(sorted({*index, *(phrase.split(" ")[0] for phrase in BASE)}))
+    table = F.expr(f"map({', '.join(f'{raw(word)}, array({str(numbers)[1:-1]})' for word, numbers in sorted(index.items()))})")
+    none = F.array().cast("array<int>")
+    lower = docs.select(F.col("doc_id").cast("long"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lower"))
+    words = lower.select("doc_id", split_words(F.col("lower"), SEPARATORS).alias("words"))
+    met = words.select("doc_id", "words", F.array_intersect("words", known).alias("met"))
+    some = F.size("met") > 0
     return met.select(
-        "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.size("met") > 0, F.array_join("words", " ")).alias("norm"),
-        F.when(F.size("met") > 0, F.flatten(F.transform("met", lambda g: g["rules"]))).alias("rules"),
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.when(some, F.array_join("words", " ")).alias("norm"),
+        F.when(some, F.flatten(F.transform("met", lambda w: F.coalesce(F.element_at(table, w), none)))).alias("rules"),
     )
 
 
-def spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+def matching(norm: str, numbers: str) -> Column:
+    """Of the numbered rules, those with a match in norm, in order."""
+    tried = ", ".join(f"if(array_contains(x.rules, {i}) and x.norm rlike {raw(whole_words(rule.pattern))}, {i}, null)" for i, rule in enumerate(rules()))
+    return F.expr(f"case when size({numbers}) > 0 then transform(array(struct({norm} as norm, {numbers} as rules)), x -> array_compact(array({tried})))[0] end")
+
+
+def intervals(norm: Column, hits: Column) -> Column:
+    """start, end, priority (the last two negated, so that this is the order of suppression) and rule of every
+    match of the rules in hits; end is exclusive."""
+    patterns, priorities = literals(whole_words(rule.pattern) for rule in rules()), literals(rule.priority for rule in rules())
+
+    def of_rule(i: Column) -> Column:
+        def listed(words: Column) -> Column:
+            return F.transform(F.arrays_zip(starts(words).alias("a"), ends(words).alias("b")), lambda x: F.struct(x["a"].alias("start"), (-x["b"] - 1).alias("minus_end"), (-F.get(priorities, i)).alias("minus_priority"), i.alias("rule")))
+
+        return once(marked(norm, F.get(patterns, i)), listed)
+
+    return F.sort_array(F.flatten(F.transform(hits, of_rule)))
 
 
-def intervals(gated: DataFrame) -> DataFrame:
-    """rule, label, priority, confidence, start, end (words, end exclusive) of every match, with the key."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(f"(?<![^ ])(?:{p})(?![^ ])").alias("pattern"), F.lit(r).alias("priority"), F.lit(c).alias("confidence")) for i, (a, p, _, r, c) in enumerate(rules())])
-    met = gated.select("*", F.explode("rules").alias("at")).withColumn("r", F.element_at(table, F.col("at") + 1)).where(F.expr("norm rlike r.pattern"))
-    cut = met.select("doc_id", "text_hash", "r", F.expr("split(norm, r.pattern, -1)").alias("gaps"), F.expr("regexp_extract_all(norm, r.pattern, 0)").alias("hits"))
-    each = cut.select("doc_id", "text_hash", "r", F.posexplode(F.arrays_zip("gaps", "hits")).alias("i", "x")).where("x.hits is not null")
-    each = each.select("*", spaces(F.col("x.gaps")).alias("gap"), spaces(F.col("x.hits")).alias("inner"))
-    through = F.sum(F.col("gap") + F.col("inner")).over(Window.partitionBy("doc_id", "text_hash", "r.rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return each.select("doc_id", "text_hash", "r.*", (through - F.col("inner")).alias("start"), (through + 1).alias("end"))
+def surviving(ordered: Column) -> Column:
+    """The distinct rules with an interval that lies in no other of the same or a higher priority. Intervals come
+    by start, so one lies in an earlier one if that reaches its end; reach has the furthest end by priority."""
+    begin = F.struct(F.array(*[F.lit(0)] * (TAG + 1)).alias("reach"), F.array().cast("array<int>").alias("kept"))
 
+    def step(state: Column, x: Column) -> Column:
+        reach = F.transform(state["reach"], lambda r, p: F.when(p <= -x["minus_priority"], F.greatest(r, -x["minus_end"])).otherwise(r))
+        stays = F.get(state["reach"], -x["minus_priority"]) < -x["minus_end"]
+        return F.struct(reach.alias("reach"), F.when(stays, F.array_union(state["kept"], F.array(x["rule"]))).otherwise(state["kept"]).alias("kept"))
 
-def surviving(found: DataFrame) -> DataFrame:
-    """Intervals that lie in no other of the same or a higher priority: one window per document."""
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    reach = {p: F.max(F.when(F.col("priority") >= p, F.col("end"))).over(order) for p in (1, 2, 3)}
-    covered = found.withColumns({f"reach{p}": c for p, c in reach.items()})
-    own = F.when(F.col("priority") == 3, F.col("reach3")).when(F.col("priority") == 2, F.col("reach2")).otherwise(F.col("reach1"))
-    return covered.where(own.isNull() | (own < F.col("end")))
+    return F.aggregate(ordered, begin, step, lambda state: state["kept"])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs."""
-    every = stage(normalised(docs), "license-words")
-    gated = every.where("norm is not null").select("doc_id", "text_hash", "n_words", "norm", "rules").distinct()
-    base = gated.select("doc_id", "text_hash", "n_words", F.split("norm", BASE_PATTERN, -1).alias("gaps"), F.regexp_extract_all("norm", F.lit(BASE_PATTERN), F.lit(0)).alias("hits"))
-    names = F.concat(*[F.when(F.array_contains("hits", phrase), F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for phrase, label in BASE.items()])
-    last = F.col("n_words") - spaces(F.element_at("gaps", -1)) - spaces(F.element_at("hits", -1)) - 1
-    base = base.where(F.size("hits") > 0).select("doc_id", "text_hash", F.size("hits").alias("n_base"), spaces(F.col("gaps")[0]).alias("first_word"), last.alias("last_word"), names.alias("base_names"), F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("more"))
-    more = surviving(intervals(gated.select("doc_id", "text_hash", "norm", "rules"))).groupBy("doc_id", "text_hash").agg(F.max("confidence").alias("best"), F.collect_set("label").alias("more"))
-    both = base.unionByName(more, allowMissingColumns=True).groupBy("doc_id", "text_hash").agg(
-        F.max("n_base").alias("n_base"), F.max("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.flatten(F.collect_list("base_names")).alias("base_names"), F.flatten(F.collect_list("more")).alias("more"), F.max("best").alias("best")
+    gated = normalised(docs)
+    hit = gated.withColumns({"base": F.when(F.col("norm").isNotNull(), marked(F.col("norm"), F.lit(whole_words("|".join(BASE))))), "hits": matching("norm", "rules")})
+    found = hit.select("doc_id", "n_words", F.col("base"), starts(F.col("base")).alias("at"), F.when(F.size("hits") > 0, surviving(intervals(F.col("norm"), F.col("hits")))).alias("kept"))
+    no_names = F.array().cast("array<string>")
+    base = F.concat(*[F.when(F.array_contains("base", OPEN + phrase.split(" ")[0]), F.array(F.lit(label))).otherwise(no_names) for phrase, label in BASE.items()])
+    labels, confidences = literals(rule.label for rule in rules()), literals(rule.confidence for rule in rules()).cast("array<double>")
+    named = found.select(
+        "doc_id", "n_words", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce(base, no_names).alias("base"),
+        F.coalesce(F.transform("kept", lambda i: F.get(labels, i)), no_names).alias("more"), F.array_max(F.transform("kept", lambda i: F.get(confidences, i))).alias("best"),
     )
-    found = stage(both, "licenses")
-    names = F.coalesce("base_names", F.array().cast("array<string>"))
-    labels = F.concat(names, F.coalesce("more", F.array().cast("array<string>")))
-    n_base = F.coalesce("n_base", F.lit(0)).cast("long")
-    joined = every.drop("norm", "rules").join(found, [every[k].eqNullSafe(found[k]) for k in ("doc_id", "text_hash")], "left")
-    return joined.select(
-        every["doc_id"], "n_words", n_base.alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
-        F.array_join(F.sort_array(names), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_distinct(labels)), ",").alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(n_base > 0, F.lit(BASE_CONFIDENCE)).otherwise(0.0)).alias("score"),
+    return named.select(
+        "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.get("at", 0).cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
+        F.array_join(F.sort_array("base"), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union("base", "more")), ",").alias("labels"),
+        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("at") > 0, F.lit(BASE_CONFIDENCE)).otherwise(0.0)).alias("score"),
     )
