@@ -3,7 +3,9 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
+import pytest
 from helpers import ODD, ODD_IDS, documents
 
 from lodestone.llm import decontaminate, topk
@@ -28,6 +30,7 @@ def brute_topk(rows, k=5, every=50):
 def test_topk_is_exact_in_many_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(topk, "FIRST_ROWS", 30)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(6, 8))
     rows = [(i, [float(np.float32(x)) for x in base[i % 6] + rng.normal(0, 0.2, 8)]) for i in range(300)]
@@ -38,15 +41,51 @@ def test_topk_is_exact_in_many_shards(spark, monkeypatch):
     assert topk.exact_topk(table.limit(0)).count() == 0
 
 
-def test_bounds_lose_nothing():
+def test_bounds_lose_nothing(monkeypatch):
+    monkeypatch.setattr(topk, "STRIDE", 64)
     rng = np.random.default_rng(5)
     for dims in (1, 2, 16, 64):
-        rows = rng.integers(-128, 128, (500, dims)).astype(float)
+        rows = rng.integers(-128, 128, (500, dims))
         rows[::7] = rows[0]
+        shard = topk.Shard(np.arange(500), rows)
         for q in rows[:20]:
-            ids, scores = topk.best_of_shard(np.arange(500), rows, 3, q, 5)
-            want = sorted((-(r @ q), i) for i, r in enumerate(rows) if i != 3)[:5]
-            assert list(zip(-scores, ids)) == want
+            want = sorted((-int(r @ q), i) for i, r in enumerate(rows) if i != 3)[:5]
+            for floor in (None, -want[-1][0], -want[-1][0] - 1):
+                ids, scores, _ = shard.best(3, q, 5, floor)
+                assert [(-s, i) for i, s in zip(ids, scores)] == want
+            ids, scores, _ = shard.best(3, q, 5, 1 - want[-1][0])  # others reach more than the fifth
+            assert [(-s, i) for i, s in zip(ids, scores)] == [w for w in want if w[0] < want[-1][0]]
+
+
+def test_threshold_saves_probes():
+    """Vectors of falling scale: most lie below what the first ones reach."""
+    rng = np.random.default_rng(1)
+    rows = np.round(rng.normal(0, 1, (8192, 64)) * 256 / np.arange(1, 65)).astype(np.int64)
+    _, _, products = topk.Shard(np.arange(8192), rows).best(-1, rows[17], 5)
+    assert products < 0.7 * rows.size
+
+
+def test_scores_are_exact_up_to_64_bits(spark):
+    base = [10_000_000.25, -123.75, 9.5, 7.0]
+    rows = [(i, [x + i for x in base]) for i in range(120)]
+    big = [(200, [2.0**22, 2.0**22]), (250, [2.0**22, 2.0**22 - 1]), (251, [-(2.0**22), -(2.0**22)])]
+    for part in (rows, big):
+        table = spark.createDataFrame(part, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, topk.exact_topk(table).collect()))
+        assert got == brute_topk(part) and max(abs(s) for *_, s in got) > 1 << 53
+    over = spark.createDataFrame([(0, [2.0**24] * 2), (1, [2.0**24] * 2)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(over).collect()
+
+
+def test_topk_equals_its_sql_on_odd_rows(spark, tmp_path):
+    rows = [(i, [float((i * 7 + j) % 5) for j in range(4)]) for i in range(101)] + [(100, [0.0] * 4), (None, [1.0] * 4), (102, None), (103, [1.0, None, 0.0, 0.0]), (104, [float("inf")] * 4), (150, [1.0]), (151, [2.0]), (200, []), (201, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "e"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+        want = sorted(db.execute(topk.ORACLE_SQL).fetchall())
+    assert sorted(map(tuple, topk.exact_topk(table).collect())) == want
 
 
 def words_of(text):
