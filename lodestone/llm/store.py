@@ -6,8 +6,10 @@ document is a recipe: its chunks in order and the Merkle root over them. Recipes
 order, with the number of ids before each document; a manifest holds one Merkle root per recipe file.
 
 One shuffle carries the chunks: a task sends each of its distinct chunks once, so a chunk of many copies
-reaches its owner at most once per task. Reading back checks every chunk against its name, every recipe
-against its root and every file against the manifest, and any mismatch raises an error.
+reaches its owner at most once per task. How many recipe files there are follows from the number of documents,
+and a file's Merkle tree is built from blocks of a bounded number of documents, so no task holds a file.
+Reading back checks every chunk against its name, every recipe against its root and every file against the
+manifest, and any mismatch raises an error.
 
 Defined results: a null or empty text is the end id alone; documents without a doc_id come first, and rows
 that share a doc_id follow one another by a row number, each with its own recipe; other columns are
@@ -23,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,9 @@ END = 0
 #: Ids that the rolling hash sees, its cut mask (one place in 256 cuts), least and most ids of a chunk.
 SPAN, MASK, LEAST, MOST = 8, 255, 64, 1024
 DIGEST = 16
+#: Documents of a recipe file, on average, and of a block of its Merkle tree (a power of two, so that the blocks'
+#: roots are nodes of the tree over all documents of the file).
+FILE_ROWS, BLOCK_ROWS = 100_000, 4096
 #: Names that a task remembers as already sent; when full, it starts anew and may send one again.
 SENT = 500_000
 
@@ -49,22 +55,34 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream. Where to cut depends on the SPAN ids before it alone, but for the bounds."""
-    x = ids.astype(np.uint32)
+def cut_points(documents: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream. Where to cut depends on the SPAN ids before it alone, but for the
+    bounds. All streams are hashed in one array, with SPAN zeros before each, which add nothing to a hash."""
+    begins = np.cumsum([SPAN, *(len(ids) + SPAN for ids in documents)])
+    x = np.zeros(begins[-1], np.uint32)
+    for at, ids in zip(begins.tolist(), documents):
+        x[at : at + len(ids)] = ids
     h = np.zeros(len(x), np.uint32)
-    for back in range(min(SPAN, len(x))):
+    for back in range(SPAN):
         h[back:] += x[: len(x) - back] * np.uint32(pow(0x9E3779B1, back + 1, 1 << 32))
-    marks = (np.flatnonzero((h >> np.uint32(13)) & np.uint32(MASK) == 0) + 1).tolist()
+    marks = np.flatnonzero((h >> np.uint32(13)) & np.uint32(MASK) == 0) + 1
+    firsts = np.searchsorted(marks, begins + 1).tolist()
+    out = []
+    for ids, begin, i, j in zip(documents, begins.tolist(), firsts, firsts[1:]):
+        out.append(_bounded(len(ids), (marks[i:j] - begin).tolist()))
+    return out
+
+
+def _bounded(length: int, marks: list[int]) -> list[int]:
+    """The marks that become ends, so that all chunks but the last have LEAST to MOST ids."""
     ends, begin, at = [], 0, 0
-    while len(x) - begin > LEAST:
+    while length - begin > LEAST:
         while at < len(marks) and marks[at] < begin + LEAST:
             at += 1
-        end = min(marks[at] if at < len(marks) else len(x), begin + MOST, len(x))
-        ends.append(end)
-        begin = end
-    if begin < len(x):
-        ends.append(len(x))
+        begin = min(marks[at] if at < len(marks) else length, begin + MOST, length)
+        ends.append(begin)
+    if begin < length:
+        ends.append(length)
     return ends
 
 
@@ -79,10 +97,10 @@ def chunks_and_recipes(docs: DataFrame, vocabulary: str) -> DataFrame:
         end = np.asarray([END], dtype=enc.kind)
         for batch in slices(batches):
             names, data, recipes = [], [], []
-            for doc_id, row, found in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), enc.encode_many(batch.column("text"))):
-                ids = np.append(found, end)
+            streams = [np.append(found, end) for found in enc.encode_many(batch.column("text"))]
+            for doc_id, row, ids, stops in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), streams, cut_points(streams)):
                 whole, mine, at, width = ids.tobytes(), [], 0, ids.itemsize
-                for stop in cut_points(ids):
+                for stop in stops:
                     part = whole[at * width : stop * width]
                     mine.append(digest(part))
                     at = stop
@@ -105,30 +123,41 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> No
     """Write parts/kind=chunk, recipes and manifest under path."""
     spark = docs.sparkSession
     rows = chunks_and_recipes(docs, vocabulary or default_vocabulary())
-    once = rows.groupBy("kind", "name").agg(*[F.first(c).alias(c) for c in ("data", "doc_id", "row", "n_tokens", "chunks", "root")])
+    # the first row of each name; a running count needs no sort before the shuffle, unlike first() or a rank
+    seen = F.count("*").over(Window.partitionBy("kind", "name").orderBy("kind").rowsBetween(Window.unboundedPreceding, 0))
+    once = rows.withColumn("seen", seen).where("seen = 1").drop("seen")
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
 
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     recipes = _part(spark, path, "recipe", "doc_id long, row long, n_tokens long, chunks array<binary>, root binary")
-    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
+    files = max(1, -(-recipes.count() // FILE_ROWS))
+    ordered = recipes.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ordered.withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/sorted")
     ranged = spark.read.parquet(f"{path}/sorted")
     sums = ranged.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.withColumn("upto", within).join(F.broadcast(before), "file").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens"))
+    within = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumns({"upto": F.sum("n_tokens").over(within), "leaf": F.count("*").over(within) - 1}).join(F.broadcast(before), "file")
+    placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens"))
     placed.drop("before", "upto").write.option("compression", "zstd").parquet(f"{path}/recipes")
     file_roots(spark, path).write.parquet(f"{path}/manifest")
 
 
 def file_roots(spark: SparkSession, path: str) -> DataFrame:
     """file, n_docs, n_ids and the Merkle root over its documents' roots, of every recipe file as it is now."""
-    leaves = read_recipes(spark, path).select("file", "start", "n_tokens", "root")
-    return leaves.groupBy("file").applyInArrow(_file_root, "file int, n_docs long, n_ids long, root binary")
+    block = F.floor(F.col("leaf") / BLOCK_ROWS).cast("long").alias("block")
+    leaves = read_recipes(spark, path).select("file", block, "leaf", F.lit(1).cast("long").alias("n_docs"), F.col("n_tokens").alias("n_ids"), "root")
+    blocks = leaves.groupBy("file", "block").applyInArrow(_root_over("leaf"), "file int, block long, n_docs long, n_ids long, root binary")
+    return blocks.groupBy("file").applyInArrow(_root_over("block"), "file int, block long, n_docs long, n_ids long, root binary").drop("block")
+
 
+def _root_over(order: str):
+    def root(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        sums = [[pc.sum(group[c]).as_py()] for c in ("n_docs", "n_ids")]
+        return pa.table([group["file"].slice(0, 1), group["block"].slice(0, 1), *sums, [merkle_root(group["root"].to_pylist())]], names=["file", "block", "n_docs", "n_ids", "root"])
 
-def _file_root(group: pa.Table) -> pa.Table:
-    group = group.sort_by("start")
-    return pa.table({"file": pa.array(group["file"].to_pylist()[:1], pa.int32()), "n_docs": [group.num_rows], "n_ids": [sum(group["n_tokens"].to_pylist())], "root": [merkle_root(group["root"].to_pylist())]})
+    return root
 
 
 def _part(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
@@ -136,7 +165,7 @@ def _part(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("file int, doc_id long, row long, n_tokens long, chunks array<binary>, root binary, start long").parquet(f"{path}/recipes")
+    return spark.read.schema("file int, doc_id long, row long, n_tokens long, chunks array<binary>, root binary, leaf long, start long").parquet(f"{path}/recipes")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -144,43 +173,63 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Crc32:
-    """crc32 of a whole from the crc32 of its parts: appending n zero bytes is linear, four table look-ups."""
+    """crc32 of a whole from the crc32 of its parts. Appending zero bytes is linear: for each power of two of
+    them there is a table of 4 x 256 entries, and a part takes those of the bits of the length after it."""
 
     def __init__(self):
-        self.tables: dict[int, list[list[int]]] = {}
-
-    def shifted(self, crc: int, n: int) -> int:
-        t = self.tables.get(n)
-        if t is None:
-            unit = [zlib.crc32(bytes(n), 1 << b) ^ zlib.crc32(bytes(n), 0) for b in range(32)]
-            t = np.zeros((4, 256), np.uint64)
-            for byte in range(4):
-                for b in range(8):
-                    t[byte, [v for v in range(256) if v >> b & 1]] ^= np.uint64(unit[8 * byte + b])
-            self.tables[n] = t = t.tolist()
-        return t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
+        unit = np.array([zlib.crc32(b"\0", 1 << b) ^ zlib.crc32(b"\0", 0) for b in range(32)], np.uint32)
+        self.powers = [self._table(unit)]
+
+    @staticmethod
+    def _table(unit: np.ndarray) -> np.ndarray:
+        """unit: what becomes of each single bit."""
+        value, table = np.arange(256), np.zeros((4, 256), np.uint32)
+        for b in range(32):
+            table[b // 8] ^= np.where(value >> b % 8 & 1, unit[b], 0).astype(np.uint32)
+        return table
+
+    @staticmethod
+    def _apply(table: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+        return table[0][crcs & 255] ^ table[1][crcs >> 8 & 255] ^ table[2][crcs >> 16 & 255] ^ table[3][crcs >> 24]
+
+    def shifted(self, crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What each crc32 becomes when so many bytes follow it."""
+        out, bit = crcs.astype(np.uint32), 0
+        while (sizes >> bit).any():
+            if bit == len(self.powers):
+                last = self.powers[-1]
+                self.powers.append(self._table(self._apply(last, self._apply(last, np.uint32(1) << np.arange(32, dtype=np.uint32)))))
+            on = (sizes >> bit & 1) == 1
+            out[on] = self._apply(self.powers[bit], out[on])
+            bit += 1
+        return out
+
+    def joined_many(self, crcs: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The crc32 of each whole; crc32 and bytes of all parts in order, and where each whole's parts begin."""
+        ends = sizes.cumsum()
+        counts = np.diff(np.append(begins, len(sizes)))
+        after = np.repeat(ends[begins + counts - 1], counts) - ends
+        return np.bitwise_xor.reduceat(self.shifted(crcs, after), begins)
 
     def joined(self, parts: list[tuple[int, int]]) -> int:
         """parts: (crc32, bytes) in order."""
-        whole = 0
-        for crc, n in parts:
-            whole = self.shifted(whole, n) ^ crc
-        return whole
+        return int(self.joined_many(np.array([c for c, _ in parts], np.uint32), np.array([n for _, n in parts], np.int64), np.array([0]))[0])
 
 
 def verified_chunks(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
     """name, crc (crc32 of the ids as 32-bit integers) and n (ids) of each stored chunk, read and checked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = encoder(vocabulary).kind
+        kind = np.dtype(encoder(vocabulary).kind)
         for batch in batches:
-            crcs, sizes = [], []
-            for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist()):
-                if digest(data) != name:
+            names, data = batch.column("name").to_pylist(), batch.column("data").to_pylist()
+            for name, part in zip(names, data):
+                if digest(part) != name:
                     raise ValueError(f"chunk {name.hex()} does not hold what its name says")
-                ids = np.frombuffer(data, dtype=kind)
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                sizes.append(len(ids))
+            wide = memoryview(np.frombuffer(b"".join(data), dtype=kind).astype("<u4").tobytes())
+            sizes = np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
+            ends = (4 * sizes.cumsum()).tolist()
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())], names=["name", "crc", "n"])
 
     return read_chunks(spark, path).mapInArrow(check, "name binary, crc long, n int")
@@ -201,12 +250,19 @@ def read_digests(spark: SparkSession, path: str, vocabulary: str | None = None)
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc32 = Crc32()
         for batch in batches:
-            out = []
-            for doc_id, names, root, n, crcs, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "root", "n_tokens", "crcs", "sizes"))):
-                if None in crcs or len(crcs) != len(names) or merkle_root(names) != root or sum(sizes) != n:
-                    raise ValueError(f"document {doc_id} can't be rebuilt from the store")
-                out.append(crc32.joined([(c, 4 * k) for c, k in zip(crcs, sizes)]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            if not batch.num_rows:
+                continue
+            lists, found, held = (batch.column(c) for c in ("chunks", "crcs", "sizes"))
+            counts = np.asarray(pc.list_value_length(lists))
+            crcs, sizes = found.flatten(), held.flatten()
+            begins = np.append(0, counts.cumsum())[:-1]
+            whole = not crcs.null_count and (np.asarray(pc.list_value_length(found)) == counts).all() and counts.all()
+            whole = whole and (np.add.reduceat(np.asarray(sizes).astype(np.int64), begins) == np.asarray(batch.column("n_tokens"))).all()
+            broken = [d for d, names, root in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "root"))) if merkle_root(names) != root]
+            if not whole or broken:
+                raise ValueError(f"documents can't be rebuilt from the store: {broken[:5] or 'chunks are missing'}")
+            out = crc32.joined_many(np.asarray(crcs), 4 * np.asarray(sizes).astype(np.int64), begins)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return whole.mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

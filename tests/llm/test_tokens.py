@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import ODD, ODD_IDS, documents
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -113,6 +114,39 @@ def test_store_gives_back_every_document(spark, whole, tmp_path):
     assert store.verify_manifest(spark, path).count() == 0
 
 
+def test_many_files_and_files_of_many_blocks(spark, whole, tmp_path, monkeypatch):
+    """A file larger than a block, and more files than shuffle partitions: the same documents either way."""
+    ids, texts = corpus()
+    docs = documents(spark, texts * 2, [*ids, *ids])
+    results = []
+    for rows, block in ((7, 4), (10_000, 8), (10_000, 1 << 20)):
+        monkeypatch.setattr(store, "FILE_ROWS", rows)
+        monkeypatch.setattr(store, "BLOCK_ROWS", block)
+        path = str(tmp_path / f"store-{rows}-{block}")
+        store.write_store(docs, path)
+        manifest = spark.read.parquet(f"{path}/manifest").collect()
+        assert sum(r.n_docs for r in manifest) == 2 * len(texts) and store.verify_manifest(spark, path).count() == 0
+        results.append((sorted(map(str, store.read_digests(spark, path).drop("start").collect())), len(manifest), {r.root for r in manifest}))
+    assert results[0][0] == results[1][0] == results[2][0]
+    assert results[0][1] > 4 and results[1][1] == 1 and results[1][2] == results[2][2]  # blocks change no root
+    recipes = store.read_recipes(spark, path)
+    recipes.withColumn("root", F.expr("case when leaf = 3 then unhex('00') else root end")).write.parquet(f"{path}-2/recipes")
+    spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-2/manifest")
+    assert store.verify_manifest(spark, f"{path}-2").count() == 1
+
+
+def test_cut_points_follow_the_content():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, 20_000).astype("<u2")
+    streams = [ids, ids[500:], ids[:0], ids[:1], ids[:70], np.zeros(5000, "<u2")]
+    many = store.cut_points(streams)
+    assert many == [store.cut_points([x])[0] for x in streams]
+    for x, ends in zip(streams, many):
+        sizes = np.diff([0, *ends])
+        assert sum(sizes) == len(x) and all(store.LEAST <= n <= store.MOST for n in sizes[:-1]) and (sizes <= store.MOST).all()
+    assert len({e - 500 for e in many[0]} & set(many[1])) > 0.9 * len(many[1])
+
+
 def test_a_changed_chunk_is_noticed(spark, tmp_path):
     path = str(tmp_path / "store")
     store.write_store(documents(spark, ["some text to keep", "another"]), path)
