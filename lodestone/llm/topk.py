@@ -32,7 +32,7 @@ from lodestone.llm.common import stage
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors of the first shard, of the others and of a block of queries, on average: bounds on what a task holds.
-FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 2048, 16384, 1024
+FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 2048, 16384, 4096
 #: Rows of a shard that are traversed before the k-th best is looked at again; terms probed at a time.
 STRIDE, PROBES = 1024, 8
 WIDTHS = (("smallint", 15), ("int", 31), ("bigint", 63))
