@@ -1,9 +1,12 @@
 """Secret scan with structural confirmation.
 
-Three base kinds are plain patterns. Further kinds are reported only after their structure holds: a
-base64 or hex candidate is decoded and its DER lengths must nest exactly, an OpenSSH key must have its
-magic and length-prefixed fields, a signed token needs a JSON header that names an algorithm and a JSON
-payload, and a PEM block must decode to one of those.
+Three base kinds are plain patterns. Further kinds are reported only after their structure holds. Runs of at
+least 40 base64 or base64url characters, and of at least 48 hex digits, are decoded. der: lengths nest exactly
+and the parts are those of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC 1, or DSA's six numbers), so
+public keys and certificates are none. openssh: its magic and length-prefixed fields. jwt: a JSON header that
+names an algorithm, and a JSON payload. pem: a block that decodes to one of those, or whose headers say how it
+is encrypted. What decodes to plain ASCII is looked through again, up to NESTED times, and reported as what
+lies inside.
 
 Defined results: a null text counts as empty and gives zero counts, the hash of the empty string and
 empty spans; repeated rows and repeated or null doc_ids are judged row by row; rows are never joined,
@@ -40,32 +43,57 @@ ESCAPED_SPACE = re.compile(r"\\+[nrt]")
 BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:" + BREAK.pattern + r"[A-Za-z0-9+/]++)+={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-HEX_ANY_CASE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+BASE64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
+HEX_ANY_CASE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
+#: Encodings within encodings that are undone, and the least bytes of a key.
+NESTED, LEAST_BYTES = 2, 24
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
-def der_whole(data: bytes) -> bool:
-    """Whether data is one DER SEQUENCE whose lengths, nested ones included, fill it exactly."""
-    return data[:1] == b"\x30" and _fills(data, 0, len(data), 0) == 1
+Element = tuple[int, int, int]  # tag, and where its contents begin and end
 
 
-def _fills(data: bytes, at: int, end: int, depth: int) -> int:
-    """Number of elements that fill data[at:end] exactly, or -1."""
-    count = 0
+def elements(data: bytes, at: int, end: int, depth: int = 0) -> list[Element] | None:
+    """The DER elements that fill data[at:end] exactly, as those of every constructed one fill it; else None."""
+    found = []
     while at < end:
         if at + 2 > end or depth > 16:
-            return -1
+            return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             n = size & 0x7F
             if not 1 <= n <= 4 or at + n > end:
-                return -1
+                return None
             size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if at + size > end or tag == 0:
-            return -1
-        if tag & 0x20 and _fills(data, at, at + size, depth + 1) < 1:
-            return -1
-        at, count = at + size, count + 1
-    return count
+            return None
+        if tag & 0x20 and not elements(data, at, at + size, depth + 1):
+            return None
+        found.append((tag, at, at + size))
+        at += size
+    return found
+
+
+def private_key(data: bytes) -> bool:
+    """Whether data is one DER SEQUENCE with the parts of a private key."""
+    outer = elements(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if not outer or len(outer) != 1:
+        return False
+    parts = elements(data, *outer[0][1:]) or []
+    tags = [tag for tag, _, _ in parts]
+    names = lambda part: [t for t, _, _ in elements(data, *part[1:]) or []][:1] == [OBJECT]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8: an algorithm, then the key
+        return names(parts[0])
+    version = data[parts[0][1]] if tags[:1] == [INTEGER] and parts[0][2] - parts[0][1] == 1 else None
+    if version not in (0, 1):
+        return False
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8: an algorithm, the key, attributes, the public key
+        return names(parts[1]) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if tags[1:2] == [OCTETS]:  # SEC 1: the key, the curve, the public key
+        return version == 1 and set(tags[2:]) <= {0xA0, 0xA1}
+    if set(tags) == {INTEGER}:  # PKCS#1 of two primes; DSA
+        return len(tags) == 9 or (len(tags) == 6 and version == 0)
+    return version == 1 and tags == [INTEGER] * 9 + [SEQUENCE]  # PKCS#1 of more primes
 
 
 def openssh_whole(data: bytes) -> bool:
@@ -100,14 +128,22 @@ def _json_object(part: str) -> dict | None:
 
 def key_kind(data: bytes | None) -> str | None:
     """der or openssh if the decoded bytes have the structure of a key."""
-    if data and len(data) >= 24:
-        if der_whole(data):
+    if data and len(data) >= LEAST_BYTES:
+        if private_key(data):
             return "der"
         if openssh_whole(data):
             return "openssh"
     return None
 
 
+def decoded_kind(data: bytes | None, nested: int) -> str | None:
+    """The same, or the kind of the first thing that confirmed_spans() finds where they are plain ASCII text."""
+    kind = key_kind(data)
+    if kind or not data or not nested or not data.isascii() or not data.decode("ascii").replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
+        return kind
+    return next((k for _, _, k in confirmed_spans(data.decode("ascii"), nested - 1)), None)
+
+
 def pem_key(body: str) -> bool:
     """Whether the inside of a PEM block decodes to a key, or is an encrypted key: its headers name a cipher
     and an initial vector, and the rest is whole cipher blocks. Line ends may be escaped, as in JSON."""
@@ -115,7 +151,7 @@ def pem_key(body: str) -> bool:
     headers = PEM_HEADERS.match(body)[0]
     data = from_base64(re.sub(r"\s", "", body[len(headers) :]))
     encrypted = ENCRYPTED.search(headers)
-    if encrypted and data and len(data) >= 24 and len(data) % (len(encrypted[1]) // 2) == 0:
+    if encrypted and data and len(data) >= LEAST_BYTES and len(data) % (len(encrypted[1]) // 2) == 0:
         return True
     return key_kind(data) is not None
 
@@ -189,8 +225,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Candidates whose decoded structure holds. A candidate inside a PEM block is not reported again."""
+def confirmed_spans(text: str, nested: int = NESTED) -> list[tuple[int, int, str]]:
+    """Candidates whose decoded structure holds. A candidate inside another one's span is not reported again."""
     found, public = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
@@ -207,12 +243,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), upto, "jwt"))
     blocks = [(s, e) for s, e, _ in found] + public
     found += [w for w in wrapped_spans(text) if not any(s < w[1] and w[0] < e for s, e in blocks)]
-    taken = list(found)
-    for pattern, decode in ((BASE64, from_base64), (HEX_ANY_CASE, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
+    for pattern, decode in ((BASE64, from_base64), (BASE64URL, lambda x: from_base64(x, url=True)), (HEX_ANY_CASE, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
+        taken = list(found)
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _ in taken):
+            if any(s < m.end() and m.start() < e for s, e, _ in taken) or any(s < m.end() and m.start() < e for s, e in public):
                 continue
-            kind = key_kind(decode(m[0]))
+            kind = decoded_kind(decode(m[0]), nested)
             if kind:
                 found.append((m.start(), m.end(), kind))
     return found
