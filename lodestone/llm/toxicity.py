@@ -1,9 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of hashed buckets of its words and of their five-letter beginnings. On a bounded
-sample of labelled rows, the buckets whose log-odds between the classes stand out most are kept, and a
-logistic factorization machine learns a weight for each and a factor vector whose inner products are the
-pairwise interactions. Every whole text is scored in its own partition with the small model.
+sample of labelled rows, buckets are counted by class on the cluster. Those whose log-odds between the classes
+stand out most are kept, and beside them the most frequent ones of toxic documents: these may tell nothing
+alone, but where a pair of terms is toxic, both are in many toxic documents. A logistic factorization machine
+learns a weight for each and a factor vector whose inner products are the pairwise interactions. Every whole
+text is scored in its own partition with the small model.
+
+The driver sees at most POSITIVES + NEGATIVES rows, the sample's bound after the join with the documents, each
+with no more numbers than the model has terms.
 
 Defined results: null, empty and wordless texts get the model's intercept as score; without any usable
 label of either class the score of all is the share of toxic labels (0 if none); a null doc_id is not
@@ -22,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stage
 from lodestone.llm.tokens import slices
 
 BUCKETS, PREFIX = 1 << 20, 5
-#: Bounds of the training sample (rows of each class) and of the model (terms, factors).
-POSITIVES, NEGATIVES, TERMS, FACTORS = 2500, 5000, 1024, 4
+#: Bounds of the training sample (rows of each class) and of the model (terms that stand out, terms that are
+#: frequent in toxic documents, factors). LEAST: rows of the sample that a term must be in.
+POSITIVES, NEGATIVES, TERMS, FREQUENT, FACTORS, LEAST = 2500, 5000, 2048, 1024, 4, 4
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Words whose buckets a worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
@@ -57,11 +64,18 @@ def fold(folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bounds: dict[int, int], usable: Column) -> DataFrame:
-    """doc_id, label, text of at most bounds[label] usable rows of each label, the first by a hash of doc_id."""
+    """doc_id, label, text of at most bounds[label] usable rows of each label, the first by a hash of doc_id.
+    Repeated doc_ids, on either side, don't lift the bounds: of the joined rows the first ones stay, again."""
     pool = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & usable)
-    parts = [pool.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in bounds.items()]
+    first = lambda df, n, *ties: df.orderBy(F.xxhash64("doc_id"), "doc_id", *ties).limit(n)
+    parts = [first(pool.where(F.col("label") == y), n) for y, n in bounds.items()]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the limits
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    met = stage(own.join(picked, "doc_id").select("doc_id", "label", "text"), "labelled")
+    kept = [first(met.where(F.col("label") == y), n, F.xxhash64("text")) for y, n in bounds.items()]
+    if all(r["count"] <= bounds[r["label"]] for r in met.groupBy("label").count().collect()):  # one row for each label
+        return met
+    return kept[0].unionByName(kept[1])
 
 
 @dataclass
@@ -80,55 +94,66 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def intercept_only(share: float) -> Machine:
+    p = min(max(share, 1e-9), 1 - 1e-9)
+    return Machine({}, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def standing_out(positive: Column, negative: Column, n1: float, n0: float) -> Column:
+    """How far a term's log-odds between the classes stand out, by its rows in each and all rows of each."""
+    a, b = positive + 0.5, negative + 0.5
+    odds = F.log(a / (n1 + 1.5 - a)) - F.log(b / (n0 + 1.5 - b))
+    return F.abs(odds) / F.sqrt(1 / a + 1 / b)
+
+
 def fit_machine(rows: list[tuple[int, list[int]]], prior: float, steps: int = 120, rate: float = 0.05, l2: float = 1e-3) -> Machine:
     """rows: (label, buckets). prior: the share of label 1 among all labels, to which the sample is weighted."""
     y = np.array([label for label, _ in rows], dtype=np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        p = min(max(prior, 1e-9), 1 - 1e-9)
-        return Machine({}, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
+        return intercept_only(prior)
     flat = np.concatenate([np.asarray(b, dtype=np.int64) for _, b in rows])
     owner = np.repeat(np.arange(len(rows)), [len(b) for _, b in rows])
-    positive = y[owner] == 1
     buckets, at = np.unique(flat, return_inverse=True)
-    a, b = np.bincount(at[positive], minlength=len(buckets)) + 0.5, np.bincount(at[~positive], minlength=len(buckets)) + 0.5
-    n1, n0 = y.sum() + 1, (1 - y).sum() + 1
-    odds = np.log(a / (n1 - a + 0.5)) - np.log(b / (n0 - b + 0.5))
-    stands_out = np.where(a + b >= 4, np.abs(odds) / np.sqrt(1 / a + 1 / b), 0)
-    chosen = np.sort(np.argsort(-stands_out, kind="stable")[:TERMS])
-    column = np.full(len(buckets), -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    mine = column[at] >= 0
-    x[owner[mine], column[at[mine]]] = 1
+    x = np.zeros((len(rows), len(buckets)), dtype=np.float32)
+    x[owner, at] = 1
     rng = np.random.default_rng(7)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32) / len(y)
-    params = [np.float32(np.log(prior / (1 - prior))).reshape(1), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)]
+    params = [np.float32(np.log(prior / (1 - prior))).reshape(1), np.zeros(len(buckets), np.float32), rng.normal(0, 0.05, (len(buckets), FACTORS)).astype(np.float32)]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         bias, w, v = params
         xv = x @ v
         z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [g.sum().reshape(1), x.T @ g + l2 * w / len(chosen), x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None] + l2 * v]
+        grads = [g.sum().reshape(1), x.T @ g + l2 * w / max(1, len(buckets)), x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None] + l2 * v]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             s[i] = 0.99 * s[i] + 0.01 * grad**2
             params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-7)
-    return Machine({int(buckets[c]): i for i, c in enumerate(chosen)}, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
+    return Machine({int(b): i for i, b in enumerate(buckets)}, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [list(buckets_of(t)) for t in batch.column("text").to_pylist()]
+            found = [sorted(buckets_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "buckets"])
 
-    sample = labelled_sample(docs, labels, "toxic", {1: POSITIVES, 0: NEGATIVES}, usable).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(terms, "doc_id long, label int, buckets array<int>").toPandas().sort_values("doc_id", kind="stable")
-    prior = labels.where(usable & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0] or 0.0
-    return fit_machine(list(zip(rows["label"], rows["buckets"])), float(prior))
+    sample = labelled_sample(docs, labels, "toxic", {1: POSITIVES, 0: NEGATIVES}, usable)
+    rows = stage(sample.mapInArrow(terms, "doc_id long, label int, buckets array<int>"), "toxicity-sample")
+    prior = float(labels.where(usable & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0] or 0.0)
+    n1, n0 = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not n1 or not n0:
+        return intercept_only(prior)
+    counts = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
+    counts = stage(counts, "toxicity-terms")
+    chosen = {r["bucket"] for r in counts.orderBy(F.desc(standing_out(F.col("a"), F.col("b"), n1, n0)), "bucket").limit(TERMS).collect()}
+    chosen |= {r["bucket"] for r in counts.where("a > 0").orderBy(F.desc("a"), "bucket").limit(FREQUENT).collect()}
+    kept = F.array_intersect("buckets", F.lit(sorted(chosen)).cast("array<int>"))
+    fitted = rows.select("doc_id", "label", kept.alias("buckets")).toPandas().sort_values("doc_id", kind="stable")
+    return fit_machine(list(zip(fitted["label"], fitted["buckets"])), prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
