@@ -12,6 +12,7 @@ worker remembers a bounded number of words from one batch to the next.
 from __future__ import annotations
 
 import os
+import re
 import string
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ BATCH_CHARS = 3_000_000
 #: Words that a worker remembers with their ids (the first it sees, so the common ones), and the longest of them.
 REMEMBERED, LONGEST = 200_000, 32
 MARKS = string.punctuation  # these follow letters as pre-tokens of their own
+NO_MARKS = f"^[^{re.escape(MARKS)}]+"
 
 
 def default_vocabulary() -> str:
@@ -52,7 +54,7 @@ class Encoder:
         shown = self.whole.encode(" ", add_special_tokens=False).tokens[0]  # how the vocabulary writes a space
         self.spaced = np.array([(self.whole.id_to_token(i) or "").startswith(shown) for i in range(size)])
         self.line = self.whole.encode("\n", add_special_tokens=False).ids[0]
-        self.remembered: dict[str, bytes] = {}
+        self.remembered = (pa.array([], pa.string()), np.zeros(0, self.kind), np.zeros(0, np.int64))  # words, their ids, how many each has
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content] if added else []
 
     def _texts(self, texts: list[str]) -> list[bytes]:
@@ -70,19 +72,23 @@ class Encoder:
             raise ValueError("the vocabulary doesn't cut before every space")
         return ids.astype(self.kind), sizes
 
-    def _known_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """_words() after a space, but for words that are remembered."""
-        known, width = self.remembered, np.dtype(self.kind).itemsize
-        found = list(map(known.get, words))
-        fresh = [i for i, data in enumerate(found) if data is None]
-        ids, sizes = self._words([words[i] for i in fresh], " ")
-        data, ends = ids.tobytes(), (sizes.cumsum() * width).tolist()
-        for i, a, b in zip(fresh, [0, *ends], ends):
-            found[i] = data[a:b]
-        for i in fresh[: max(0, REMEMBERED - len(known))]:
-            if len(words[i]) <= LONGEST:
-                known[words[i]] = found[i]
-        return np.frombuffer(b"".join(found), dtype=self.kind), np.fromiter(map(len, found), np.int64, len(found)) // width
+    def _known_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word, after a space, lies in a table of words, and the table: ids and how many each word has.
+        It is the remembered words, then those that are not there; these are encoded, and join the remembered
+        ones while there is room."""
+        known, ids, sizes = self.remembered
+        places = pc.index_in(words, value_set=known)
+        new = places.is_null()
+        fresh = words.filter(new)
+        new_ids, new_sizes = self._words(fresh.to_pylist(), " ")
+        at = np.array(pc.fill_null(places, 0)).astype(np.int32)
+        at[np.asarray(new)] = len(known) + np.arange(len(fresh))
+        room = REMEMBERED - len(known)
+        if room > 0 and len(fresh):
+            kept = np.asarray(pc.utf8_length(fresh)) <= LONGEST
+            kept &= kept.cumsum() <= room
+            self.remembered = (pa.concat_arrays([known, fresh.filter(pa.array(kept))]), np.concatenate([ids, new_ids[np.repeat(kept, new_sizes)]]), np.concatenate([sizes, new_sizes[kept]]))
+        return at, np.concatenate([ids, new_ids]), np.concatenate([sizes, new_sizes])
 
     def _texts_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self._texts(texts)
@@ -109,20 +115,20 @@ class Encoder:
         lines = {p: p[1:] for p, ok in zip(others, regular.tolist()) if ok and p[0] == "\n" and p[1:].isalpha()}
         rest = [p for p, ok in zip(others, regular.tolist()) if ok and p not in lines]
         marked = np.flatnonzero(plain & (np.asarray(pc.binary_length(bare)) < np.asarray(pc.binary_length(pieces))))
-        after = [p[len(w) :] for p, w in zip(pieces.take(pa.array(marked)).to_pylist(), bare.take(pa.array(marked)).to_pylist())]
-        marks = {m: i for i, m in enumerate(dict.fromkeys(after))}
+        marks = pc.replace_substring_regex(pieces.take(pa.array(marked)), NO_MARKS, "").dictionary_encode()
 
         # one table of ids: words, lines, the rest, first pieces, marks, and nothing
-        parts = [self._known_words(words.dictionary.to_pylist()), self._words(list(lines.values()), "\n"), self._texts_flat([p if p[0] == "\n" else " " + p for p in rest]), self._texts_flat(firsts.dictionary.to_pylist()), self._texts_flat(list(marks))]
+        where, *known = self._known_words(words.dictionary)
+        parts = [known, self._words(list(lines.values()), "\n"), self._texts_flat([p if p[0] == "\n" else " " + p for p in rest]), self._texts_flat(firsts.dictionary.to_pylist()), self._texts_flat(marks.dictionary.to_pylist())]
         stock, size = np.concatenate([ids for ids, _ in parts]), np.append(np.concatenate([n for _, n in parts]), 0).astype(np.int32)
         base = np.cumsum([0, *(len(n) for _, n in parts)])
         begin = np.append(0, size.cumsum()).astype(np.int32)[:-1]
         nothing = len(size) - 1
         entry, mark = np.full(len(pieces), nothing, np.int32), np.full(len(pieces), nothing, np.int32)
-        entry[plain] = np.asarray(words.indices)
+        entry[plain] = where[np.asarray(words.indices)]
         place = {p: base[1] + i for i, p in enumerate(lines)} | {p: base[2] + i for i, p in enumerate(rest)}
         entry[other] = [place.get(p, nothing) for p in others]
-        mark[marked] = [base[4] + marks[m] for m in after]
+        mark[marked] = base[4] + np.asarray(marks.indices)
 
         # each piece twice, its entry and its marks; then the ids of all texts in one gather
         twice = np.stack([entry[codes], mark[codes]], axis=1)
