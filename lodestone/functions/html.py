@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -160,6 +160,47 @@ def series_cards(page: Node) -> list[tuple[str, str, str | None]]:
     return out
 
 
+def all_cards(page: Node) -> list[tuple[str, str, str | None]]:
+    """(name, href, node id) of every card of a page of categories."""
+    cards = [(card.first("h4"), card) for card in page.all("a", "nav-card")]
+    return [(title.text(), card.attrs["href"], card.attrs.get("data-history-node-id")) for title, card in cards if card.attrs.get("href") and title and title.text()]
+
+
+def listing(pages: DataFrame, cards: Callable[[Node], list] = series_cards) -> DataFrame:
+    """url, pos (from 0), name, href, node_id: a row for each card of pages (url, html); all_cards() for pages of
+    categories, series_cards() for those that also show collections. Pages without cards give no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(url, pos, *card) for url, html in zip(pdf["url"], pdf["html"]) for pos, card in enumerate(cards(parse(html)))]
+            yield pd.DataFrame(rows, columns=["url", "pos", "name", "href", "node_id"])
+
+    return pages.select("url", "html").mapInPandas(run, "url string, pos int, name string, href string, node_id string")
+
+
+def product_links(pages: DataFrame) -> DataFrame:
+    """url, pos, href of the products that pages of series list; a page that lists none is a product itself."""
+    found = listing(pages).select(F.col("url").alias("__url"), "pos", "href")
+    return pages.select("url").join(found, F.col("url") == F.col("__url"), "left").select("url", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("href", "url").alias("href"))
+
+
+# Categories that are not read from a page: name, value or path, kind.
+STATIC_CATEGORIES = [
+    ("IP - Network Cameras", "Network Cameras", "IP"),
+    ("IP - PTZ Cameras", "PTZ Cameras", "IP"),
+    ("IP - Explosion-Proof Series", "Explosion-Proof and Anti-Corrosion Series", "IP"),
+    ("ITS - Traffic Cameras", "its", "ITS"),
+    ("Thermal - All Products", "thermal", "THERMAL"),
+]
+
+
+def static_categories(spark: SparkSession, urls: dict[str, str]) -> DataFrame:
+    """name, href, node_id and how to fetch: the url to open, and the filter to set there. urls: one for each of IP,
+    ITS and THERMAL. Of the IP kind, href is the filter on the common page; of the others, the page itself."""
+    rows = [(name, value if kind == "IP" else urls[kind], kind, urls[kind], value if kind == "IP" else None) for name, value, kind in STATIC_CATEGORIES]
+    return spark.createDataFrame(rows, "name string, href string, node_id string, url string, filter string")
+
+
 def extract(pages: DataFrame, site: Callable[[Node], dict] = table_page, unknown: str = "Unknown Product") -> DataFrame:
     """pages (url, html) to url, the details and error; a page that fails has its error and no details."""
 

@@ -13,7 +13,7 @@ def unseen(new: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 def insert_new(cache: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The cache with the new rows whose key it lacks, the first of each key in the batch."""
     fresh = unseen(new, cache, key)
-    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    first = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
     return cache.unionByName(first, allowMissingColumns=True)
 
 

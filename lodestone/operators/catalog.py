@@ -13,7 +13,7 @@ from lodestone.functions import specs, text
 def last_by_id(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with a non-blank key, trimmed; of those that share it, the last by order."""
     keyed = df.withColumn(key, F.trim(F.col(key).cast("string"))).where(F.coalesce(F.col(key), F.lit("")) != "")
-    return keyed.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    return keyed.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
 def as_records(products: DataFrame) -> DataFrame:
@@ -79,8 +79,16 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 def null_profile(df: DataFrame, *columns: str) -> DataFrame:
     """field, n_null, n_rows per column: one scan, one aggregate."""
-    counts = df.agg(F.count("*").alias("_all"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return counts.unpivot(["_all"], list(columns), "field", "n_null").select("field", "n_null", F.col("_all").alias("n_rows"))
+    counts = df.agg(F.count("*").alias("__all"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return counts.unpivot(["__all"], list(columns), "field", "n_null").select("field", "n_null", F.col("__all").alias("n_rows"))
+
+
+def statistics(products: DataFrame, index: DataFrame | None = None, vendor: str = "source") -> DataFrame:
+    """One row: total, vendors (distinct, but for null and empty ones), index_loaded, and its vectors."""
+    counts = products.agg(F.count("*").alias("total"), F.count_distinct(F.nullif(F.col(vendor), F.lit(""))).alias("vendors"))
+    if index is None:
+        return counts.withColumns({"index_loaded": F.lit(False), "vectors": F.lit(0).cast("long")})
+    return counts.crossJoin(index.agg(F.lit(True).alias("index_loaded"), F.count("*").alias("vectors")))  # one row each
 
 
 def json_list_stats(df: DataFrame, column: str) -> DataFrame:
@@ -118,7 +126,7 @@ def first_images(records: DataFrame, n: int = 1, existing: DataFrame | None = No
     each = records.select("camera_id", F.posexplode("image_files").alias("pos", "path"))
     each = each.join(existing.select("path").distinct(), "path", "left_semi") if existing is not None else each
     rank = F.row_number().over(Window.partitionBy("camera_id").orderBy("pos"))
-    return each.withColumn("_n", rank).where(F.col("_n") <= n).select("camera_id", "pos", "path")
+    return each.withColumn("__n", rank).where(F.col("__n") <= n).select("camera_id", "pos", "path")
 
 
 def columns_of(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]]:

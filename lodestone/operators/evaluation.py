@@ -31,6 +31,7 @@ def _seeded(name: str):
 DEGRADATIONS: dict[str, Callable] = {
     "noise": _seeded("noise"),
     "strong_noise": _seeded("strong_noise"),
+    "cut": lambda v, severity, seed: np.where(np.arange(len(v)) < 8 * severity, 0.0, v),
     "mask": lambda v, severity, seed: np.where(np.random.default_rng(seed).random(len(v)) < 0.1 * severity, 0.0, v),
 }
 
@@ -71,7 +72,7 @@ def synthetic(index: DataFrame, names: list[str], severities: list[int], seed: i
     grid = degraded(degradation_grid(rows.select("row_id", "camera_id", "embedding"), names, severities), seed)
     asked = grid.withColumn("query_id", F.concat_ws("|", F.col("row_id").cast("string"), "degradation", F.col("severity").cast("string")))
     matches = vectors.search(asked.select("query_id", "embedding"), index.withColumn("row_id", F.col("row_id").cast("string")), 5)
-    return recall(asked.select("query_id", F.col("camera_id").alias("truth"), F.col("degradation").alias("group"), "severity"), matches, "group", "severity")
+    return recall(asked.select("query_id", F.col("camera_id").alias("truth"), F.col("degradation").alias("group"), "severity"), matches, "group", "severity").orderBy("group", "severity")  # one row of each cell
 
 
 def probe(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, int]:

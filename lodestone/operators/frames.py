@@ -52,7 +52,7 @@ def bounded_buffer(df: DataFrame, key: str, *order: str, capacity: int = 10) ->
     """What a buffer that drops its oldest holds in the end: the last rows of each key, with received and dropped."""
     newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     counts = df.groupBy(key).agg(F.count("*").alias("received"))
-    kept = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= capacity).drop("_n")
+    kept = df.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= capacity).drop("__n")
     return kept.join(counts, key).withColumn("dropped", F.greatest(F.col("received") - capacity, F.lit(0)))
 
 
@@ -61,7 +61,7 @@ def idle_sessions(df: DataFrame, key: str, ts: str, *order: str, gap_seconds: in
     w = Window.partitionBy(key).orderBy(ts, *order)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     new = F.when(micros - F.lag(micros).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
-    numbered = df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_frames"))
 
 
@@ -71,7 +71,7 @@ def session_windows(df: DataFrame, key: str, ts: str, gap: str = "30 seconds") -
 
 def admitted(connects: DataFrame, key: str, *order: str, capacity: int = 5) -> DataFrame:
     """The first connections by order, one for each key, up to the capacity."""
-    first = connects.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    first = connects.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
     return first.orderBy(*order).limit(capacity)
 
 
@@ -90,10 +90,78 @@ def connection_totals(per_key: DataFrame) -> DataFrame:
     return per_key.agg(F.count("*").alias("connections"), F.sum("received").cast("long").alias("received"), F.sum("processed").cast("long").alias("processed"), F.sum("dropped").cast("long").alias("dropped"))
 
 
+def timed_out(took_ms: Column, limit_ms: float = 5000.0) -> Column:
+    """Whether a frame's processing took longer than allowed, so that it is dropped; unknown times are in time."""
+    return F.coalesce(took_ms > limit_ms, F.lit(False))
+
+
+def frame_timeouts(df: DataFrame, key: str, took_ms: Column, limit_ms: float = 5000.0) -> DataFrame:
+    """key, received, delivered, timeouts: what is left of each key's frames once those past their time are dropped."""
+    late = timed_out(took_ms, limit_ms)
+    return df.groupBy(key).agg(F.count("*").alias("received"), F.count_if(~late).alias("delivered"), F.count_if(late).alias("timeouts"))
+
+
+def rate_per_check(df: DataFrame, key: str, ts: str, every: str = "1 second") -> DataFrame:
+    """key, check_time, fps: the frames of each interval by its seconds, known at its end; without frames there is no row."""
+    counts = df.groupBy(key, F.window(ts, every).alias("w")).agg(F.count("*").alias("n"))
+    return counts.select(key, F.col("w.end").alias("check_time"), (F.col("n") / (seconds(F.col("w.end")) - seconds(F.col("w.start")))).alias("fps"))
+
+
+def buffer_metrics(df: DataFrame, key: str, depth: Column, took_ms: Column, *order: str, capacity: int = 10, samples: int = 100) -> DataFrame:
+    """One row per key: received, processed (those with a time), dropped (beyond the capacity), the means of the
+    last samples' queue depth and processing time, the size of the queue and its share of the capacity."""
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    numbered = df.select(key, depth.alias("__depth"), took_ms.alias("__took"), F.row_number().over(newest).alias("__n"))
+    last = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("__n") <= samples, F.col(c))), F.lit(0.0)), 2)
+    counts = numbered.groupBy(key).agg(F.count("*").alias("received"), F.count("__took").alias("processed"), last("__depth").alias("mean_depth"), last("__took").alias("mean_ms"))
+    size = F.least(F.col("received"), F.lit(capacity))
+    return counts.withColumns({"dropped": F.greatest(F.col("received") - capacity, F.lit(0)), "queue_size": size, "utilisation": F.round(size / F.lit(capacity), 2)})
+
+
+def task_transitions(events: DataFrame, key: str, action: str, *order: str) -> DataFrame:
+    """events (actions create, start, update, complete, fail, delete) with life (from 1: each create begins a new
+    one, and replaces what there was), accepted, and the status after the event; events of tasks that don't exist, and those that their state doesn't allow, are
+    refused and change nothing.
+
+    In one life the states only go forward, so the first start, the first end after it and the first delete
+    decide, and each event is judged by its place among them: no event waits for the one before it.
+    """
+    ordered = Window.partitionBy(key).orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    is_ = lambda *names: F.col(action).isin(*names)
+    placed = events.withColumns({"__at": F.row_number().over(ordered), "life": F.sum(F.when(is_("create"), 1).otherwise(0)).over(upto)})
+    life = Window.partitionBy(key, "life")
+    first = lambda condition: F.min(F.when(condition, F.col("__at"))).over(life)
+    before = lambda c: F.coalesce(F.col("__at") < F.col(c), F.lit(True))
+    marked = placed.withColumn("__deleted", first(is_("delete"))).withColumn("__started", first(is_("start") & before("__deleted")))
+    marked = marked.withColumn("__ended", first(is_("complete", "fail") & (F.col("__at") > F.col("__started")) & before("__deleted")))
+    running = F.coalesce(F.col("__at") > F.col("__started"), F.lit(False)) & before("__ended") & before("__deleted")
+    own = lambda c: F.coalesce(F.col("__at") == F.col(c), F.lit(False))
+    accepted = F.when(is_("create"), True).when(F.col("life") == 0, False).when(is_("delete"), own("__deleted")).when(is_("start"), own("__started")).when(is_("update"), running).when(is_("complete", "fail"), own("__ended")).otherwise(False)
+    reached = lambda c: F.coalesce(F.col("__at") >= F.col(c), F.lit(False))
+    end = F.max(F.when(own("__ended"), F.col(action))).over(life)
+    status = F.when(F.col("life") == 0, None).when(reached("__deleted"), "deleted").when(reached("__ended"), F.when(end == "complete", "completed").otherwise("failed")).when(reached("__started"), "processing").otherwise("pending")
+    return marked.withColumns({"accepted": accepted, "status": status}).drop("__at", "__deleted", "__started", "__ended")
+
+
+def task_table(transitions: DataFrame, key: str, action: str, ts: str, done: str, total: str) -> DataFrame:
+    """The tasks that exist after all events of task_transitions(): key, status, created_at, started_at,
+    completed_at, frames (done; all of them once completed), frames_total and percent. Deleted ones are not listed."""
+    last = F.max("life").over(Window.partitionBy(key))
+    mine = transitions.withColumn("__last", last).where((F.col("life") == F.col("__last")) & F.col("accepted"))
+    at = lambda *names: F.max(F.when(F.col(action).isin(*names), F.col(ts)))
+    counted = F.max_by(F.when(F.col(action) == "update", F.struct(F.col(done).alias("done"), F.col(total).alias("total"))), F.when(F.col(action) == "update", F.col(ts)))
+    tasks = mine.groupBy(key).agg(F.max(F.col(action) == "delete").alias("__gone"), F.max(F.col(action) == "complete").alias("__complete"), F.max(F.col(action) == "fail").alias("__failed"), at("create").alias("created_at"), at("start").alias("started_at"), at("complete", "fail").alias("completed_at"), counted.alias("__count"))
+    frames = F.when(F.col("__complete"), F.col("__count.total")).otherwise(F.col("__count.done"))
+    status = F.when(F.col("__complete"), "completed").when(F.col("__failed"), "failed").when(F.col("started_at").isNotNull(), "processing").otherwise("pending")
+    shown = tasks.where(~F.col("__gone")).withColumns({"status": status, "frames": F.coalesce(frames, F.lit(0)).cast("long"), "frames_total": F.coalesce("__count.total", F.lit(0)).cast("long")})
+    return shown.select(key, "status", "created_at", "started_at", "completed_at", "frames", "frames_total", progress(F.col("frames"), F.col("frames_total")).alias("percent"))
+
+
 def latest_state(updates: DataFrame, key: str, *order: str) -> DataFrame:
     """The last update of each key."""
     newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return updates.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return updates.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
 
 def status_counts(tasks: DataFrame, column: str, statuses: list[str] = STATUSES) -> DataFrame:

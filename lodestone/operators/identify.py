@@ -23,6 +23,28 @@ def crop_boxes(detections: DataFrame, margin: float = MARGIN, confidence: float
     return kept if keep_degenerate else kept.where(~F.col("degenerate")).drop("degenerate")
 
 
+def detected(images: DataFrame, detect: Callable[[pd.Series], list]) -> DataFrame:
+    """detection_id (image_id#n), image_id, content, the box, confidence, width and height of every detection.
+
+    images: image_id, content (bytes, or whatever the detector takes). detect(contents), once per batch, gives for
+    each image its width, height and a list of (x_min, y_min, x_max, y_max, confidence); None for an image that
+    can't be read, which then has no rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema}
+    names = ["x_min", "y_min", "x_max", "y_max", "confidence"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, content, found in zip(pdf["image_id"], pdf["content"], detect(pdf["content"])):
+                if found is not None:
+                    width, height, boxes = found
+                    rows += [(f"{key}#{n}", key, content, *map(float, box), width, height) for n, box in enumerate(boxes)]
+            yield pd.DataFrame(rows, columns=["detection_id", "image_id", "content", *names, "width", "height"])
+
+    return images.select("image_id", "content").mapInPandas(run, f"detection_id string, image_id {kinds['image_id']}, content {kinds['content']}, " + ", ".join(f"{n} double" for n in names) + ", width int, height int")
+
+
 def embedded(boxes: DataFrame, embed: Callable[[pd.Series, pd.Series], list]) -> DataFrame:
     """detection_id and embedding of each box, by embed(contents, boxes) once per batch; None is left out."""
     kind = boxes.schema["detection_id"].dataType.simpleString()

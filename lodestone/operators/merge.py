@@ -19,13 +19,13 @@ class MergeConflict(ValueError):
 
 
 def stacked(existing: DataFrame, new: DataFrame) -> DataFrame:
-    return existing.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    return existing.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)), allowMissingColumns=True)
 
 
 def _one_each(existing: DataFrame, new: DataFrame, key: str, order: str, last: bool) -> DataFrame:
-    by = [F.desc(c) if last else F.asc(c) for c in ("_side", order)]
-    ranked = stacked(existing, new).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
-    return ranked.where("_n = 1").drop("_side", "_n")
+    by = [F.desc(c) if last else F.asc(c) for c in ("__side", order)]
+    ranked = stacked(existing, new).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    return ranked.where("__n = 1").drop("__side", "__n")
 
 
 def update(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -41,7 +41,7 @@ def error(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFram
     both = new.select(key).distinct().join(existing.select(key), key, "left_semi").orderBy(key).limit(10).collect()
     if both:
         raise MergeConflict(f"{key} in both tables, for one: {[r[0] for r in both]}")
-    return stacked(existing, new).drop("_side")
+    return stacked(existing, new).drop("__side")
 
 
 STRATEGIES: dict[str, Strategy] = {"update": update, "skip": skip, "error": error}
@@ -53,7 +53,7 @@ def register(name: str, strategy: Strategy) -> None:
 
 def stats(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """added, common, existing_keys: distinct keys new alone, in both, and existing, in one shuffle of the keys."""
-    keys = stacked(existing.select(key), new.select(key)).groupBy(key).agg(F.min("_side").alias("lo"), F.max("_side").alias("hi"))
+    keys = stacked(existing.select(key), new.select(key)).groupBy(key).agg(F.min("__side").alias("lo"), F.max("__side").alias("hi"))
     return keys.agg(
         F.count_if(F.col("lo") == 1).alias("added"),
         F.count_if((F.col("lo") == 0) & (F.col("hi") == 1)).alias("common"),

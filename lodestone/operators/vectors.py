@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
+from lodestone.sources.shared import scratch
 
 QUERY_BLOCK, SHARD_ROWS = 1024, 16384
 
@@ -72,6 +73,9 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float |
     q = queries.select("query_id", V.unit(V.doubles(F.col("embedding"))).alias("embedding"))
     rows = index.select("row_id", "camera_id", V.doubles(F.col("embedding")).alias("embedding"))
     if mean is not None:
+        path = scratch(mean.sparkSession, "mean")  # one row, computed once for both sides and all passes
+        mean.write.parquet(path)
+        mean = mean.sparkSession.read.schema(mean.schema).parquet(path)
         q, rows = centred(queries.select("query_id", V.doubles(F.col("embedding")).alias("embedding")), mean), centred(rows, mean)
     blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-index.count() // SHARD_ROWS))
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -105,7 +109,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float |
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, f"query_id {kinds['query_id']}, camera_id {kinds['camera_id']}, row_id {kinds['row_id']}, score double")
     if collapse:
         order = Window.partitionBy("query_id", "camera_id").orderBy(F.desc("score"), "row_id")
-        found = found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        found = found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "camera_id", "row_id"))).where(F.col("rank") <= k)
     kept = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
     return kept.select("query_id", "rank", "camera_id", "row_id", "score")
@@ -129,7 +133,7 @@ def reference_rows(index: DataFrame) -> DataFrame:
     """One row per product: its first 'orig' variant, else its first row."""
     tag = F.coalesce(F.col("variant_tag") if "variant_tag" in index.columns else F.lit("orig"), F.lit("orig"))
     order = Window.partitionBy("camera_id").orderBy((tag != "orig").cast("int"), "row_id")
-    return index.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return index.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
 def index_stats(index: DataFrame) -> DataFrame:

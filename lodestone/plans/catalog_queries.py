@@ -245,11 +245,119 @@ def time_travel_read(spark, sf_dir):
     return n.crossJoin(last).crossJoin(log)  # one row each
 
 
+def catalog_statistics(spark, sf_dir):
+    return catalog.statistics(_t(spark, sf_dir, "part"), _t(spark, sf_dir, "embeddings"), "p_brand")
+
+
+def _series_pages(spark, sf_dir):
+    """A page for each part: up to three cards of products, and one of a collection outside their section."""
+    card = lambda i: F.concat(F.lit('<a class="nav-card" href="/p/'), F.col("p_partkey").cast("string"), F.lit("/"), i.cast("string"), F.lit('" data-history-node-id="'), i.cast("string"), F.lit('"><h4> '), "p_name", F.lit("</h4></a>"))
+    cards = F.when(F.col("p_partkey") % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(1), (F.col("p_partkey") % 4).cast("int")), card), "\n")).otherwise("")
+    head = F.lit('<h3>Collections within</h3><div class="nav-card__coll"><a class="nav-card" href="/c"><h4>All</h4></a></div><h3>Products within</h3><div class="nav-card__coll">')
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("/s/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(head, cards, F.lit("</div>")).alias("html"))
+
+
+def html_series_cards(spark, sf_dir):
+    return html.listing(_series_pages(spark, sf_dir))
+
+
+def html_category_cards(spark, sf_dir):
+    return html.listing(_series_pages(spark, sf_dir), html.all_cards).select("url", "pos", "name", "href", F.coalesce("node_id", F.lit("")).alias("node_id"))
+
+
+def html_product_links(spark, sf_dir):
+    return html.product_links(_series_pages(spark, sf_dir))
+
+
+def html_static_categories(spark, sf_dir):
+    """The categories that no page lists, as many rows as they have products in part's types; here once each."""
+    found = html.static_categories(spark, {kind: f"https://example.com/{kind.lower()}" for kind in ("IP", "ITS", "THERMAL")})
+    return found.select("name", "href", "node_id", "url", F.coalesce("filter", F.lit("")).alias("filter"))
+
+
+def _details(pages, site):
+    found = html.extract(pages, site)
+    each = found.select("url", "name", F.coalesce("number", F.lit("")).alias("number"), F.array_join("images", " ").alias("images"), F.coalesce("datasheet_url", F.lit("")).alias("datasheet_url"), F.explode_outer("specifications").alias("group", "pairs"))
+    return each.select("url", "name", "number", "images", "datasheet_url", F.coalesce("group", F.lit("")).alias("group"), F.explode_outer("pairs").alias("title", "value")).na.fill("")
+
+
+def html_table_details(spark, sf_dir):
+    """Pages with a carousel, a data sheet and captioned tables, made of part's rows and read again."""
+    key = F.col("p_partkey").cast("string")
+    carousel = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit('<div class="x product-img-carousel--main"><img src="/i/'), key, F.lit('/1.jpg"><img alt="no source"><img src="/i/'), key, F.lit('/2.jpg"></div>')))
+    sheet = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit('<a href="/other.pdf">Manual (PDF)</a><a href="/d/'), key, F.lit('.pdf"><b>Datasheet</b> PDF</a>')))
+    row = lambda title, value: F.concat(F.lit('<tr class="ac-table__row"><td class="ac-table__cell">'), F.lit(title), F.lit('</td><td class="ac-table__cell"> '), value, F.lit(" </td></tr>"))
+    table = F.concat(F.lit('<table class="ac-table"><caption class="ac-table__caption">Body</caption><tbody class="ac-table__body">'), row("Size", F.col("p_size").cast("string")), row("Brand", F.col("p_brand")), F.lit("</tbody></table>"))
+    html_text = F.concat(F.lit('<h1>Site</h1><h1 class="title-attention">'), "p_name", F.lit("</h1>"), carousel, sheet, F.when(F.col("p_partkey") % 7 == 0, "").otherwise(table))
+    return _details(_t(spark, sf_dir, "part").select(F.concat(F.lit("/t/"), key).alias("url"), html_text.alias("html")), html.table_page)
+
+
+def html_accordion_details(spark, sf_dir):
+    """Pages with data attributes, slides and accordions, made of part's rows and read again."""
+    key = F.col("p_partkey").cast("string")
+    slides = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<img data-src="//cdn/'), key, F.lit('.png">'))).otherwise(F.concat(F.lit('<div class="swiper-slide" data-original="//cdn/'), key, F.lit('/a.png"></div><div class="swiper-slide" data-original="https://cdn/b.png"></div>')))
+    sheet = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('<a href="//cdn/'), key, F.lit('.PDF">Datasheet</a>'))).otherwise(F.concat(F.lit('<a class="product_data_sheet" href="/s/'), key, F.lit('.pdf">x</a>')))
+    item = lambda title, value: F.concat(F.lit('<li class="tech-specs-items-description-list"><span class="tech-specs-items-description__title">'), F.lit(title), F.lit('</span><span class="tech-specs-items-description__title-details">'), value, F.lit("</span></li>"))
+    specs_html = F.concat(
+        F.lit('<div class="tech-specs-accordion-container"><li class="tech-specs-items-title__name"><a data-target="#g1">Camera</a></li><li class="tech-specs-items-title__name"><a data-target="#none">Empty</a></li><ul class="tech-specs-items-description" data-target="#g1">'),
+        item("Type", F.col("p_type")), item("Nothing", F.lit("")), item("Size", F.col("p_size").cast("string")), F.lit("</ul></div>"),
+    )
+    html_text = F.concat(F.lit('<meta name="page-title" content="Meta"><div class="product_description-wrapper" data-product-name="'), "p_name", F.lit('" data-product-number="N-'), key, F.lit('"></div><div id="productCarouselComp">'), slides, F.lit("</div>"), sheet, specs_html)
+    return _details(_t(spark, sf_dir, "part").select(F.concat(F.lit("/a/"), key).alias("url"), html_text.alias("html")), html.accordion_page)
+
+
+def _validated(spark, sf_dir):
+    """part as rows of the product table, with gaps."""
+    key = F.col("p_partkey")
+    return _t(spark, sf_dir, "part").select(
+        key.cast("string").alias("camera_id"), F.when(key % 3 == 0, "[]").when(key % 11 == 0, None).otherwise('["u"]').alias("image_urls"), F.when(key % 5 == 0, "").otherwise("d").alias("datasheet_url"),
+        F.when(key % 4 == 0, "{}").otherwise('{"a": 1}').alias("specifications"), F.when(key % 13 == 0, "broken").when(key % 2 == 0, F.concat(F.lit('["i/'), key.cast("string"), F.lit('.webp"]'))).otherwise("[]").alias("image_files"),
+        F.when(key % 3 == 0, F.concat(F.lit("d/"), key.cast("string"), F.lit(".pdf"))).alias("datasheet_file"), F.col("p_brand").alias("product_category"),
+    )
+
+
+def validation_statistics(spark, sf_dir):
+    return validation.statistics(_validated(spark, sf_dir))
+
+
+def validation_file_issues(spark, sf_dir):
+    """Of the files, those with keys that 7 divides are missing, and those that 10 or 9 divides begin wrongly."""
+    key = F.col("p_partkey")
+    image = F.struct(F.concat(F.lit("i/"), key.cast("string"), F.lit(".webp")).alias("path"), F.when(key % 10 == 0, F.lit(b"JUNK")).otherwise(F.lit(b"RIFF")).alias("head"))
+    pdf = F.struct(F.concat(F.lit("d/"), key.cast("string"), F.lit(".pdf")).alias("path"), F.when(key % 9 == 0, F.lit(b"JUNK")).otherwise(F.lit(b"%PDF")).alias("head"))
+    files = _t(spark, sf_dir, "part").where(key % 7 != 0).select(F.inline(F.array(image, pdf)))
+    return validation.file_issues(_validated(spark, sf_dir), files).select("severity", "type", "path")
+
+
+def validation_manifest_issues(spark, sf_dir):
+    """Suppliers of all regions as the manifest; the table lacks those of Asia."""
+    tree = _tree(spark, sf_dir)
+    flat = tree.select(F.col("r_name").alias("category"))
+    held = tree.where("r_name <> 'ASIA'").select(F.col("r_name").alias("product_category"))
+    return validation.manifest_issues(held, flat).select("severity", "type", F.coalesce("path", "field", F.lit("")).alias("what"), "cnt")
+
+
+def manifest_reconstruct(spark, sf_dir):
+    """Files of suppliers by region and nation, some in two vendors' folders, joined with what is known of a third of them."""
+    key = F.col("s_suppkey").cast("string")
+    folder = lambda vendor: F.concat(F.lit(vendor), F.lit("/"), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("/"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("/id-"), key)
+    tree = _tree(spark, sf_dir)
+    images = F.array(F.concat(folder("axis"), F.lit("/1.webp")), F.concat(folder("axis"), F.lit("/2.webp")), F.concat(folder("zeta"), F.lit("/1.webp")))
+    paths = tree.select(F.explode(F.concat(F.when(F.col("s_suppkey") % 2 == 0, images).otherwise(F.array(F.concat(folder("zeta"), F.lit("/7.webp")))), F.array(F.concat(folder("zeta"), F.lit(".PDF")), F.concat(folder("zeta"), F.lit("/note.txt"))))).alias("path"))
+    known = tree.where("s_suppkey % 3 = 0").select(
+        F.concat(F.lit("https://example.com/"), key).alias("product_url"), F.concat(F.lit("ID "), key).alias("model_name"), F.concat(F.lit('["u'), key, F.lit('"]')).alias("image_urls"),
+        F.lit("sheet").alias("datasheet_url"), F.lit('{"Body":{"Size":"1"}}').alias("specifications_html"),
+    )
+    found = manifest.reconstruct(manifest.tree_paths(paths), known)
+    return found.select("series", "camera_id", "model_name", F.array_join("image_urls", " ").alias("image_urls"), F.coalesce("datasheet_url", F.lit("")).alias("datasheet_url"), F.col("n_image_files").cast("long").alias("n_image_files"), "datasheet_file")
+
+
 QUERIES = [
     catalog_filter_page, catalog_search_regex, catalog_search_literal, catalog_point_lookup, catalog_last_by_id, catalog_facets, catalog_list_view, value_counts_topn, column_null_profile,
     coverage_stats, json_length_stats, largest_displayed_count, duplicate_rows, issues_union, schema_issue_rows, manifest_rollup, manifest_compare, manifest_flatten_roundtrip, merge_update,
     merge_skip, merge_error_plain, merge_stats, url_normalize, url_cache_anti, url_cache_insert, content_hash_dedup, cache_stats, slug_ids, html_h1_title, html_links, html_self_fallback,
-    html_parsed, spec_value_search, spec_value_deep, focal_regex, bbox_geometry, probe_jsonl_strict, version_diff, time_travel_read,
+    catalog_statistics, html_series_cards, html_category_cards, html_product_links, html_static_categories, html_table_details, html_accordion_details, validation_statistics, validation_file_issues,
+    validation_manifest_issues, manifest_reconstruct, html_parsed, spec_value_search, spec_value_deep, focal_regex, bbox_geometry, probe_jsonl_strict, version_diff, time_travel_read,
 ]
 
 _TREE = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -258,7 +366,31 @@ _OLD = "(SELECT p_partkey, p_name, p_brand FROM part)"
 _UPDATED = f"SELECT * FROM {_NEW} n UNION ALL SELECT * FROM {_OLD} o WHERE p_partkey NOT IN (SELECT p_partkey FROM {_NEW})"
 _H1 = r"nullif(trim(regexp_extract(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gis'), '<h1[^>]*>(.*?)</h1>', 1, 'is')), '')"
 
+_CARDS = "SELECT p_partkey, p_name, unnest(range(1, p_partkey % 4 + 1)) AS i FROM part"
+
 SQL = {
+    "catalog_statistics": "SELECT count(*) AS total, count(DISTINCT nullif(p_brand, '')) AS vendors, true AS index_loaded, (SELECT count(*) FROM embeddings) AS vectors FROM part",
+    "html_series_cards": f"SELECT '/s/' || p_partkey AS url, CAST(i - 1 AS INTEGER) AS pos, p_name AS name, '/p/' || p_partkey || '/' || i AS href, CAST(i AS VARCHAR) AS node_id FROM ({_CARDS})",
+    "html_category_cards": f"SELECT '/s/' || p_partkey AS url, CAST(i AS INTEGER) AS pos, p_name AS name, '/p/' || p_partkey || '/' || i AS href, CAST(i AS VARCHAR) AS node_id FROM ({_CARDS}) UNION ALL SELECT '/s/' || p_partkey, 0, 'All', '/c', '' FROM part",
+    "html_product_links": f"SELECT '/s/' || p_partkey AS url, CAST(i - 1 AS INTEGER) AS pos, '/p/' || p_partkey || '/' || i AS href FROM ({_CARDS}) UNION ALL SELECT '/s/' || p_partkey, 0, '/s/' || p_partkey FROM part WHERE p_partkey % 4 = 0",
+    "html_static_categories": """SELECT * FROM (VALUES ('IP - Network Cameras', 'Network Cameras', 'IP', 'https://example.com/ip', 'Network Cameras'), ('IP - PTZ Cameras', 'PTZ Cameras', 'IP', 'https://example.com/ip', 'PTZ Cameras'),
+      ('IP - Explosion-Proof Series', 'Explosion-Proof and Anti-Corrosion Series', 'IP', 'https://example.com/ip', 'Explosion-Proof and Anti-Corrosion Series'), ('ITS - Traffic Cameras', 'https://example.com/its', 'ITS', 'https://example.com/its', ''),
+      ('Thermal - All Products', 'https://example.com/thermal', 'THERMAL', 'https://example.com/thermal', '')) AS t(name, href, node_id, url, filter)""",
+    "html_table_details": """WITH p AS (SELECT '/t/' || p_partkey AS url, p_name AS name, '' AS number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/i/' || p_partkey || '/1.jpg /i/' || p_partkey || '/2.jpg' END AS images,
+        CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '/d/' || p_partkey || '.pdf' END AS datasheet_url, CASE WHEN p_partkey % 7 = 0 THEN [{'g': '', 't': '', 'v': ''}] ELSE [{'g': 'Body', 't': 'Size', 'v': CAST(p_size AS VARCHAR)}, {'g': 'Body', 't': 'Brand', 'v': p_brand}] END AS s FROM part)
+      SELECT url, name, number, images, datasheet_url, x.g AS "group", x.t AS title, x.v AS value FROM (SELECT *, unnest(s) AS x FROM p)""",
+    "html_accordion_details": """WITH p AS (SELECT '/a/' || p_partkey AS url, p_name AS name, 'N-' || p_partkey AS number, CASE WHEN p_partkey % 3 = 0 THEN 'https://cdn/' || p_partkey || '.png' ELSE 'https://cdn/' || p_partkey || '/a.png https://cdn/b.png' END AS images,
+        CASE WHEN p_partkey % 5 = 0 THEN 'https://cdn/' || p_partkey || '.PDF' ELSE '/s/' || p_partkey || '.pdf' END AS datasheet_url, [{'t': 'Type', 'v': p_type}, {'t': 'Size', 'v': CAST(p_size AS VARCHAR)}] AS s FROM part)
+      SELECT url, name, number, images, datasheet_url, 'Camera' AS "group", x.t AS title, x.v AS value FROM (SELECT *, unnest(s) AS x FROM p)""",
+    "validation_statistics": """WITH v AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 11 <> 0) AS i, count(*) FILTER (p_partkey % 5 <> 0) AS d, count(*) FILTER (p_partkey % 4 <> 0) AS s FROM part)
+      SELECT n AS total_records, i AS records_with_images, d AS records_with_pdfs, s AS records_with_specs, printf('%.1f%%', i * 100.0 / n) AS image_coverage, printf('%.1f%%', d * 100.0 / n) AS pdf_coverage, printf('%.1f%%', s * 100.0 / n) AS specs_coverage FROM v""",
+    "validation_file_issues": """WITH k AS (SELECT p_partkey AS k FROM part) SELECT 'error' AS severity, 'invalid_json_image_files' AS type, CAST(k AS VARCHAR) AS path FROM k WHERE k % 13 = 0
+      UNION ALL SELECT 'error', CASE WHEN k % 7 = 0 THEN 'missing_image' ELSE 'invalid_image_format' END, 'i/' || k || '.webp' FROM k WHERE k % 13 <> 0 AND k % 2 = 0 AND (k % 7 = 0 OR k % 10 = 0)
+      UNION ALL SELECT 'error', CASE WHEN k % 7 = 0 THEN 'missing_pdf' ELSE 'invalid_pdf_format' END, 'd/' || k || '.pdf' FROM k WHERE k % 3 = 0 AND (k % 7 = 0 OR k % 9 = 0)""",
+    "validation_manifest_issues": f"""WITH t AS (SELECT r_name FROM {_TREE}), n AS (SELECT count(*) AS e, count(*) FILTER (r_name <> 'ASIA') AS a FROM t)
+      SELECT 'warning' AS severity, 'product_count_mismatch' AS type, '' AS what, a - e AS cnt FROM n WHERE a <> e UNION ALL SELECT 'warning', 'empty_category', r_name, count(*) FROM t WHERE r_name = 'ASIA' GROUP BY r_name""",
+    "manifest_reconstruct": f"""SELECT replace(n_name, '_', ' ') AS series, 'id-' || s_suppkey AS camera_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ID ' || s_suppkey ELSE 'id-' || s_suppkey END AS model_name, CASE WHEN s_suppkey % 3 = 0 THEN 'u' || s_suppkey ELSE '' END AS image_urls,
+      CASE WHEN s_suppkey % 3 = 0 THEN 'sheet' ELSE '' END AS datasheet_url, CASE WHEN s_suppkey % 2 = 0 THEN CAST(2 AS BIGINT) ELSE 1 END AS n_image_files, 'zeta/' || replace(r_name, ' ', '_') || '/' || replace(n_name, ' ', '_') || '/id-' || s_suppkey || '.PDF' AS datasheet_file FROM {_TREE}""",
     "catalog_filter_page": "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 20 OFFSET 20",
     "catalog_search_regex": "SELECT p_partkey, p_name FROM part WHERE coalesce(regexp_matches(lower(p_name), '[a-m].*[13579]$'), false) OR coalesce(regexp_matches(lower(p_type), '[a-m].*[13579]$'), false)",
     "catalog_search_literal": "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids FROM part WHERE contains(lower(p_name), 'e') OR contains(lower(p_type), 'e')",

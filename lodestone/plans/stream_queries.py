@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import evaluation, frames, vectors
+from lodestone.operators import evaluation, frames, identify, vectors
 from lodestone.sources.shared import scratch
 from lodestone.streaming import frames as streams
 
@@ -155,6 +155,53 @@ def task_progress(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", frames.progress(F.col("event_id") % 7, F.col("event_id") % 3).alias("percent"))
 
 
+def eval_degraded(spark, sf_dir):
+    """Products found again from reference rows with their first eight or sixteen components set to zero."""
+    return evaluation.synthetic(_index(spark, sf_dir), ["cut"], [1, 2])
+
+
+def identify_fixed(spark, sf_dir):
+    """Detections of images whose bytes are vectors: the detector finds two boxes in each, one of them unsure."""
+    packed = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("image_id"), F.array_join(F.transform(V.doubles(F.col("embedding")), lambda x: x.cast("string")), " ").cast("binary").alias("content"))
+    found = identify.detected(packed, lambda contents: [(100, 80, [(10, 10, 50, 50, 0.9), (0, 0, 5, 5, 0.1)]) for _ in contents])
+    index = _index(spark, sf_dir)
+    catalog = index.select("camera_id").distinct().withColumn("name", F.col("camera_id").cast("string"))
+    out = identify.identify(found, lambda contents, boxes: [[float(x) for x in bytes(c).decode().split(" ")] for c in contents], index, catalog)
+    each = out.select("detection_id", "box.x_min", "box.y_min", "box.x_max", "box.y_max", F.explode("matches").alias("m"))
+    return each.select("detection_id", "x_min", "y_min", "x_max", "y_max", "m.rank", "m.camera_id", F.round("m.score", 6).alias("score"), "m.record.name")
+
+
+_ACTION = "element_at(array('create', 'start', 'start', 'update', 'update', 'complete', 'fail', 'delete'), cast(event_id % 8 as int) + 1)"
+
+
+def _transitions(spark, sf_dir):
+    events = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.expr(_ACTION).alias("action"), (F.col("event_id") % 50).alias("done"), F.lit(60).cast("long").alias("total"))
+    return frames.task_transitions(events, "user_id", "action", "event_id")
+
+
+def task_lifecycle(spark, sf_dir):
+    return _transitions(spark, sf_dir).select("event_id", "life", "accepted", F.coalesce("status", F.lit("")).alias("status"))
+
+
+def task_table(spark, sf_dir):
+    """Tasks with the numbers of their deciding events in place of times."""
+    found = frames.task_table(_transitions(spark, sf_dir), "user_id", "action", "event_id", "done", "total")
+    return found.select("user_id", "status", "created_at", F.coalesce("started_at", F.lit(-1)).alias("started_at"), F.coalesce("completed_at", F.lit(-1)).alias("completed_at"), "frames", "frames_total", "percent")
+
+
+def frame_timeouts(spark, sf_dir):
+    return frames.frame_timeouts(_events(spark, sf_dir), "user_id", F.col("value") * 100)
+
+
+def rate_per_check(spark, sf_dir):
+    return frames.rate_per_check(_events(spark, sf_dir), "event_type", "ts", "10 seconds")
+
+
+def buffer_metrics(spark, sf_dir):
+    took = F.when(F.col("event_type") != "click", F.col("event_id") % 997)
+    return frames.buffer_metrics(_events(spark, sf_dir), "user_id", F.col("event_id") % 11, took, "event_id")
+
+
 def _stream(spark, sf_dir):
     return streams.event_stream(spark, sf_dir, "events.parquet" if _one_file(spark, sf_dir) else "part-*.parquet", _events(spark, sf_dir).schema)
 
@@ -174,7 +221,25 @@ def stream_running_counters(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    return streams.run_to_end(streams.first_seen(_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts"), scratch(spark, "stream")).select("user_id")
+    return streams.run_to_end(streams.first_seen(_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts"), scratch(spark, "stream")).select("user_id").distinct()
+
+
+def stream_first_seen_daily(spark, sf_dir):
+    done = streams.run_to_end(streams.first_seen(_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts"), scratch(spark, "stream"))
+    return done.select("user_id", F.col("period").cast("timestamp_ntz").alias("day"))
+
+
+def stream_task_states(spark, sf_dir):
+    """Statuses after all events, in the order of their numbers."""
+    events = _stream(spark, sf_dir).select("user_id", "event_id", F.expr(_ACTION).alias("action"))
+    done = streams.run_to_end(streams.task_states(events, "user_id", "action", "event_id"), scratch(spark, "stream"), "update", ("user_id",))
+    return done.select("user_id", F.coalesce("status", F.lit("")).alias("status"), "refused")
+
+
+def stream_timely(spark, sf_dir):
+    arrived = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 9)
+    frames_in = _stream(spark, sf_dir).select("event_id", "ts", arrived.alias("arrived"))
+    return streams.run_to_end(streams.timely(frames_in, "ts", "arrived"), scratch(spark, "stream")).select("event_id")
 
 
 def stream_sessions(spark, sf_dir):
@@ -190,7 +255,7 @@ def stream_bounded_buffer(spark, sf_dir):
 QUERIES = [
     vec_norm, vec_mean, vec_topk_raw, vec_topk_collapsed, vec_topk_centred, vec_orig_reference, vec_index_stats, eval_recall, eval_synthetic, frame_sampling, rolling_mean_100, rolling_fps_30, idle_sessions,
     session_window_batch, tumbling_counts, bounded_buffer_drop_oldest, skip_policy, connection_stats, connection_totals, connections_admitted, task_state_latest, task_status_pivot, ttl_expired,
-    upload_checks, task_progress, stream_tumbling_counts, stream_running_counters, stream_dedup, stream_sessions, stream_bounded_buffer,
+    upload_checks, task_progress, eval_degraded, identify_fixed, task_lifecycle, task_table, frame_timeouts, rate_per_check, buffer_metrics, stream_first_seen_daily, stream_task_states, stream_timely, stream_tumbling_counts, stream_running_counters, stream_dedup, stream_sessions, stream_bounded_buffer,
 ]
 
 _Q = f"""v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -205,7 +270,40 @@ _DAYS = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n
 _BUFFER = "SELECT user_id, event_id, received, greatest(received - 10, 0) AS dropped FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS received, row_number() OVER (PARTITION BY user_id ORDER BY {} DESC) AS n FROM events) WHERE n <= 10"
 _PER_USER = "SELECT user_id, count(*) AS received, count(*) FILTER (event_type <> 'click') AS processed, count(*) FILTER (event_type = 'click') AS dropped, round(coalesce(count(*) FILTER (event_type <> 'click') / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 0), 0.0), 6) AS fps, round(coalesce(sum(value) FILTER (event_type <> 'click') / nullif(count(*) FILTER (event_type <> 'click'), 0), 0.0), 2) AS mean_ms FROM events GROUP BY user_id"
 
+_LIVES = """e AS (SELECT user_id, event_id, ['create', 'start', 'start', 'update', 'update', 'complete', 'fail', 'delete'][event_id % 8 + 1] AS action FROM events),
+l AS (SELECT *, sum(CASE WHEN action = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS life FROM e),
+d AS (SELECT *, min(event_id) FILTER (action = 'delete') OVER (PARTITION BY user_id, life) AS gone FROM l),
+s AS (SELECT *, min(event_id) FILTER (action = 'start' AND (gone IS NULL OR event_id < gone)) OVER (PARTITION BY user_id, life) AS begun FROM d),
+f AS (SELECT *, min(event_id) FILTER (action IN ('complete', 'fail') AND event_id > begun AND (gone IS NULL OR event_id < gone)) OVER (PARTITION BY user_id, life) AS ended FROM s),
+j AS (SELECT *, max(action) FILTER (event_id = ended) OVER (PARTITION BY user_id, life) AS how,
+  CASE WHEN action = 'create' THEN true WHEN life = 0 THEN false WHEN action = 'delete' THEN event_id = gone WHEN action = 'start' THEN coalesce(event_id = begun, false) WHEN action = 'update' THEN coalesce(event_id > begun, false) AND (ended IS NULL OR event_id < ended) AND (gone IS NULL OR event_id < gone) ELSE coalesce(event_id = ended, false) END AS accepted FROM f),
+t AS (SELECT *, CASE WHEN life = 0 THEN '' WHEN event_id >= gone THEN 'deleted' WHEN event_id >= ended THEN CASE how WHEN 'complete' THEN 'completed' ELSE 'failed' END WHEN event_id >= begun THEN 'processing' ELSE 'pending' END AS status FROM j)"""
+
 SQL = {
+    "eval_degraded": f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      o AS (SELECT vec_id, label, e FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+      c AS (SELECT vec_id, label, sev, list_transform(e, lambda x, i: CASE WHEN i <= 8 * sev THEN 0.0 ELSE x END) AS e FROM o, (VALUES (1), (2)) AS g(sev)),
+      n AS (SELECT vec_id, label, sev, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM c),
+      s AS (SELECT n.vec_id AS q, n.label AS truth, sev, v.label AS camera_id, v.vec_id AS row_id, list_dot_product(n.u, v.e) AS score FROM n CROSS JOIN v),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q, sev, camera_id ORDER BY score DESC, row_id) = 1),
+      r AS (SELECT *, row_number() OVER (PARTITION BY q, sev ORDER BY score DESC, camera_id, row_id) AS rank FROM b),
+      f AS (SELECT q, sev, min(rank) FILTER (camera_id = truth AND rank <= 5) AS found FROM r GROUP BY q, sev)
+      SELECT 'cut' AS "group", sev AS severity, count(*) AS n, count(*) FILTER (found = 1) AS top1_hits, count(*) FILTER (found <= 5) AS top5_hits, round_even(count(*) FILTER (found = 1) / count(*), 4) AS top1_rate, round_even(count(*) FILTER (found <= 5) / count(*), 4) AS top5_rate FROM f GROUP BY sev""",
+    "identify_fixed": f"WITH {_Q}, {_BEST}, {_RANK.format('b')} SELECT query_id || '#0' AS detection_id, 6 AS x_min, 6 AS y_min, 54 AS x_max, 54 AS y_max, rank, camera_id, round(score, 6) AS score, CAST(camera_id AS VARCHAR) AS name FROM r WHERE rank <= 5 AND score >= 0.3",
+    "task_lifecycle": f"WITH {_LIVES} SELECT event_id, CAST(life AS BIGINT) AS life, accepted, status FROM t",
+    "task_table": f"""WITH {_LIVES}, m AS (SELECT *, max(life) OVER (PARTITION BY user_id) AS newest FROM t),
+      a AS (SELECT user_id, bool_or(gone IS NOT NULL) AS away, max(how) AS how, min(event_id) FILTER (action = 'create') AS created_at, max(begun) AS begun, max(ended) AS ended, max(event_id) FILTER (action = 'update' AND accepted) AS told FROM m WHERE life = newest AND life > 0 GROUP BY user_id),
+      b AS (SELECT *, CASE WHEN told IS NULL THEN 0 WHEN how = 'complete' THEN 60 ELSE told % 50 END AS frames, CASE WHEN told IS NULL THEN 0 ELSE 60 END AS frames_total FROM a WHERE NOT away)
+      SELECT user_id, CASE WHEN how = 'complete' THEN 'completed' WHEN how = 'fail' THEN 'failed' WHEN begun IS NOT NULL THEN 'processing' ELSE 'pending' END AS status, created_at, coalesce(begun, -1) AS started_at, coalesce(ended, -1) AS completed_at,
+        CAST(frames AS BIGINT) AS frames, CAST(frames_total AS BIGINT) AS frames_total, round(coalesce(frames * 100.0::DOUBLE / nullif(frames_total, 0), 0), 2) AS percent FROM b""",
+    "frame_timeouts": "SELECT user_id, count(*) AS received, count(*) FILTER (coalesce(value * 100 <= 5000, true)) AS delivered, count(*) FILTER (value * 100 > 5000) AS timeouts FROM events GROUP BY user_id",
+    "rate_per_check": "SELECT event_type, time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND AS check_time, count(*) / 10.0::DOUBLE AS fps FROM events GROUP BY ALL",
+    "buffer_metrics": """WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)
+      SELECT user_id, count(*) AS received, count(*) FILTER (event_type <> 'click') AS processed, CAST(round(CAST(coalesce(avg(event_id % 11) FILTER (n <= 100), 0) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS mean_depth, CAST(round(CAST(coalesce(avg(event_id % 997) FILTER (n <= 100 AND event_type <> 'click'), 0) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS mean_ms,
+        greatest(count(*) - 10, 0) AS dropped, least(count(*), 10) AS queue_size, round(least(count(*), 10) / 10, 2) AS utilisation FROM n GROUP BY user_id""",
+    "stream_first_seen_daily": "SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events",
+    "stream_task_states": f"WITH {_LIVES} SELECT user_id, arg_max(status, event_id) AS status, count(*) FILTER (NOT accepted) AS refused FROM t GROUP BY user_id",
+    "stream_timely": "SELECT event_id FROM events WHERE event_id % 9 <= 5",
     "vec_norm": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",
     "vec_mean": "SELECT pos, round(avg(x), 6) AS m FROM (SELECT unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY pos",
     "vec_topk_raw": f"WITH {_Q}, {_RANK.format('s')} SELECT query_id, rank, camera_id, row_id, round(score, 6) AS score FROM r WHERE rank <= 5",

@@ -1,8 +1,13 @@
-"""Numbered snapshots of a table. Data is written first; one small log entry then makes it a version, so a
-version never points at nothing. The log is read and written through Spark, wherever the folder is."""
+"""Numbered snapshots of a table. Data goes to a folder of its own first; one small log entry then makes it a
+version, so a version never points at nothing. Of two writers that choose the same number, the one whose entry
+exists first has it; the other gets an error, and its data is nobody's. A pointer names the current version:
+every new one, or an older one that point_to() goes back to. All of it goes through Hadoop's file systems,
+wherever the folder is."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import asdict, dataclass, fields
 from datetime import datetime, timezone
 
@@ -28,6 +33,10 @@ class Version:
     removed: bool = False
 
 
+class VersionTaken(ValueError):
+    """Another writer has the number."""
+
+
 LOG = "version int, timestamp string, path string, record_count long, manifest_hash string, append_mode boolean, merge_strategy string, records_added long, records_updated long, parent_version int, removed boolean"
 
 
@@ -35,45 +44,77 @@ class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, path: str):
+        """The path for Hadoop, and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _put(self, path: str, entry: dict) -> None:
+        """A small file that must not exist yet."""
+        at, fs = self._path(path)
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            if "already exists" in str(e) or "AlreadyExists" in str(e):
+                raise VersionTaken(f"{path} exists") from None
+            raise
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+
+    def _entries(self, kind: str, schema: str) -> DataFrame:
+        at, fs = self._path(f"{self.root}/{kind}")
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).json(f"{self.root}/{kind}")
+
     def log(self) -> DataFrame:
         """All versions that exist, in order; the last entry of a version counts."""
-        try:
-            entries = self.spark.read.schema(LOG).option("recursiveFileLookup", "true").json(f"{self.root}/_log")
-            entries.isEmpty()
-        except Exception as e:  # no log yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            entries = self.spark.createDataFrame([], LOG)
-        last = entries.groupBy("version").agg(F.max_by(F.struct(*[f.name for f in fields(Version)]), "removed").alias("v"))
+        last = self._entries("_log", LOG).groupBy("version").agg(F.max_by(F.struct(*[f.name for f in fields(Version)]), "removed").alias("v"))
         return last.select("v.*").where(~F.col("removed")).orderBy("version")
 
     def versions(self) -> list[Version]:
         return [Version(**r.asDict()) for r in self.log().collect()]
 
     def current(self) -> int:
-        """The highest version, 0 before the first."""
-        return max((v.version for v in self.versions()), default=0)
+        """The version that the pointer names last, of those that exist; 0 before the first."""
+        there = {v.version for v in self.versions()}
+        named = self._entries("_pointer", "seq int, version int").where(F.col("version").isin(sorted(there))).orderBy(F.desc("seq")).first() if there else None
+        return named["version"] if named else max(there, default=0)
+
+    def point_to(self, version: int) -> None:
+        """Make a version current. The pointer's entries are numbered; each is written once, by one writer."""
+        if self.info(version) is None:
+            raise ValueError(f"no version {version}")
+        seq = (self._entries("_pointer", "seq int, version int").agg(F.max("seq")).first()[0] or 0) + 1
+        while True:
+            try:
+                return self._put(f"{self.root}/_pointer/{seq:08d}.json", {"seq": seq, "version": version})
+            except VersionTaken:
+                seq += 1
 
     def info(self, version: int) -> Version | None:
         return next((v for v in self.versions() if v.version == version), None)
 
     def _record(self, v: Version, name: str) -> None:
-        self.spark.createDataFrame([tuple(asdict(v).values())], LOG).coalesce(1).write.mode("errorifexists").json(f"{self.root}/_log/{name}")
+        self._put(f"{self.root}/_log/{name}.json", asdict(v))
 
     def create(self, df: DataFrame, version: int | None = None, manifest: DataFrame | None = None, append_mode: bool = False, strategy: str | None = None, added: int | None = None, updated: int | None = None) -> Version:
-        """Write df as the next (or a given, unused) version. Its parent is the current one, in append mode."""
+        """Write df as the next (or a given, unused) version and make it current. Its parent is what was current, in
+        append mode. No number is used twice, not even a removed version's."""
         now = self.current()
-        number = now + 1 if version is None else version
-        if self.info(number):
-            raise ValueError(f"version {number} exists")
-        path = f"{self.root}/v{number}"
-        df.write.mode("overwrite").parquet(path)  # leftovers of a write that never became a version
+        used = {r["version"] for r in self._entries("_log", LOG).select("version").distinct().collect()}
+        number = max(used, default=0) + 1 if version is None else version
+        if number in used:
+            raise VersionTaken(f"version {number} exists")
+        path = f"{self.root}/v{number}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
         digest = None
         if manifest is not None:
-            manifest.coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest_v{number}")
+            manifest.coalesce(1).write.text(f"{path}-manifest")
             digest = "sha256:" + manifest.select(F.sha2(manifest.columns[0], 256)).first()[0]
         v = Version(number, datetime.now(timezone.utc).isoformat(), path, self.spark.read.parquet(path).count(), digest, append_mode, strategy, added, updated, now if append_mode and now else None)
         self._record(v, f"{number:08d}")
+        self.point_to(number)
         return v
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -89,13 +130,18 @@ class Snapshots:
         return self.create(merged, append_mode=True, strategy=strategy, added=n["added"], updated=n["updated"])
 
     def keep_last(self, n: int) -> list[int]:
-        """Forget all but the last n versions; their numbers. The data stays until the folder is cleaned."""
+        """Remove all but the last n versions and the current one: each is forgotten first, then its data goes, so
+        none that is listed lacks data. Returns their numbers."""
         if n < 1:
             raise ValueError("at least one version must be kept")
-        gone = self.versions()[:-n]
+        current = self.current()
+        gone = [v for v in self.versions()[:-n] if v.version != current]
         for v in gone:
             v.removed = True
             self._record(v, f"{v.version:08d}-removed")
+            for path in (v.path, f"{v.path}-manifest"):
+                at, fs = self._path(path)
+                fs.delete(at, True)
         return [v.version for v in gone]
 
 

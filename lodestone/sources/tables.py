@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,14 +76,42 @@ def sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path (relative to root), size and head (first 4 bytes) of all files below root.
+    """path (relative to root), size and head (first 4 bytes) of all files below root. Spark's listing passes over
+    empty files, so checks find these missing.
 
-    Only the head leaves the scan; a file must fit in a task's memory.
+    The listing reads no contents. Four bytes of each file are read where Arrow knows the file system; where it
+    doesn't, files are read by Spark, of which only the head leaves the scan.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    listed = with_heads(source.select("path", "length")) if _scheme(spark, root) in ARROW_SCHEMES else source.select("path", "length", F.substring("content", 1, 4).alias("head"))
     base = F.regexp_replace(F.lit(root), "^[a-z]+:/*|/+$", "")
     relative = F.ltrim(F.element_at(F.split("path", F.concat(F.lit("\\Q"), base, F.lit("\\E")), 2), -1), F.lit("/"))
-    return listed.select(relative.alias("path"), F.col("length").alias("size"), F.substring("content", 1, 4).alias("head"))
+    return listed.select(relative.alias("path"), F.col("length").alias("size"), "head")
+
+
+#: File systems that Arrow opens by itself.
+ARROW_SCHEMES = {"file", "s3", "gs"}
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+def with_heads(listed: DataFrame) -> DataFrame:
+    """path, length and head, the first four bytes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for path in batch.column("path").to_pylist():
+                local = path.startswith("file:")
+                fs, name = (pafs.LocalFileSystem(), unquote(urlparse(path).path)) if local else pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(name) as data:
+                    heads.append(data.read(4))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["path", "length", "head"])
+
+    return listed.mapInArrow(read, "path string, length long, head binary")
 
 
 def write_parquet(df: DataFrame, path: str, force: bool = False) -> None:

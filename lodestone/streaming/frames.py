@@ -21,17 +21,20 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append", keys: tuple[str,
     last version of each of keys.
     """
     def write(batch: DataFrame, number: int) -> None:
+        numbers.append(number)
         if mode == "complete":
             batch.write.mode("overwrite").parquet(f"{path}/{number}")
         else:
             batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{number}")
 
+    numbers: list[int] = []
+    spark = df.sparkSession
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = [p["batchId"] for p in query.recentProgress]
-    spark = df.sparkSession
+    if not numbers:  # no file has come yet
+        return spark.createDataFrame([], df.schema)
     if mode == "complete":
-        return spark.read.schema(df.schema).parquet(f"{path}/{max(done)}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{numbers[-1]}")
     schema = df.withColumn("_batch", F.lit(0)).schema
     every = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     if mode == "update":
@@ -48,8 +51,46 @@ def running_counters(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("received"), F.max("ts").alias("last_activity"))
 
 
-def first_seen(events: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
-    return events.withWatermark(ts, late).dropDuplicates([key])
+def first_seen(events: DataFrame, key: str, ts: str, every_seconds: int = 86_400, late: str = "1 day") -> DataFrame:
+    """A row for each key and interval of event time that it is seen in, with period, the interval's start.
+
+    Intervals are no longer than late. A key's state is forgotten once the watermark, the latest time seen less
+    late, has passed its first row by late; what might still come for the interval is then late itself, and late
+    rows are dropped. So the state holds the keys of about two intervals, however long the stream.
+    """
+    width = every_seconds * 1_000_000
+    period = F.timestamp_micros(F.floor(F.unix_micros(ts) / F.lit(width)).cast("long") * width)
+    return events.withWatermark(ts, late).withColumn("period", period).dropDuplicatesWithinWatermark([key, "period"])
+
+
+def timely(frames: DataFrame, sent: str, arrived: str, limit: str = "5 seconds") -> DataFrame:
+    """Frames that arrived within limit of being sent; the others are dropped, by the frames' own times."""
+    return frames.where(F.col(arrived) <= F.col(sent) + F.expr(f"INTERVAL {limit}"))
+
+
+def task_states(events: DataFrame, key: str, action: str, ts: str) -> DataFrame:
+    """Per task after each batch: status, and how many events were refused. The state of a task is its status; the
+    events of a batch are taken in order of time, and those that the status doesn't allow are refused, as in
+    operators.frames.task_transitions(). The state is two values, whatever a task has been through."""
+    allowed = {"start": ("pending", "processing"), "update": ("processing", "processing"), "complete": ("processing", "completed"), "fail": ("processing", "failed")}
+
+    def step(group, batches, state: GroupState):
+        status, refused = state.get if state.exists else (None, 0)
+        for pdf in batches:
+            for what in pdf.sort_values(ts, kind="stable")[action]:
+                if what == "create":
+                    status = "pending"
+                elif what == "delete" and status not in (None, "deleted"):
+                    status = "deleted"
+                elif what in allowed and status == allowed[what][0]:
+                    status = allowed[what][1]
+                else:
+                    refused += 1
+        state.update((status, refused))
+        yield pd.DataFrame({key: [group[0]], "status": [status], "refused": [refused]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    return events.select(key, action, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, status string, refused long", "status string, refused long", "update", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 day") -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from lodestone.operators import manifest, merge
 from lodestone.schema import MANIFEST, PRODUCT_CACHE
 from lodestone.sources import tables
-from lodestone.sources.snapshots import Snapshots, diff
+from lodestone.sources.snapshots import Snapshots, VersionTaken, diff
 
 OLD = [("cam-001", "Camera 1"), ("cam-002", "Camera 2"), ("cam-003", "Camera 3")]
 APART = [("cam-004", "Camera 4"), ("cam-005", "Camera 5")]
@@ -96,3 +96,51 @@ def test_versions(spark, tmp_path):
     with pytest.raises(ValueError):
         store.keep_last(0)
     assert diff(store.read(5), store.read(6)).count() == 4
+
+
+def test_two_writers_of_one_number(spark, tmp_path, monkeypatch):
+    """Both choose 2; the one whose entry comes second gets an error, and replaces nothing of the first's."""
+    mine, other = Snapshots(spark, str(tmp_path / "v")), Snapshots(spark, str(tmp_path / "v"))
+    mine.create(table(spark, OLD))
+    record = Snapshots._record
+
+    def slow(self, v, name):
+        if self is mine:
+            monkeypatch.setattr(Snapshots, "_record", record)
+            other.create(table(spark, APART))
+        record(self, v, name)
+
+    monkeypatch.setattr(Snapshots, "_record", slow)
+    with pytest.raises(VersionTaken):
+        mine.create(table(spark, OVER))
+    assert {r.camera_id for r in mine.read(2).collect()} == {k for k, _ in APART} and mine.current() == 2
+    assert mine.create(table(spark, OVER)).version == 3
+
+
+def test_pointer_and_cleanup(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "v"))
+    versions = [store.create(table(spark, OLD[: n + 1]), manifest=spark.createDataFrame([("{}",)], "json string") if n == 0 else None) for n in range(3)]
+    store.point_to(1)
+    assert store.current() == 1 and store.read().count() == 1
+    appended = store.append(table(spark, APART), "camera_id", "ord")
+    assert (appended.version, appended.parent_version, store.current()) == (4, 1, 4) and store.read().count() == 3
+    store.point_to(2)
+    assert store.keep_last(1) == [1, 3] and [v.version for v in store.versions()] == [2, 4]  # the current one stays
+    there = {p.name for p in (tmp_path / "v").iterdir()}
+    gone = {v.path.rsplit("/", 1)[1] for v in versions if v.version in (1, 3)}
+    assert not gone & there and not any(name.endswith("-manifest") for name in there) and store.read().count() == 2
+    assert store.create(table(spark, OLD)).version == 5  # no number twice
+    with pytest.raises(ValueError):
+        store.point_to(3)
+
+
+def test_reports_and_file_heads(spark, tmp_path):
+    report = spark.createDataFrame([("b", 1, 2, 1, 2, 0.5, 1.0), ("a", 2, 4, 2, 3, 0.5, 0.75)], "group string, severity int, n int, top1_hits int, top5_hits int, top1_rate double, top5_rate double")
+    tables.write_report(report, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "r/csv")).columns == report.columns
+    (tmp_path / "f/sub dir").mkdir(parents=True)
+    for name, data in (("a.pdf", b"%PDF-1.7 and more"), ("sub dir/b.webp", b"RIFFxxxx"), ("sub dir/c", b"ab"), ("sub dir/d", b"")):
+        (tmp_path / "f" / name).write_bytes(data)
+    got = {r.path: (r.size, bytes(r.head)) for r in tables.files(spark, str(tmp_path / "f")).collect()}
+    assert got == {"a.pdf": (17, b"%PDF"), "sub dir/b.webp": (8, b"RIFF"), "sub dir/c": (2, b"ab")}  # empty files are not listed

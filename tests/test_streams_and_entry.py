@@ -1,7 +1,11 @@
 import ast
 import pathlib
+import time
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import __spark_entry__
 from lodestone.streaming import frames as streams
@@ -37,3 +41,51 @@ def test_nothing_else_imports_the_optional_subpackage():
         if "llm" not in path.relative_to(ROOT).parts:
             names = [n.module or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)] + [a.name for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.Import) for a in n.names]
             assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
+
+
+def stamped(spark, folder, name, rows):
+    """A file of events: (key, seconds after the start)."""
+    table = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in rows], "key string, ts timestamp")
+    table.coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+@pytest.mark.parametrize("mode, keys", [("append", ()), ("update", ("key",)), ("complete", ())])
+def test_a_stream_over_an_empty_folder_is_empty(spark, tmp_path, mode, keys):
+    (tmp_path / "in").mkdir()
+    events = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", StructType.fromDDL("key string, ts timestamp"))
+    df = events if mode == "append" else streams.running_counters(events, "key")
+    out = streams.run_to_end(df, str(tmp_path / "out"), mode, keys)
+    assert out.columns == df.columns and out.count() == 0
+
+
+def test_first_seen_forgets_what_can_come_no_more(spark, tmp_path):
+    """Files out of order: what comes too late is dropped, what comes late but in time is a duplicate. A batch drops
+    what was late before the batch ahead of it, so the watermark of the second file counts from the fourth on."""
+    folder, day = str(tmp_path / "in"), 86_400
+    files = [[("a", 10), ("b", 20)], [("c", 5 * day)], [("g", 5 * day + 5)], [("a", 30), ("d", 40), ("c", 5 * day + 9), ("e", 4 * day + 100)], [("f", 5 * day)]]
+    for i, rows in enumerate(files):
+        stamped(spark, folder, f"f{i}", rows)
+        time.sleep(1.1)  # files are taken by their time
+    events = streams.event_stream(spark, folder, "*.parquet", StructType.fromDDL("key string, ts timestamp"))
+    out = streams.run_to_end(streams.first_seen(events, "key", "ts"), str(tmp_path / "out"))
+    found = sorted((r.key, r.period.day) for r in out.collect())
+    # d comes four days late: the watermark is at day 4; a's second row is late too
+    assert found == [("a", 1), ("b", 1), ("c", 6), ("e", 5), ("f", 6), ("g", 6)]
+
+
+def test_timely_drops_slow_frames(spark):
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 5)), (2, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 6)), (3, datetime(2024, 1, 1), None)], "id int, sent timestamp, arrived timestamp")
+    assert [r.id for r in streams.timely(rows, "sent", "arrived").collect()] == [1]
+
+
+def test_task_states_follow_batches(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    steps = [["create", "update"], ["start", "start", "update"], ["complete", "fail"], ["delete", "update"], ["create"]]
+    for i, actions in enumerate(steps):
+        spark.createDataFrame([("t", a, 10 * i + j) for j, a in enumerate(actions)], "task string, action string, at long").coalesce(1).write.parquet(f"{folder}/f{i}")
+        time.sleep(1.1)
+    events = streams.event_stream(spark, folder, "*.parquet", StructType.fromDDL("task string, action string, at long"))
+    seen = streams.run_to_end(streams.task_states(events, "task", "action", "at"), str(tmp_path / "out"), "update", ("task",)).collect()
+    assert [tuple(r) for r in seen] == [("t", "pending", 4)]
+    every = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).orderBy("_batch").collect()
+    assert [(r.status, r.refused) for r in every] == [("pending", 1), ("processing", 2), ("completed", 3), ("deleted", 4), ("pending", 4)]

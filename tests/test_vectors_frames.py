@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -123,3 +124,37 @@ def test_boxes(spark):
     b = geometry.box(F.lit(0.5), F.lit(1.5), F.lit(10), F.lit(20))
     got = spark.range(1).select(geometry.expand(b, 0.25).alias("e"), geometry.clamp(geometry.expand(b, 0.25), F.lit(8), F.lit(8)).alias("c"), geometry.valid(b).alias("v")).first()
     assert tuple(got.e) == (-2, -2, 12, 24) and tuple(got.c) == (0, 0, 8, 8) and got.v
+
+
+def simulate(actions):
+    """A task's events one after the other."""
+    status, life, out = None, 0, []
+    for a in actions:
+        ok = a == "create" or status is not None and status != "deleted" and (a == "delete" or a == "start" and status == "pending" or a in ("update", "complete", "fail") and status == "processing")
+        if ok:
+            life += a == "create"
+            status = {"create": "pending", "start": "processing", "update": status, "complete": "completed", "fail": "failed", "delete": "deleted"}[a]
+        out.append((life, ok, status))
+    return out
+
+
+def test_task_transitions_match_a_simulation(spark):
+    rng = random.Random(4)
+    logs = {t: [rng.choice(["create", "start", "start", "update", "complete", "fail", "delete", "odd"]) for _ in range(rng.randrange(1, 25))] for t in range(120)}
+    rows = [(t, i, a, i, 30) for t, log in logs.items() for i, a in enumerate(log)]
+    moves = frames.task_transitions(spark.createDataFrame(rows, "task long, at long, action string, done long, total long"), "task", "action", "at")
+    got = {(r.task, r.at): (r.life, r.accepted, r.status) for r in moves.collect()}
+    want = {(t, i): x for t, log in logs.items() for i, x in enumerate(simulate(log))}
+    assert got == want
+    tasks = {r.task: r for r in frames.task_table(moves, "task", "action", "at", "done", "total").collect()}
+    assert {t: r.status for t, r in tasks.items()} == {t: s for t, log in logs.items() if (s := simulate(log)[-1][2]) not in (None, "deleted")}
+    assert all(r.frames == r.frames_total for r in tasks.values() if r.status == "completed")
+
+
+def test_timeouts_and_metrics(spark):
+    rows = spark.createDataFrame([("a", i, 4000.0 + 1000 * (i % 3)) for i in range(12)] + [("b", 0, None)], "k string, at long, ms double")
+    got = {r.k: (r.received, r.delivered, r.timeouts) for r in frames.frame_timeouts(rows, "k", F.col("ms")).collect()}
+    assert got == {"a": (12, 8, 4), "b": (1, 1, 0)}
+    m = {r.k: r for r in frames.buffer_metrics(rows, "k", F.col("at"), F.col("ms"), "at", samples=3).collect()}
+    assert (m["a"].received, m["a"].processed, m["a"].dropped, m["a"].mean_depth, m["a"].mean_ms, m["a"].queue_size, m["a"].utilisation) == (12, 12, 2, 10.0, 5000.0, 10, 1.0)
+    assert (m["b"].processed, m["b"].mean_ms, m["b"].utilisation) == (0, 0.0, 0.1)
