@@ -3,9 +3,11 @@
 Pieces shorter than a sequence are dealt by a hash into groups of a bounded number of rows, and every
 group is packed by best-fit decreasing. Dual-feasible functions of the lengths bound each group's number
 of bins from below. A group that meets its bound is certified; it hands over no more than its emptiest bin, if that
-is half empty. The other groups hand over the rows of all their unfilled bins. Four groups (then four of
-these) exchange what was handed over and run best-fit decreasing again, and the result stands where it has
-fewer bins than before.
+is half empty. The other groups hand over the rows of their emptiest bins, up to a quarter of a group. Four
+groups exchange what was handed over and run best-fit decreasing again, and the result stands where it has
+fewer bins than before. So it goes on, four by four, until all have met in one group; no round has larger
+groups than the first, and each has a quarter of the groups of the one before. certificate() bounds the whole
+table from the counts of its lengths.
 
 Defined results: a null or empty text is the end id alone; rows are told apart by a row number, so null
 and repeated doc_ids and repeated rows are packed each; other columns are ignored; empty tables give no
@@ -27,9 +29,8 @@ from lodestone.llm.common import stage
 from lodestone.llm.tokens import default_vocabulary, encoder, slices
 
 CAPACITY, END = 2048, 0
-#: Rows of a group on average, and exchanges between four groups each. More rows than a group has are never in
-#: a task at first, nor more than a group's 16-fold, of what stays open, at last.
-GROUP_ROWS, FOURS = 50_000, 2
+#: Rows of a group on average, in every round.
+GROUP_ROWS = 50_000
 
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,9 +86,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
     """A lower bound on the bins of any packing: the best of two families of dual-feasible functions."""
-    if not len(lengths):
+    return least_bins_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def least_bins_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same, from how often each length from 0 to capacity occurs."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     best = 0
     tokens, number = np.append(0, (count * size).cumsum()), np.append(0, count.cumsum())
@@ -102,7 +107,9 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packer(capacity: int):
+def _packer(capacity: int, most: int):
+    """most: rows that a group hands over."""
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         """One group: rows already in bins (bin >= 0) keep them unless fewer bins are found."""
         pdf = pdf.sort_values("row", ignore_index=True)
@@ -117,9 +124,13 @@ def _packer(capacity: int):
             pdf["bin"] = pdf["row"].groupby(bins).transform("min")
         else:
             n = had
-        fill = pdf["length"].groupby(pdf["bin"]).transform("sum")
         pdf["gap"] = n - bound
-        pdf["open"] = fill < capacity if n > bound else (fill == fill.min()) & (2 * fill <= capacity)
+        bins_now = pdf.groupby("bin")["length"].agg(["sum", "size"]).sort_values("sum", kind="stable")
+        if n > bound:
+            given = bins_now.index[(bins_now["size"].cumsum() <= most) & (bins_now["sum"] < capacity)]
+        else:
+            given = bins_now.index[:1][2 * bins_now["sum"].to_numpy()[:1] <= capacity]
+        pdf["open"] = pdf["bin"].isin(given)
         return pdf
 
     return pack
@@ -135,9 +146,18 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     groups = max(1, -(-part.count() // GROUP_ROWS))
     todo = part.select(*pieces.columns, F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"), F.lit(True).alias("open"), F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
     done = whole
-    for exchange in range(FOURS + 1):
-        packed = stage(todo.groupBy("group").applyInPandas(_packer(capacity), todo.schema), "packing-round")
-        final = packed if exchange == FOURS else packed.where(~F.col("open"))
+    while groups:
+        packed = stage(todo.groupBy("group").applyInPandas(_packer(capacity, GROUP_ROWS // 4), todo.schema), "packing-round")
+        final = packed if groups == 1 else packed.where(~F.col("open"))
         done = done.unionByName(final.drop("open", "group"))
         todo = packed.where("open").withColumn("group", F.floor(F.col("group") / 4))
+        groups = -(-groups // 4) if groups > 1 else 0
     return done.withColumnRenamed("bin", "sequence_id").select(*PIECE_COLUMNS, "sequence_id", "offset", "gap", *["ids"] * with_ids)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences packed has, and how many any packing of its pieces must have."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # at most capacity rows
+        counts[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), least_bins_of_counts(counts, capacity)

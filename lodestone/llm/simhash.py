@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ascii_lower, split_words, stage, without
+from lodestone.llm.common import ascii_lower, split_words, stage, unused, without
 from lodestone.llm.components import component_labels
 
 SHINGLE, BITS, RADIUS = 3, 64, 2
@@ -110,4 +110,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = without(docs, others)
     if texts.where("rows > 1").isEmpty():  # no row is repeated
         return kept
-    return kept.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    text_hash = unused(kept, "text_hash")
+    return kept.withColumn(text_hash, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", text_hash]).drop(text_hash)

@@ -18,7 +18,6 @@ ignored; an empty table gives an empty store.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -29,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
 from lodestone.llm.tokens import default_vocabulary, encoder, slices
+from lodestone.sources.shared import scratch
 
 END = 0
 #: Ids that the rolling hash sees, its cut mask (one place in 256 cuts), least and most ids of a chunk.
@@ -291,7 +290,7 @@ def read_ids(spark: SparkSession, path: str, vocabulary: str | None = None) -> D
 def stored_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write docs to a new store in the shared folder and return read_digests() of it."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-store")
     write_store(docs, path, vocabulary)
     broken = verify_manifest(spark, path).count()
     if broken:

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import packing, store
+import test_simhash
+from lodestone.llm import common, packing, quality, simhash, store
+from lodestone.sources.shared import scratch
 from lodestone.llm.tokens import Encoder, default_vocabulary, encoder, slices
 
 TRICKY = ["", " ", "\n", "a  b", " lead", "trail ", "x\n\ny", "\n\n a", "tab\t here", "\t\n b", "don't  you're", "a b 　c", "²½ Ⅷ 12ab_x", "Ünïcode’s", "<|endoftext|> x", "a \n b", "a\r\nb", "\x1c x \x1f", "日本語 テキスト", "😀 😀!", "..., ,x", "A" * 3000, " " * 50 + "z"]
@@ -85,6 +88,19 @@ def test_packing_is_whole_and_certified(spark, whole, rows, monkeypatch):
     assert rows.sequence_id.nunique() <= n + (2 if len(short) > packing.GROUP_ROWS else 0)
 
 
+def test_exchange_goes_on_until_one_group(spark, monkeypatch):
+    """Sixteen groups, then four, then one; the whole table comes near its certified bound."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 150)
+    rng = random.Random(12)
+    docs = documents(spark, ["word " * rng.randrange(20, 1500) for _ in range(2400)])
+    packed = packing.pack_documents(docs).cache()
+    sequences, bound = packing.certificate(packed)
+    assert packed.groupBy("doc_id").count().count() == 2400 and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
+    assert bound <= sequences <= 1.02 * bound, (sequences, bound)
+    one = packing.least_bins(np.array([r.length for r in packed.select("length").collect()]), 2048)
+    assert one == bound
+
+
 def test_bounds_hold_and_reach_known_optima():
     assert packing.least_bins(np.array([1025] * 7), 2048) == 7
     assert packing.least_bins(np.array([1024] * 7), 2048) == 4
@@ -191,6 +207,74 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["secret_scan"])
 
 
+def plain_pipeline(texts, predicted, item, encode):
+    """The stages one after the other in plain Python: (doc_id, length, crc32) of what is left."""
+    kept = [(i, t) for i, t in enumerate(texts) if predicted[i]]
+    fps = {i: test_simhash.fingerprint(t) for i, t in kept}
+    group = {i: i for i, _ in kept}
+    for i, _ in kept:
+        for j, _ in kept:
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    kept = [(i, t) for i, t in kept if i == min(k for k in group if group[k] == group[i])]
+    window = item.split(" ")
+    windows = {tuple(window[k : k + 10]) for k in range(len(window) - 9)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    kept = [(i, t) for i, t in kept if not any(tuple(words(t)[k : k + 10]) in windows for k in range(len(words(t))))]
+    out = []
+    for i, t in kept:
+        spans = sorted((m.start(), m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{8,}", t))
+        for a, b in reversed(spans):
+            t = t[:a] + "[SECRET]" + t[b:]
+        ids = ids_of(encode, t)
+        out.append((i, len(ids), crc(ids)))
+    return out
+
+
+def test_pipeline_equals_a_plain_run(spark, whole, tmp_path):
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in ("river", "hill", "stone", "cloud", "field", "door") for b in "abcdefghij"]
+    item = " ".join(f"bench{i}" for i in range(14))
+    texts = ["The " + " ".join(rng.choice(words) for _ in range(rng.randrange(25, 60))) + "." for _ in range(70)]
+    texts += [texts[3], texts[3], texts[9].replace(".", " indeed."), f"Well {item[:40]} and {item} here.", f"And {' '.join(item.split(' ')[3:13])} again.", "A password=abcdefgh1234 and token: 'zyxwvuts9876' stand in this one.", "password=short is none."]
+    texts += ["!!! ### BAD BAD " * 5] * 40
+    documents(spark, texts).drop("spans", "score").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("BAD" not in t), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    scores = quality.quality_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    want = plain_pipeline(texts, {r.doc_id: r.predicted for r in scores}, item, whole)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == sorted(want) and len(want) > 60
+    assert sum(r.length for r in got) <= 2048 * len({r.sequence_id for r in got})
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Columns with names that operators might use themselves, and no n_chars."""
+    rows = [(i, t, "a", "b", "c", "d", "e") for i, t in enumerate(["one two three four", "one two three four", "my password=abcdefgh1 x", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, length string, _text_hash string, words string, row string")
+    out = corpus_pipeline.secrets_stage(spark, simhash.drop_near_duplicates(docs.union(docs.limit(2))), "")
+    assert out.columns == docs.columns and [(r.text, r.text_hash, r.length, r._text_hash) for r in out.orderBy("doc_id").collect()] == [("one two three four", "a", "b", "c"), ("my [SECRET] x", "a", "b", "c"), (None, "a", "b", "c")]
+
+
+def test_drop_lists_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "stage", lambda df, name: df)  # so that Spark doesn't know how small the list is
+    docs = documents(spark, [f"text {i}" for i in range(50)] + ODD, [*range(100, 150), *ODD_IDS])
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    left = common.without(docs, keyed.where("doc_id is null or doc_id % 3 = 0"))
+    assert "SortMergeJoin" in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in [*range(100, 150), *ODD_IDS] if i is not None and i % 3)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Cluster, "x")
+
+
 def test_pipeline_survives_odd_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
