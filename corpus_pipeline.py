@@ -13,13 +13,12 @@ columns beyond those of documents are kept to the last stage but one; an empty t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, packing, quality, secrets, simhash
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm.common import table, unused
+from lodestone.sources.shared import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; n_chars follows where a text has changed."""
-    clean = secrets.redact_secrets(docs.withColumn("_length", F.length("text")))
-    n_chars = F.when(F.length("text") != F.col("_length"), F.length("text")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).drop("_length")
+    """Replace every secret by a mark; n_chars, where there is one, follows where a text has changed."""
+    if "n_chars" not in docs.columns:
+        return secrets.redact_secrets(docs)
+    before = unused(docs, "length")
+    clean = secrets.redact_secrets(docs.withColumn(before, F.length("text")))
+    n_chars = F.when(F.length("text") != F.col(before), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).drop(before)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
