@@ -24,5 +24,15 @@ def clamp(b: Column, width: Column, height: Column) -> Column:
     return F.struct(within(b["x_min"], width).alias("x_min"), within(b["y_min"], height).alias("y_min"), within(b["x_max"], width).alias("x_max"), within(b["y_max"], height).alias("y_max"))
 
 
+def annotation_scale(height: Column, reference: float = 480.0) -> Column:
+    """How much larger lines and letters are drawn on a frame of this height; never smaller."""
+    return F.greatest(F.lit(1.0), height / F.lit(reference))
+
+
+def jpeg_quality(quality: Column) -> Column:
+    """Within 1 and 100."""
+    return F.greatest(F.lit(1), F.least(F.lit(100), quality))
+
+
 def valid(b: Column) -> Column:
     return (b["x_max"] > b["x_min"]) & (b["y_max"] > b["y_min"])

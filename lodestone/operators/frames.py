@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 # Limits of uploaded videos.
 UPLOAD_TYPES, UPLOAD_EXTENSIONS = ["video/mp4", "video/quicktime", "video/x-msvideo"], ["mp4", "mov", "avi"]
 STATUSES = ["pending", "processing", "completed", "failed"]
 
 
-def _last(n: int, key: str, *order: str):
-    return Window.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
+#: A key's history is numbered in intervals of the first order column, of so many seconds or whole numbers, and
+#: rolling measures see it in runs of so many rows.
+INTERVAL_SECONDS, INTERVAL_NUMBERS, RUN_ROWS = 3600, 100_000, 20_000
+
+
+def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df with __key, __pos: each row's number (from 1) in the order of its key, found without gathering the
+    history of a key in one task: rows are numbered within intervals, and the intervals' counts added up."""
+    kind = df.schema[order[0]].dataType
+    first = F.col(order[0])
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        interval = F.floor(F.unix_micros(first.cast("timestamp")) / (INTERVAL_SECONDS * 1_000_000))
+    else:
+        interval = F.floor(first / INTERVAL_NUMBERS) if isinstance(kind, T.NumericType) else F.lit(0)
+    # a struct equals another one with the same field, null or not
+    dealt = df.withColumns({"__key": F.struct(key), "__interval": F.struct(interval.cast("long").alias("i"))})
+    within = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__key", "__interval").orderBy(*order)))
+    counts = dealt.groupBy("__key", "__interval").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy("__key").orderBy("__interval").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")
+    placed = within.join(counts.withColumn("__before", before).drop("__rows"), ["__key", "__interval"])
+    return placed.withColumn("__pos", F.col("__before") + F.col("__in")).drop("__interval", "__in", "__before")
+
+
+def _rolling(df: DataFrame, key: str, n: int, name: str, measure: Callable[[WindowSpec], Column], *order: str) -> DataFrame:
+    """df with a measure of the last n rows of each key, in runs: a run's last n - 1 rows go to the next run too, as
+    what came before, and count only there."""
+    if n > RUN_ROWS:
+        raise ValueError(f"at most {RUN_ROWS} rows are seen at a time")
+    placed = numbered(df, key, *order).withColumn("__run", F.floor((F.col("__pos") - 1) / RUN_ROWS))
+    ahead = F.pmod(F.col("__pos") - 1, F.lit(RUN_ROWS)) > RUN_ROWS - n
+    seen = placed.withColumn("__in_run", F.explode(F.when(ahead, F.array("__run", F.col("__run") + 1)).otherwise(F.array("__run"))))
+    last = Window.partitionBy("__key", "__in_run").orderBy("__pos").rowsBetween(-(n - 1), 0)
+    return seen.withColumn(name, measure(last)).where("__run = __in_run").select(*df.columns, name)
 
 
 def rolling_mean(df: DataFrame, key: str, value: str, *order: str, n: int = 100) -> DataFrame:
     """df with rolling_mean of the last n samples of each key."""
-    return df.withColumn("rolling_mean", F.avg(value).over(_last(n, key, *order)))
+    return _rolling(df, key, n, "rolling_mean", lambda w: F.avg(value).over(w), *order)
 
 
 def seconds(ts: Column) -> Column:
@@ -26,10 +61,13 @@ def seconds(ts: Column) -> Column:
 
 def rolling_fps(df: DataFrame, key: str, ts: str, *order: str, n: int = 30) -> DataFrame:
     """df with fps over the last n stamps of each key: intervals by span; 0 with one stamp or no span."""
-    w = _last(n, key, *order)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = F.max(micros).over(w) - F.min(micros).over(w)
-    return df.withColumn("fps", F.coalesce(F.try_divide((F.count("*").over(w) - 1) * F.lit(1e6), span.cast("double")), F.lit(0.0)))
+
+    def fps(w: WindowSpec) -> Column:
+        span = F.max(micros).over(w) - F.min(micros).over(w)
+        return F.coalesce(F.try_divide((F.count("*").over(w) - 1) * F.lit(1e6), span.cast("double")), F.lit(0.0))
+
+    return _rolling(df, key, n, "fps", fps, *order)
 
 
 def tumbling_counts(df: DataFrame, ts: str, width: str, *keys: str) -> DataFrame:
@@ -39,8 +77,8 @@ def tumbling_counts(df: DataFrame, ts: str, width: str, *keys: str) -> DataFrame
 def sampled(df: DataFrame, key: str, source_fps: float, target_fps: float, *order: str) -> DataFrame:
     """Every k-th frame of each key, k = source by target, at least 1; numbers from 1."""
     k = max(1, int(source_fps / target_fps))
-    numbered = df.withColumn("frame_number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered.where(F.pmod(F.col("frame_number") - 1, F.lit(k)) == 0)
+    placed = numbered(df, key, *order).withColumnRenamed("__pos", "frame_number").drop("__key")
+    return placed.where(F.pmod(F.col("frame_number") - 1, F.lit(k)) == 0)
 
 
 def should_skip(fps: Column, target: Column, utilisation: Column) -> Column:
@@ -57,12 +95,25 @@ def bounded_buffer(df: DataFrame, key: str, *order: str, capacity: int = 10) ->
 
 
 def idle_sessions(df: DataFrame, key: str, ts: str, *order: str, gap_seconds: int = 30) -> DataFrame:
-    """key, session (from 1), started, ended, n_frames: a session ends when the gap to the next frame is longer."""
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    new = F.when(micros - F.lag(micros).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
-    numbered = df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_frames"))
+    """key, session (from 1), started, ended, n_frames: a session ends when the gap to the next frame is longer.
+
+    Sessions are found within intervals of time first; what is left of them, one row each, is then joined where
+    the gap between two is no longer, so a key's frames never lie in one task.
+    """
+    gap = gap_seconds * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    interval = F.floor(micros(ts) / (INTERVAL_SECONDS * 1_000_000))
+
+    def parts(rows: DataFrame, begin: str, end: str, *keys: str) -> DataFrame:
+        """rows with part: how many gaps before a row, in the order of begin, among the rows of the same keys."""
+        w = Window.partitionBy(*keys).orderBy(begin, end)
+        new = F.when(micros(begin) - F.lag(micros(end)).over(w) <= gap, 0).otherwise(1)
+        return rows.withColumn("__new", new).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    dealt = df.select(key, ts, interval.alias("__interval"))
+    first = parts(dealt, ts, ts, key, "__interval").groupBy(key, "__interval", "part").agg(F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.count("*").alias("__rows"))
+    whole = parts(first.drop("part"), "__from", "__to", key).groupBy(key, F.col("part").alias("session"))
+    return whole.agg(F.min("__from").alias("started"), F.max("__to").alias("ended"), F.sum("__rows").alias("n_frames"))
 
 
 def session_windows(df: DataFrame, key: str, ts: str, gap: str = "30 seconds") -> DataFrame:
@@ -111,9 +162,9 @@ def buffer_metrics(df: DataFrame, key: str, depth: Column, took_ms: Column, *ord
     """One row per key: received, processed (those with a time), dropped (beyond the capacity), the means of the
     last samples' queue depth and processing time, the size of the queue and its share of the capacity."""
     newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    numbered = df.select(key, depth.alias("__depth"), took_ms.alias("__took"), F.row_number().over(newest).alias("__n"))
+    ranked = df.select(key, depth.alias("__depth"), took_ms.alias("__took"), F.row_number().over(newest).alias("__n"))
     last = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("__n") <= samples, F.col(c))), F.lit(0.0)), 2)
-    counts = numbered.groupBy(key).agg(F.count("*").alias("received"), F.count("__took").alias("processed"), last("__depth").alias("mean_depth"), last("__took").alias("mean_ms"))
+    counts = ranked.groupBy(key).agg(F.count("*").alias("received"), F.count("__took").alias("processed"), last("__depth").alias("mean_depth"), last("__took").alias("mean_ms"))
     size = F.least(F.col("received"), F.lit(capacity))
     return counts.withColumns({"dropped": F.greatest(F.col("received") - capacity, F.lit(0)), "queue_size": size, "utilisation": F.round(size / F.lit(capacity), 2)})
 

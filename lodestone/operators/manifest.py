@@ -112,16 +112,24 @@ def media(paths: DataFrame) -> DataFrame:
     )
 
 
+def decoded(product_cache: DataFrame) -> DataFrame:
+    """product_cache with image_urls and specifications_html decoded; both are empty if either is broken."""
+    images, specs = F.from_json("image_urls", "array<string>"), F.from_json("specifications_html", "map<string, map<string, string>>")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    whole = (blank("image_urls") | images.isNotNull()) & (blank("specifications_html") | specs.isNotNull())
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string, map<string, string>>")
+    return product_cache.withColumns({"image_urls": F.when(whole, F.coalesce(images, none)).otherwise(none), "specifications_html": F.when(whole, F.coalesce(specs, empty)).otherwise(empty)})
+
+
 def reconstruct(paths: DataFrame, product_cache: DataFrame) -> DataFrame:
     """A flat manifest from files and the product cache (schema.PRODUCT_CACHE); ids the cache lacks keep their
     id as name. The cache's last row of a slug wins, by product_url."""
     found = media(paths)
-    cached = product_cache.withColumn("camera_id", text.slug(F.col("model_name"))).groupBy("camera_id").agg(
+    cached = decoded(product_cache).withColumn("camera_id", text.slug(F.col("model_name"))).groupBy("camera_id").agg(
         F.max_by(F.struct("model_name", "image_urls", "datasheet_url", "specifications_html"), "product_url").alias("p")
     )
     joined = found.join(cached, "camera_id", "left")
-    specs = F.from_json("p.specifications_html", "map<string, map<string, string>>")
     return joined.select(
-        "category", "series", "vendor", "camera_id", F.coalesce("p.model_name", "camera_id").alias("model_name"), text.json_strings(F.col("p.image_urls")).alias("image_urls"),
-        F.col("p.datasheet_url").alias("datasheet_url"), specs.alias("specifications_html"), F.size("image_files").alias("n_image_files"), "datasheet_file",
+        "category", "series", "vendor", "camera_id", F.coalesce("p.model_name", "camera_id").alias("model_name"), F.coalesce("p.image_urls", F.array().cast("array<string>")).alias("image_urls"),
+        F.col("p.datasheet_url").alias("datasheet_url"), F.col("p.specifications_html").alias("specifications_html"), F.size("image_files").alias("n_image_files"), "datasheet_file",
     )

@@ -125,7 +125,7 @@ def validate(df: DataFrame, files: DataFrame | None = None, flat: DataFrame | No
 
 
 def format_report(r: Report, verbose: bool = False) -> str:
-    """The report as text, section by section."""
+    """The report as text, section by section. Its titles and labels are fixed values."""
     s, out = r.stats, []
 
     def section(title: str, *lines: str) -> None:

@@ -221,6 +221,11 @@ def bbox_geometry(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", out.alias("b")).select("l_orderkey", "l_linenumber", "b.*", geometry.valid(F.col("b")).alias("valid"))
 
 
+def render_parameters(spark, sf_dir):
+    """Sizes of lines and letters by a frame's height, and qualities within their range."""
+    return _t(spark, sf_dir, "part").select("p_partkey", geometry.annotation_scale(F.col("p_size") * 40).alias("scale"), geometry.jpeg_quality(F.col("p_size") * 5 - 40).alias("quality"))
+
+
 def probe_jsonl_strict(spark, sf_dir):
     line = F.to_json(F.struct("conv_id", "turn", "role"))
     talk = _t(spark, sf_dir, "conversations").select(line.alias("value"))
@@ -357,7 +362,7 @@ QUERIES = [
     coverage_stats, json_length_stats, largest_displayed_count, duplicate_rows, issues_union, schema_issue_rows, manifest_rollup, manifest_compare, manifest_flatten_roundtrip, merge_update,
     merge_skip, merge_error_plain, merge_stats, url_normalize, url_cache_anti, url_cache_insert, content_hash_dedup, cache_stats, slug_ids, html_h1_title, html_links, html_self_fallback,
     catalog_statistics, html_series_cards, html_category_cards, html_product_links, html_static_categories, html_table_details, html_accordion_details, validation_statistics, validation_file_issues,
-    validation_manifest_issues, manifest_reconstruct, html_parsed, spec_value_search, spec_value_deep, focal_regex, bbox_geometry, probe_jsonl_strict, version_diff, time_travel_read,
+    validation_manifest_issues, manifest_reconstruct, render_parameters, html_parsed, spec_value_search, spec_value_deep, focal_regex, bbox_geometry, probe_jsonl_strict, version_diff, time_travel_read,
 ]
 
 _TREE = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -432,6 +437,7 @@ SQL = {
       e AS (SELECT l_orderkey, l_linenumber, x0 - CAST(round_even((x1 - x0) * 0.25::DOUBLE, 0) AS INTEGER) AS x0, y0 - CAST(round_even((y1 - y0) * 0.25::DOUBLE, 0) AS INTEGER) AS y0, x1 + CAST(round_even((x1 - x0) * 0.25::DOUBLE, 0) AS INTEGER) AS x1, y1 + CAST(round_even((y1 - y0) * 0.25::DOUBLE, 0) AS INTEGER) AS y1 FROM b),
       c AS (SELECT l_orderkey, l_linenumber, greatest(0, least(x0, 60)) AS x_min, greatest(0, least(y0, 40)) AS y_min, greatest(0, least(x1, 60)) AS x_max, greatest(0, least(y1, 40)) AS y_max FROM e)
       SELECT *, x_max > x_min AND y_max > y_min AS valid FROM c""",
+    "render_parameters": "SELECT p_partkey, greatest(1.0::DOUBLE, p_size * 40 / 480.0::DOUBLE) AS scale, greatest(1, least(100, p_size * 5 - 40)) AS quality FROM part",
     "probe_jsonl_strict": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations",
     "version_diff": f"WITH u AS ({_UPDATED}) SELECT *, 'added' AS change FROM (SELECT * FROM u EXCEPT ALL SELECT * FROM {_OLD}) UNION ALL SELECT *, 'removed' AS change FROM (SELECT * FROM {_OLD} EXCEPT ALL SELECT * FROM u)",
     "time_travel_read": f"WITH u AS ({_UPDATED}) SELECT (SELECT count(*) FROM part) AS rows_v1, (SELECT CAST(sum(p_partkey) AS BIGINT) FROM part) AS ids_v1, (SELECT count(*) FROM u) AS rows_v2, (SELECT CAST(sum(p_partkey) AS BIGINT) FROM u) AS ids_v2, (SELECT count(*) FROM {_NEW} WHERE p_partkey NOT IN (SELECT p_partkey FROM part)) AS added, (SELECT count(*) FROM {_NEW} WHERE p_partkey IN (SELECT p_partkey FROM part)) AS updated, CAST(1 AS BIGINT) AS parent",

@@ -7,6 +7,7 @@ from lodestone.schema import MANIFEST, PRODUCT_CACHE
 from lodestone.sources import tables
 from lodestone.sources.snapshots import Snapshots, VersionTaken, diff
 
+# Rows of the hand-over fixtures.
 OLD = [("cam-001", "Camera 1"), ("cam-002", "Camera 2"), ("cam-003", "Camera 3")]
 APART = [("cam-004", "Camera 4"), ("cam-005", "Camera 5")]
 OVER = [("cam-002", "Updated Camera 2"), ("cam-003", "Updated Camera 3"), ("cam-006", "Camera 6")]
@@ -81,6 +82,12 @@ def test_reconstruct_from_files(spark):
     assert (hik.model_name, hik.n_image_files, hik.datasheet_file is not None) == ("ds-2de2a404iw-de3", 1, True)
 
 
+def test_broken_json_empties_both(spark):
+    rows = [("u1", "One", '["i"]', "s", '{"a":{"b":"c"}}'), ("u2", "Two", "[broken", "s", '{"a":{"b":"c"}}'), ("u3", "Three", '["i"]', None, "{broken"), ("u4", "Four", None, None, "")]
+    got = {r.model_name: (r.image_urls, r.specifications_html) for r in manifest.decoded(spark.createDataFrame(rows, PRODUCT_CACHE)).collect()}
+    assert got == {"One": (["i"], {"a": {"b": "c"}}), "Two": ([], {}), "Three": ([], {}), "Four": ([], {})}
+
+
 def test_versions(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path / "v"))
     assert store.current() == 0

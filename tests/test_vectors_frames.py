@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry
@@ -158,3 +159,24 @@ def test_timeouts_and_metrics(spark):
     m = {r.k: r for r in frames.buffer_metrics(rows, "k", F.col("at"), F.col("ms"), "at", samples=3).collect()}
     assert (m["a"].received, m["a"].processed, m["a"].dropped, m["a"].mean_depth, m["a"].mean_ms, m["a"].queue_size, m["a"].utilisation) == (12, 12, 2, 10.0, 5000.0, 10, 1.0)
     assert (m["b"].processed, m["b"].mean_ms, m["b"].utilisation) == (0, 0.0, 0.1)
+
+
+def test_long_histories_are_dealt_over_runs(spark, monkeypatch):
+    """Runs and intervals much shorter than a history give what one window over all of it gives; null is a key too."""
+    monkeypatch.setattr(frames, "RUN_ROWS", 7)
+    monkeypatch.setattr(frames, "INTERVAL_SECONDS", 20)
+    rng = random.Random(3)
+    rows = [(k, i, 1_700_000_000 + rng.randrange(0, 400), float(rng.randrange(100))) for k in ("hot", "cold", None) for i in range({"hot": 150, "cold": 3, None: 40}[k])]
+    df = spark.createDataFrame(rows, "k string, id long, s long, value double").selectExpr("k", "id", "timestamp_seconds(s) ts", "value")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    last = lambda n: w.rowsBetween(-(n - 1), 0)
+    micros = F.unix_micros("ts")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    for n in (1, 5, 7):
+        assert same(frames.rolling_mean(df, "k", "value", "ts", "id", n=n), df.withColumn("rolling_mean", F.avg("value").over(last(n))))
+    span = (F.max(micros).over(last(6)) - F.min(micros).over(last(6))).cast("double")
+    assert same(frames.rolling_fps(df, "k", "ts", "ts", "id", n=6), df.withColumn("fps", F.coalesce(F.try_divide((F.count("*").over(last(6)) - 1) * 1e6, span), F.lit(0.0))))
+    assert same(frames.sampled(df, "k", 30.0, 10.0, "ts", "id"), df.withColumn("frame_number", F.row_number().over(w).cast("long")).where("frame_number % 3 = 1"))
+    new = F.when(micros - F.lag(micros).over(w) <= 5_000_000, 0).otherwise(1)
+    one = df.withColumn("n", new).withColumn("session", F.sum("n").over(last(1 << 30))).groupBy("k", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_frames"))
+    assert same(frames.idle_sessions(df, "k", "ts", "id", gap_seconds=5), one)
