@@ -33,12 +33,6 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("_lower", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("words", split_words(F.col("_lower"), SEPARATORS)).drop("_lower", "text")
 
 
-def shingle_array(size: int) -> Column:
-    """xxhash64 of each run of size words of the column words, in order."""
-    hashed = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(size)]))
-    return F.when(F.size("words") >= size, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
 def item_windows(items: DataFrame) -> DataFrame:
     """window (an array of words), size, and the distinct item_ids that hold it, as strings."""
     words = with_words(items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))).where(F.size("words") > 0)
@@ -64,7 +58,9 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 def shingle_places(docs: DataFrame, shingles: DataFrame, rows: int, size: int) -> DataFrame:
     """Of every document: its first place, and each place of a shingle of size words that some window has,
     with the words around it (context, from word number begins)."""
-    places = docs.select("doc_id", "text_hash", "words", F.size("words").alias("n_words"), F.posexplode_outer(shingle_array(size)).alias("pos", "h"))
+    n_words, words = F.size("words"), [F.get("words", F.col("pos") + k) for k in range(size)]
+    each = docs.select("doc_id", "text_hash", "words", n_words.alias("n_words"), F.posexplode_outer("words").alias("pos", "word")).drop("word")
+    places = each.withColumn("h", F.when(F.col("pos") + size <= F.col("n_words"), F.xxhash64(*words)))
     gram = F.array_join(F.slice("words", F.col("pos") + 1, size), " ")
     begins = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
     context = F.slice("words", begins + 1, 2 * WINDOW + SHINGLE)
@@ -72,7 +68,9 @@ def shingle_places(docs: DataFrame, shingles: DataFrame, rows: int, size: int) -
     if rows > BROADCAST_ROWS:  # the shuffle carries a bounded context in place of all words
         places = places.withColumns({"gram": gram, "context": context}).drop("words")
         gram, context = F.col("gram"), F.col("context")
-    met = places.join(small(known, rows), (F.col("h") == F.col("known_h")) & (gram == F.col("shingle")), "left")
+    # the words of a place are put together only where its hash is known: an equality would make them a join key
+    same = F.array_contains(F.array("shingle"), gram)
+    met = places.join(small(known, rows), (F.col("h") == F.col("known_h")) & same, "left")
     return met.where(F.col("shingle").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
         "doc_id", "text_hash", "n_words", "pos", "shingle", begins.alias("begins"), F.when(F.col("shingle").isNotNull(), context).alias("context")
     )
