@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A batch is cut to so many characters, or to one text where that is longer.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 2_000_000
 #: Words that a worker remembers with their ids (the first it sees, so the common ones), and the longest of them.
 REMEMBERED, LONGEST = 200_000, 32
 MARKS = string.punctuation  # these follow letters as pre-tokens of their own
