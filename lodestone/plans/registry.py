@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.plans import catalog_queries, stream_queries
+from lodestone.plans import catalog_queries, more_queries, stream_queries
 
 FLAGSHIP = "vec_topk_collapsed"
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*catalog_queries.QUERIES, *stream_queries.QUERIES)}
+    return {f.__name__: f for f in (*catalog_queries.QUERIES, *more_queries.QUERIES, *stream_queries.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog_queries.SQL | stream_queries.SQL
+    return catalog_queries.SQL | more_queries.SQL | stream_queries.SQL
