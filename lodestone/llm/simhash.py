@@ -30,8 +30,9 @@ EMIT_ROWS = 30_000
 def shingle_hashes(docs: DataFrame) -> DataFrame:
     """docs with h: the XXH64 (seed 42, as xxhash64() has it) of every 3-word shingle; fewer words: of all."""
     words = docs.withColumn("_lower", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("_words", split_words(F.col("_lower"), "\\x20\\x09-\\x0D"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_words", i, SHINGLE), " ")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - SHINGLE, F.lit(0)))
+    # beyond the last word there is null, which concat_ws() passes over
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("_words", i + k) for k in range(SHINGLE)])))
     return words.withColumn("h", F.when(F.size("_words") > 0, hashes).otherwise(F.array().cast("array<bigint>"))).drop("_lower", "_words")
 
 
