@@ -34,7 +34,7 @@ SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors of the first shard, of the others and of a block of queries, on average: bounds on what a task holds.
 FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 2048, 16384, 4096
 #: Rows of a shard that are traversed before the k-th best is looked at again; terms probed at a time.
-STRIDE, PROBES = 1024, 8
+STRIDE, PROBES = 4096, 8
 WIDTHS = (("smallint", 15), ("int", 31), ("bigint", 63))
 
 
@@ -55,27 +55,29 @@ def number_type(most: int, q: np.ndarray) -> type:
 
 
 class Shard:
-    """Vectors of one length in ascending vec_id order, with the extremes of every block of rows."""
+    """Vectors of one length in ascending vec_id order as posting lists, a row of numbers for each term, with the
+    extremes of every block of vectors."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        self.ids, rows = ids[order], rows[order]
+        self.postings = np.ascontiguousarray(rows.T)
         self.most = max(abs(int(rows.min(initial=0))), int(rows.max(initial=0)))
         self.blocks = [(at, min(at + STRIDE, len(ids))) for at in range(0, len(ids), STRIDE)]
-        self.low = [self.rows[a:b].min(axis=0) for a, b in self.blocks]
-        self.high = [self.rows[a:b].max(axis=0) for a, b in self.blocks]
+        self.low = [rows[a:b].min(axis=0) for a, b in self.blocks]
+        self.high = [rows[a:b].max(axis=0) for a, b in self.blocks]
         self.typed: dict[type, np.ndarray] = {}
 
     def as_type(self, kind: type) -> np.ndarray:
         if kind not in self.typed:
-            self.typed[kind] = self.rows.astype(kind)
+            self.typed[kind] = self.postings.astype(kind)
         return self.typed[kind]
 
     def best(self, qid: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[list[int], list[int], int]:
         """ids and scores of the k best for one query, ties to smaller ids, and the products computed. Vectors
         below floor, a score that k others are known to reach, may be left out."""
         kind = number_type(self.most, q)
-        rows, q, products = self.as_type(kind), q.astype(kind), 0
+        postings, q, products = self.as_type(kind), q.astype(kind), 0
         ids, scores = np.zeros(0, np.int64), np.zeros(0, kind)
         for (a, b), least, most in zip(self.blocks, self.low, self.high):
             low, high = least.astype(kind) * q, most.astype(kind) * q
@@ -91,14 +93,14 @@ class Shard:
                 continue
             at = np.arange(a, b)
             first = order[:essential]
-            score = rows[a:b][:, first] @ q[first]
+            score = q[first] @ postings[first, a:b]
             products += (b - a) * essential
             done = essential
             while done < len(order) and len(at):
-                live = score + rest[done] >= floor
+                live = np.flatnonzero(score + rest[done] >= floor)
                 at, score = at[live], score[live]
                 probe = order[done : done + PROBES]
-                score = score + rows[np.ix_(at, probe)] @ q[probe]
+                score = score + q[probe] @ postings[probe[:, None], at]
                 products, done = products + len(at) * len(probe), done + len(probe)
             keep = self.ids[at] != qid
             if floor is not None:
