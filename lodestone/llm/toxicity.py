@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     counts = stage(counts, "toxicity-terms")
     chosen = {r["bucket"] for r in counts.orderBy(F.desc(standing_out(F.col("a"), F.col("b"), n1, n0)), "bucket").limit(TERMS).collect()}
     chosen |= {r["bucket"] for r in counts.where("a > 0").orderBy(F.desc("a"), "bucket").limit(FREQUENT).collect()}
-    kept = F.array_intersect("buckets", F.lit(sorted(chosen)).cast("array<int>"))
+    kept = F.array_intersect("buckets", F.expr(f"cast(array({', '.join(map(str, sorted(chosen)))}) as array<int>)"))
     fitted = rows.select("doc_id", "label", kept.alias("buckets")).toPandas().sort_values("doc_id", kind="stable")
     return fit_machine(list(zip(fitted["label"], fitted["buckets"])), prior)
 
