@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lodestone.llm import decontaminate, licenses, packing, pii, quality, secrets, simhash, store, topk, toxicity
+from lodestone.llm import audit, decontaminate, licenses, packing, pii, quality, secrets, simhash, store, topk, toxicity, trie, urls
 from lodestone.llm.common import table
 
 
@@ -50,5 +50,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_quality, op5_token_store, op6_exact_topk, op7_decontamination, op8_licenses, op9_personal_data, op10_simhash)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_quality, op5_token_store, op6_exact_topk, op7_decontamination, op8_licenses, op9_personal_data, op10_simhash, op11_source_divergence, op12_prefix_trie, op13_url_filter)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op11_source_divergence": audit.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL, "op13_url_filter": urls.ORACLE_SQL}
