@@ -7,8 +7,8 @@ can give, stay below the k-th best score so far: no vector can enter by them alo
 traversed for the whole block; the others are probed, widest first, only for vectors whose score so far plus
 the bounds not yet spent is still competitive. The k-th best rises from block to block, and the split with it.
 
-A first shard of few vectors meets every query and gives each one its first k-th best score; the other
-shards start from that. Each shard meets each block of queries once, and the lists of all are merged by one
+A first shard of a few hundred vectors meets every query and gives each one its first k-th best score; the other
+shards start from that, and blocks are as small, so the bound rises early at every size of the table. Each shard meets each block of queries once, and the lists of all are merged by one
 window. Tables are dealt so that a task holds a bounded number of vectors.
 
 Scores are exact: products are summed as doubles where no sum can reach 2**53, as 64-bit integers where none
@@ -32,9 +32,9 @@ from lodestone.llm.common import stage
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors of the first shard, of the others and of a block of queries, on average: bounds on what a task holds.
-FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 2048, 16384, 4096
+FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 256, 16384, 4096
 #: Rows of a shard that are traversed before the k-th best is looked at again; terms probed at a time.
-STRIDE, PROBES = 4096, 8
+STRIDE, PROBES = 512, 8
 WIDTHS = (("smallint", 15), ("int", 31), ("bigint", 63))
 
 
@@ -124,7 +124,8 @@ def vectors_of(table: pa.Table, column: str) -> np.ndarray:
 
 
 def search_pairs(vectors: DataFrame, queries: DataFrame, shards: int, seed: int, k: int) -> DataFrame:
-    """query_id, vec_id, score of the k best of each shard for each query. queries: vec_id, v, block, floor."""
+    """query_id, vec_id, score of the k best of each shard for each query, and for each query and shard one row
+    without vec_id whose score is the number of products computed. queries: vec_id, v, block, floor."""
     slot = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(shards)).cast("int")
     blocks = queries.agg(F.max("block")).first()[0]
     left = vectors.select("vec_id", "v", slot.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks or 0))).alias("block"))
@@ -140,21 +141,21 @@ def search_pairs(vectors: DataFrame, queries: DataFrame, shards: int, seed: int,
             if length:
                 part = Shard(own.column("vec_id").to_numpy(), vectors_of(own, "v"))
                 each = zip(asked.column("query_id").to_pylist(), vectors_of(asked, "q"), asked.column("floor").to_pylist())
-                results = ((qid, *part.best(qid, q, k, floor)[:2]) for qid, q, floor in each)
+                results = ((qid, *part.best(qid, q, k, floor)) for qid, q, floor in each)
             else:  # empty vectors: every score is zero
                 ids = sorted(own.column("vec_id").to_pylist())[: k + 1]
-                results = ((qid, (mine := [i for i in ids if i != qid][:k]), [0] * len(mine)) for qid in asked.column("query_id").to_pylist())
-            for qid, ids, scores in results:
-                found["query_id"] += [qid] * len(ids)
-                found["vec_id"] += ids
-                found["score"] += scores
+                results = ((qid, (mine := [i for i in ids if i != qid][:k]), [0] * len(mine), 0) for qid in asked.column("query_id").to_pylist())
+            for qid, ids, scores, products in results:
+                found["query_id"] += [qid] * (len(ids) + 1)
+                found["vec_id"] += [*ids, None]
+                found["score"] += [*scores, products]
         return pa.table({name: pa.array(values, pa.int64()) for name, values in found.items()})
 
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
-def exact_topk(embeddings: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k best; queries are the ids divisible by every."""
+def shard_results(embeddings: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
+    """search_pairs() of every shard, the first one without a floor and the others with what it gave."""
     vectors = stage(quantised(embeddings), "topk-vectors")
     largest = lambda f: f(F.transform("v", lambda x: F.when(x < 0, -(x + 1)).otherwise(x)))
     n, asked, most = vectors.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(largest(F.array_max))).first()
@@ -165,9 +166,14 @@ def exact_topk(embeddings: DataFrame, k: int = TOP, every: int = EVERY) -> DataF
 
     early = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, -(-n // FIRST_ROWS)))) == 0
     first = stage(search_pairs(vectors.where(early), queries, 1, 1, k), "topk-first")
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    floors = first.where("vec_id IS NOT NULL").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
     known = queries.drop("floor").join(floors, queries["vec_id"] == floors["query_id"], "left").drop("query_id")
-    found = first.unionByName(search_pairs(vectors.where(~early), known, max(1, -(-n // SHARD_ROWS)), 1, k))
+    return first.unionByName(search_pairs(vectors.where(~early), known, max(1, -(-n // SHARD_ROWS)), 1, k))
+
+
+def exact_topk(embeddings: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k best; queries are the ids divisible by every."""
+    found = shard_results(embeddings, k, every).where("vec_id IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

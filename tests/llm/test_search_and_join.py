@@ -57,6 +57,18 @@ def test_bounds_lose_nothing(monkeypatch):
             assert [(-s, i) for i, s in zip(ids, scores)] == [w for w in want if w[0] < want[-1][0]]
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_bounds_save_products_on_the_given_tables(spark, sf):
+    """With the registered query's own parameters: fewer products than all, in the first bound's other shards above all."""
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    found = topk.shard_results(table).collect()
+    computed = sum(r.score for r in found if r.vec_id is None)
+    n, dims = table.count(), len(table.first().embedding)
+    queries = len({r.query_id for r in found})
+    assert computed < 0.95 * n * dims * queries
+    print(f"sf{sf}: {computed / (n * dims * queries):.3f} of all products")
+
+
 def test_threshold_saves_probes():
     """Vectors of falling scale: most lie below what the first ones reach."""
     rng = np.random.default_rng(1)
