@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,9 @@ HEX_ANY_CASE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40}")
 #: Encodings within encodings that are undone, and the least bytes of a key.
 NESTED, LEAST_BYTES = 2, 24
+OPENSSH = b"openssh-key-v1\0"
+#: Parts that a private key has at most: those of PKCS#1 with more than two primes.
+KEY_PARTS = 10
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
@@ -98,17 +103,23 @@ def private_key(data: bytes) -> bool:
     return version == 1 and tags == [INTEGER] * 9 + [SEQUENCE]  # PKCS#1 of more primes
 
 
+def _openssh_fields(read: Callable[[int, int], bytes], size: int, fields: int) -> int | None:
+    """Where the first fields of an OpenSSH private key end, if they are within its size; read(at, n): its bytes."""
+    at = len(OPENSSH)
+    if read(0, at) != OPENSSH:
+        return None
+    for _ in range(fields):
+        if at + 4 > size:
+            return None
+        at += 4 + int.from_bytes(read(at, 4), "big")
+        if at > size:
+            return None
+    return at
+
+
 def openssh_whole(data: bytes) -> bool:
     """Whether data starts as an OpenSSH private key: its magic, then three fields with fitting lengths."""
-    at = len(b"openssh-key-v1\0")
-    if data[:at] != b"openssh-key-v1\0":
-        return False
-    for _ in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or at + 4 + size > len(data):
-            return False
-        at += 4 + size
-    return True
+    return _openssh_fields(lambda at, n: data[at : at + n], len(data), 3) is not None
 
 
 def from_base64(text: str, url: bool = False) -> bytes | None:
@@ -158,61 +169,107 @@ def pem_key(body: str) -> bool:
     return key_kind(data) is not None
 
 
+class Lines:
+    """Wrapped base64 as one run of characters, of which any bytes can be decoded without the rest."""
+
+    def __init__(self, text: str, start: int, end: int):
+        breaks = [b.span() for b in BREAK.finditer(text, start, end)]
+        self.spans = list(zip([start, *(b for _, b in breaks)], [*(a for a, _ in breaks), end]))
+        lines = [text[a:b] for a, b in self.spans]
+        lines[-1] = lines[-1].rstrip("=")
+        self.flat = "".join(lines)
+        self.at = [0, *itertools.accumulate(map(len, lines))]
+        # the last of the lines that follow line i and have its length
+        self.alike = list(range(len(lines)))
+        for i in range(len(lines) - 2, -1, -1):
+            if len(lines[i]) == len(lines[i + 1]):
+                self.alike[i] = self.alike[i + 1]
+
+    def size(self, i: int, last: int) -> int | None:
+        """Bytes of lines i to last; None if they aren't whole."""
+        chars = self.at[last + 1] - self.at[i]
+        return None if chars % 4 == 1 else chars * 3 // 4
+
+    def bytes(self, i: int, start: int, n: int) -> bytes:
+        """n bytes from start on, counted from line i; fewer at the end."""
+        first = self.at[i] + start // 3 * 4
+        chars = self.flat[first : self.at[i] + -(-(start + n) // 3) * 4]
+        return base64.b64decode(chars[: len(chars) - (len(chars) % 4 == 1)] + "==")[start % 3 :][:n]
+
+    def number(self, i: int, start: int) -> int:
+        return int.from_bytes(self.bytes(i, start, 4), "big")
+
+    def last_of(self, i: int, size: int) -> int | None:
+        """The first line with which lines from i on hold size bytes; None if all of them hold fewer."""
+        last = bisect.bisect_left(self.at, self.at[i] + -(-size * 4 // 3)) - 1
+        return max(last, i) if last < len(self.spans) else None
+
+
 def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
     """Keys in base64 over several lines: a DER key's own length and an OpenSSH key's fields say
-    where it ends; an OpenSSH key that is cut off ends with the last line as long as its first."""
+    where it ends; an OpenSSH key that is cut off ends with the last line as long as its first.
+
+    Of a line that begins none only a few bytes are looked at, so the time grows with the text."""
     found = []
     for m in WRAPPED.finditer(text):
-        breaks = [b.span() for b in BREAK.finditer(text, m.start(), m.end())]
-        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
-        i = 0
-        while i < len(lines):
-            last = _last_line(text, lines, i)
-            kind = key_kind(from_base64("".join(text[a:b] for a, b in lines[i : last + 1]))) if last > i else None
+        lines, i = Lines(text, m.start(), m.end()), 0
+        while i < len(lines.spans):
+            last, kind = _wrapped_key(lines, i)
             if kind:
-                found.append((lines[i][0], lines[last][1], kind))
+                found.append((lines.spans[i][0], lines.spans[last][1], kind))
             i = last + 1 if kind else i + 1
     return found
 
 
-def _last_line(text: str, lines: list[tuple[int, int]], i: int) -> int:
-    """Where the key that begins line i would end; i if none does."""
-    start, end = lines[i]
-    if text.startswith("b3BlbnNzaC1rZXktdjE", start):
-        last = i
-        while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == end - start:
-            last += 1
-        joined_lines = "".join(text[a:b].rstrip("=") for a, b in lines[i : last + 2])
-        size = openssh_size(from_base64(joined_lines[: len(joined_lines) // 4 * 4]) or b"")
-        if not size:
-            return last
-    else:
-        head = from_base64(text[start : start + 8]) or b""
-        n = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
-        if len(head) < 6 or head[:1] != b"\x30" or n > 4:
-            return i
-        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-    chars = 0
-    for last in range(i, len(lines)):
-        a, b = lines[last]
-        chars += len(text[a:b].rstrip("="))
-        if chars * 6 // 8 >= size:
-            return last
-    return i
-
-
-def openssh_size(data: bytes) -> int | None:
-    """Length of an OpenSSH private key by its fields, give or take the last two bytes that a line may lack."""
-    at = len(b"openssh-key-v1\0")
-    keys = 1
-    for part in range(5):
-        if part == 3:
-            keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        for _ in range(keys if part == 3 else 1):
-            if at + 4 > len(data):
-                return None
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at if at <= len(data) + 2 else None
+def _wrapped_key(lines: Lines, i: int) -> tuple[int, str | None]:
+    """Where the key that begins line i ends, and its kind; None if none does, or not over several lines."""
+    head = lines.bytes(i, 0, 6)
+    if head == OPENSSH[:6]:
+        last = lines.alike[i]
+        size = openssh_size(lines, i, min(last + 1, len(lines.spans) - 1))
+        if size:
+            last = lines.last_of(i, size) or i
+        whole = lines.size(i, last)
+        return last, "openssh" if last > i and whole and whole >= LEAST_BYTES and _openssh_fields(lambda at, n: lines.bytes(i, at, n), whole, 3) else None
+    if head[:1] != b"\x30" or len(head) < 6:
+        return i, None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    last = lines.last_of(i, size) if n <= 4 else None
+    if not last or last == i or lines.size(i, last) != size or size < LEAST_BYTES or not _key_parts(lines, i, 2 + n, size):
+        return i, None
+    return last, "der" if private_key(lines.bytes(i, 0, size)) else None
+
+
+def _key_parts(lines: Lines, i: int, at: int, end: int) -> bool:
+    """Whether no more parts than a key has fill the bytes from at to end, by their lengths alone."""
+    for _ in range(KEY_PARTS):
+        head = lines.bytes(i, at, 6)
+        if len(head) < 2:
+            return False
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if n > 4:
+            return False
+        at += 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        if at >= end:
+            return at == end
+    return False
+
+
+def openssh_size(lines: Lines, i: int, last: int) -> int | None:
+    """Length of an OpenSSH private key by its fields, give or take the last two bytes that a line may lack.
+    Its fields: cipher, way and options of encryption, how many keys (always one), public and private key."""
+    whole = (lines.at[last + 1] - lines.at[i]) // 4 * 3
+    read = lambda at, n: lines.bytes(i, at, n)
+    at = _openssh_fields(read, whole, 3)
+    if not at or at + 4 > whole or lines.number(i, at) != 1:
+        return None
+    at += 4
+    for _ in range(2):
+        if at + 4 > whole:
+            return None
+        at += 4 + lines.number(i, at)
+    return at if at <= whole + 2 else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -245,19 +302,29 @@ def confirmed_spans(text: str, nested: int = NESTED) -> list[tuple[int, int, str
                 found.append((m.start(), upto, "jwt"))
     if not ENCODED.search(text):
         return found
-    blocks = [(s, e) for s, e, _ in found] + public
-    found += [w for w in wrapped_spans(text) if not any(s < w[1] and w[0] < e for s, e in blocks)]
+    free = _outside([(s, e) for s, e, _ in found] + public)
+    found += [w for w in wrapped_spans(text) if free(*w[:2])]
     for pattern, decode in ((BASE64, from_base64), (BASE64URL, lambda x: from_base64(x, url=True)), (HEX_ANY_CASE, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        taken = list(found)
+        free = _outside([(s, e) for s, e, _ in found] + public)
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _ in taken) or any(s < m.end() and m.start() < e for s, e in public):
-                continue
-            kind = decoded_kind(decode(m[0]), nested)
+            kind = decoded_kind(decode(m[0]), nested) if free(*m.span()) else None
             if kind:
-                found.append((m.start(), m.end(), kind))
+                found.append((*m.span(), kind))
     return found
 
 
+def _outside(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Tells of a span whether it overlaps none of these."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return lambda start, end: (i := bisect.bisect_right(ends, start)) == len(ends) or starts[i] >= end
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end by start, then kind in listed order, comma-joined."""
     order = {k: i for i, k in enumerate((*BASE_KINDS, "pem", "jwt", "der", "openssh"))}

@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 
 from helpers import ODD, ODD_IDS, documents
 
@@ -144,3 +146,75 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert secrets.scan_secrets(documents(spark, []).limit(0)).count() == 0
+
+
+FIELD = lambda b: len(b).to_bytes(4, "big") + b
+SSH = b"openssh-key-v1\0" + FIELD(b"none") + FIELD(b"none") + FIELD(b"") + b"\0\0\0\1" + FIELD(bytes(51)) + FIELD(bytes(range(136)))
+
+
+def plain_wrapped(text):
+    """Keys in wrapped base64, decoded from every line on as far as they go."""
+    found = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\n[A-Za-z0-9+/]+)+={0,2}", text):
+        spans, at = [], m.start()
+        for line in m[0].split("\n"):
+            spans.append((at, at + len(line)))
+            at += len(line) + 1
+        i = 0
+        while i < len(spans):
+            hit = None
+            for last in range(i + 1, len(spans)):
+                chars = "".join(text[a:b] for a, b in spans[i : last + 1]).rstrip("=")
+                data = base64.b64decode(chars + "==") if len(chars) % 4 != 1 else b""
+                if data[:1] == b"\x30" and secrets.private_key(data):
+                    hit = (last, "der")
+                    break
+            every = "".join(text[a:b] for a, b in spans[i:]).rstrip("=")
+            if not hit and base64.b64decode(every[: min(20, len(every) // 4 * 4)])[:15] == b"openssh-key-v1\0":
+                data = base64.b64decode(every[: len(every) // 4 * 4])
+                at, ends = 15, []
+                for part in range(5):
+                    at += 4 * (part == 3)
+                    at += 4 + int.from_bytes(data[at : at + 4], "big")
+                    ends.append(at)
+                if ends[4] <= len(data):
+                    last = next(k for k in range(i, len(spans)) if sum(b - a for a, b in spans[i : k + 1]) * 3 // 4 >= ends[4])
+                    hit = (last, "openssh") if last > i else None
+            if hit:
+                found.append((spans[i][0], spans[hit[0]][1], hit[1]))
+            i = hit[0] + 1 if hit else i + 1
+    return found
+
+
+def test_wrapped_keys_against_plain_decoding():
+    rng = random.Random(12)
+    rsa8 = der(0x30, ZERO, ALGORITHM, der(4, RSA))
+    for _ in range(120):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            data = rng.choice([RSA, rsa8, SSH]) if kind < 0.5 else bytes(rng.randrange(256) for _ in range(rng.randrange(30, 300)))
+            if kind > 0.8:
+                data = b"\x30\x82" + data
+            body = base64.b64encode(data + (b"" if rng.random() < 0.7 else b"\0")).decode().rstrip("=")
+            width = rng.choice([40, 64, 76])
+            lines += [body[i : i + width] for i in range(0, len(body), width)]
+        text = "see " + "\n".join(lines) + " end"
+        assert secrets.wrapped_spans(text) == plain_wrapped(text), text
+
+
+def test_time_grows_with_the_text():
+    """A hundred thousand lines of what looks like keys, and as many spans found, in seconds."""
+    rng = random.Random(3)
+    noise = lambda n: base64.b64encode(bytes(rng.randrange(256) for _ in range(n))).decode()
+    far = base64.b64encode(b"\x30\x84\x00\x40\x00\x00" + RSA[4:46]).decode()[:64]
+    heads = [base64.b64encode(RSA).decode()[:64], base64.b64encode(SSH).decode()[:64], far, base64.b64encode(b"openssh-key-v1\0" + FIELD(b"none") + b"\xff" * 29).decode()[:64]]
+    for head in heads:
+        for tail in ("", "\n" + noise(48)):
+            started = time.perf_counter()
+            secrets.confirmed_spans("\n".join([head + tail] * 100_000))
+            assert time.perf_counter() - started < 30
+    many = (base64.b64encode(DER).decode() + " ") * 50_000
+    started = time.perf_counter()
+    assert len(secrets.confirmed_spans(many)) == 50_000
+    assert time.perf_counter() - started < 30
