@@ -7,6 +7,10 @@ alone, but where a pair of terms is toxic, both are in many toxic documents. A l
 learns a weight for each and a factor vector whose inner products are the pairwise interactions. Every whole
 text is scored in its own partition with the small model.
 
+How many terms of either sort the machine gets and how long it learns is chosen on folds of the sample: for each
+fold terms are chosen and machines fitted without it, and what errs least on the folds is fitted to all of it. With few
+labels few terms are right; with all buckets the machine learns by heart (figures in the README).
+
 The driver sees at most POSITIVES + NEGATIVES rows, the sample's bound after the join with the documents, each
 with no more numbers than the model has terms.
 
@@ -31,9 +35,11 @@ from lodestone.llm.common import stage
 from lodestone.llm.tokens import slices
 
 BUCKETS, PREFIX = 1 << 20, 5
-#: Bounds of the training sample (rows of each class) and of the model (terms that stand out, terms that are
-#: frequent in toxic documents, factors). LEAST: rows of the sample that a term must be in.
-POSITIVES, NEGATIVES, TERMS, FREQUENT, FACTORS, LEAST = 2500, 5000, 2048, 1024, 4, 4
+#: Bounds of the training sample (rows of each class), and factors. LEAST: rows of the sample that a term must be in.
+POSITIVES, NEGATIVES, FACTORS, LEAST = 2500, 5000, 4, 4
+#: What is chosen from: how many terms that stand out, how many that are frequent in toxic documents; steps of
+#: learning. PARTS: folds of the sample on which it is chosen.
+SIZES, STEPS, PARTS = ((128, 128), (512, 128), (2048, 1024)), (40, 120), 3
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Words whose buckets a worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
@@ -106,12 +112,13 @@ def standing_out(positive: Column, negative: Column, n1: float, n0: float) -> Co
     return F.abs(odds) / F.sqrt(1 / a + 1 / b)
 
 
-def fit_machine(rows: list[tuple[int, list[int]]], prior: float, steps: int = 120, rate: float = 0.05, l2: float = 1e-3) -> Machine:
-    """rows: (label, buckets). prior: the share of label 1 among all labels, to which the sample is weighted."""
+def fit_machines(rows: list[tuple[int, list[int]]], prior: float, steps: tuple[int, ...], rate: float = 0.05, l2: float = 1e-5) -> list[Machine]:
+    """The machine after each of these (ascending) numbers of steps. rows: (label, buckets). prior: the share of label 1
+    among all labels, to which the sample is weighted."""
     y = np.array([label for label, _ in rows], dtype=np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        return intercept_only(prior)
+        return [intercept_only(prior)] * len(steps)
     flat = np.concatenate([np.asarray(b, dtype=np.int64) for _, b in rows])
     owner = np.repeat(np.arange(len(rows)), [len(b) for _, b in rows])
     buckets, at = np.unique(flat, return_inverse=True)
@@ -121,18 +128,46 @@ def fit_machine(rows: list[tuple[int, list[int]]], prior: float, steps: int = 12
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32) / len(y)
     params = [np.float32(np.log(prior / (1 - prior))).reshape(1), np.zeros(len(buckets), np.float32), rng.normal(0, 0.05, (len(buckets), FACTORS)).astype(np.float32)]
+    found, terms = [], {int(b): i for i, b in enumerate(buckets)}
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
+    for step in range(1, steps[-1] + 1):
         bias, w, v = params
         xv = x @ v
         z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [g.sum().reshape(1), x.T @ g + l2 * w / max(1, len(buckets)), x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None] + l2 * v]
+        grads = [g.sum().reshape(1), x.T @ g + l2 * w, x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None] + l2 * v]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             s[i] = 0.99 * s[i] + 0.01 * grad**2
             params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-7)
-    return Machine({int(b): i for i, b in enumerate(buckets)}, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
+        if step in steps:
+            found.append(Machine(terms, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64)))
+    return found
+
+
+def fit_machine(rows: list[tuple[int, list[int]]], prior: float, steps: int = 120) -> Machine:
+    return fit_machines(rows, prior, (steps,))[0]
+
+
+def loss(machine: Machine, rows: list[tuple[int, list[int]]], prior: float) -> float:
+    """The mean logarithmic loss, with both classes weighted to the prior."""
+    each = {1: [], 0: []}
+    for label, buckets in rows:
+        p = min(max(machine.score(set(buckets)), 1e-6), 1 - 1e-6)
+        each[label].append(-np.log(p if label else 1 - p))
+    return float(prior * np.mean(each[1]) + (1 - prior) * np.mean(each[0]))
+
+
+def choose(rows: list[tuple[int, int, set[int]]], terms: list[list[set[int]]], prior: float) -> tuple[int, int]:
+    """Which of SIZES and which of STEPS errs least over the parts. rows: (part, label, buckets); terms[part][size]."""
+    total = np.zeros((len(SIZES), len(STEPS)))
+    for part in range(PARTS):
+        other, own = [r[1:] for r in rows if r[0] != part], [r[1:] for r in rows if r[0] == part]
+        if len({y for y, _ in own}) == 2 == len({y for y, _ in other}):
+            for i, kept in enumerate(terms[part]):
+                machines = fit_machines([(y, sorted(b & kept)) for y, b in other], prior, STEPS)
+                total[i] += [loss(m, own, prior) for m in machines]
+    return divmod(int(total.argmin()), len(STEPS))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
@@ -147,13 +182,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     n1, n0 = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not n1 or not n0:
         return intercept_only(prior)
-    counts = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
-    counts = stage(counts, "toxicity-terms")
-    chosen = {r["bucket"] for r in counts.orderBy(F.desc(standing_out(F.col("a"), F.col("b"), n1, n0)), "bucket").limit(TERMS).collect()}
-    chosen |= {r["bucket"] for r in counts.where("a > 0").orderBy(F.desc("a"), "bucket").limit(FREQUENT).collect()}
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    in_part = [F.count_if((F.col("label") == y) & (F.col("part") == k)).alias(f"{name}{k}") for y, name in ((1, "a"), (0, "b")) for k in range(PARTS)]
+    rows = rows.withColumn("part", part)
+    every = lambda name, but=-1: sum((F.col(f"{name}{k}") for k in range(PARTS) if k != but), F.lit(0))
+    counts = stage(rows.select("label", "part", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*in_part).where(every("a") + every("b") >= LEAST), "toxicity-terms")
+    of_part = {r["part"]: (r["n1"], r["n0"]) for r in rows.groupBy("part").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).collect()}  # PARTS rows
+
+    def terms_of(but: int) -> list[set[int]]:
+        """The terms of each of SIZES, chosen without one part."""
+        m1, m0 = (sum(n[i] for k, n in of_part.items() if k != but) for i in range(2))
+        known = counts.where(every("a", but) + every("b", but) >= LEAST)
+        first = lambda df, n, order: [r["bucket"] for r in df.orderBy(F.desc(order), "bucket").limit(n).collect()]
+        telling = first(known, max(n for n, _ in SIZES), standing_out(every("a", but), every("b", but), m1, m0))
+        frequent = first(known.where(every("a", but) > 0), max(n for _, n in SIZES), every("a", but))
+        return [{*telling[:n], *frequent[:k]} for n, k in SIZES]
+
+    terms = [terms_of(k) for k in [*range(PARTS), -1]]
+    chosen = set().union(*(t for sizes in terms for t in sizes))
     kept = F.array_intersect("buckets", F.expr(f"cast(array({', '.join(map(str, sorted(chosen)))}) as array<int>)"))
-    fitted = rows.select("doc_id", "label", kept.alias("buckets")).toPandas().sort_values("doc_id", kind="stable")
-    return fit_machine(list(zip(fitted["label"], fitted["buckets"])), prior)
+    fitted = rows.select("doc_id", "label", "part", kept.alias("buckets")).toPandas().sort_values("doc_id", kind="stable")
+    sample = [(k, y, set(map(int, b))) for k, y, b in zip(fitted["part"], fitted["label"], fitted["buckets"])]
+    size, steps = choose(sample, terms[:PARTS], prior)
+    return fit_machine([(y, sorted(b & terms[PARTS][size])) for _, y, b in sample], prior, STEPS[steps])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

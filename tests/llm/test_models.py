@@ -52,6 +52,19 @@ def test_toxicity_needs_both_classes(spark):
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize(("sf", "auc", "recall", "precision"), [("0.1", 0.97, 0.88, 0.95), ("0.01", 0.9, 0.5, 0.7)])
+def test_toxicity_on_the_given_tables(spark, sf, auc, recall, precision):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    held = [(r.score, r.predicted, truth[r.doc_id]) for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    bad, good = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    found = sum(p for _, p, y in held if y) / len(bad)
+    right = sum(p for _, p, y in held if y) / max(1, sum(p for _, p, _ in held))
+    ranked = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    print(f"sf{sf}: AUC {ranked:.4f}, recall {found:.3f}, precision {right:.3f}")
+    assert ranked >= auc and found >= recall and right >= precision
+
+
 def test_pairs_beyond_single_terms():
     """Two terms that are harmless alone and toxic together: weights alone can't tell."""
     rng = random.Random(1)
@@ -67,8 +80,7 @@ def test_pairs_beyond_single_terms():
 def test_pairs_of_terms_that_tell_nothing_alone(spark, monkeypatch):
     """Toxic where alpha and beta come together or are both absent: each alone says nothing, and many random
     words stand out more by chance than the model has places for. Frequent terms of toxic documents stay."""
-    monkeypatch.setattr(toxicity, "TERMS", 40)
-    monkeypatch.setattr(toxicity, "FREQUENT", 40)
+    monkeypatch.setattr(toxicity, "SIZES", ((20, 0), (40, 40)))
     rng = random.Random(8)
     texts, toxic = [], []
     for _ in range(2400):
