@@ -46,6 +46,15 @@ def split_words(text: Column, separators: str) -> Column:
     return F.slice(parts, head + 1, F.size(parts) - head - tail)
 
 
+#: Tables of up to so many bytes (of their rows as JSON) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
+
+
+def fits(df: DataFrame, most: int) -> bool:
+    """Whether all rows of df together, as JSON, are within a number of bytes; one pass over df."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most
+
+
 #: Lists of keys of up to so many rows (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 

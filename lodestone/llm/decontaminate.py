@@ -21,12 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, split_words, stage, without
+from lodestone.llm.common import BROADCAST_BYTES, ascii_lower, fits, split_words, stage, without
 
 WINDOW, SHINGLE = 10, 3
 SEPARATORS = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
-#: Benchmark tables of up to so many shingles (some 40 MB) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -34,16 +32,11 @@ def with_words(df: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """window (an array of words), size, and the distinct item_ids that hold it, as strings."""
+    """window (an array of words), size and item_id (as a string) of every item's distinct windows."""
     words = with_words(items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)))
     each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item_id").alias("items")).select("window", F.size("window").alias("size"), "items")
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return each.distinct().select("window", F.size("window").alias("size"), "item_id")
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
@@ -55,7 +48,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return each.select("window", "size", "off", F.array_join(gram, " ").alias("shingle"), "k", h.alias("h"))
 
 
-def shingle_places(docs: DataFrame, shingles: DataFrame, rows: int, size: int) -> DataFrame:
+def shingle_places(docs: DataFrame, shingles: DataFrame, small: bool, size: int) -> DataFrame:
     """Of every document: its first place, and each place of a shingle of size words that some window has,
     with the words around it (context, from word number begins)."""
     n_words, words = F.size("words"), [F.get("words", F.col("pos") + k) for k in range(size)]
@@ -65,48 +58,51 @@ def shingle_places(docs: DataFrame, shingles: DataFrame, rows: int, size: int) -
     begins = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
     context = F.slice("words", begins + 1, 2 * WINDOW + SHINGLE)
     known = shingles.where(F.col("k") == size).select(F.col("h").alias("known_h"), "shingle")
-    if rows > BROADCAST_ROWS:  # the shuffle carries a bounded context in place of all words
+    if not small:  # the shuffle carries a bounded context in place of all words
         places = places.withColumns({"gram": gram, "context": context}).drop("words")
         gram, context = F.col("gram"), F.col("context")
     # the words of a place are put together only where its hash is known: an equality would make them a join key
     same = F.array_contains(F.array("shingle"), gram)
-    met = places.join(small(known, rows), (F.col("h") == F.col("known_h")) & same, "left")
+    met = places.join(F.broadcast(known) if small else known, (F.col("h") == F.col("known_h")) & same, "left")
     return met.where(F.col("shingle").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
         "doc_id", "text_hash", "n_words", "pos", "shingle", begins.alias("begins"), F.when(F.col("shingle").isNotNull(), context).alias("context")
     )
 
 
-def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_words of every row; every occurrence of a window: doc_id, text_hash, start, size, items)."""
-    windows = stage(item_windows(items), "windows")
+def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, text_hash, n_words of every row; every occurrence of a window: doc_id, text_hash, start, size, window;
+    and item_windows(). Which items have a window is joined to what occurs, and never broadcast."""
+    owners = stage(item_windows(items), "windows")
+    windows = owners.select("window", "size").distinct()
     grams = stage(window_shingles(windows), "window-shingles")
     distinct = stage(grams.select("shingle", "k", "h").distinct(), "shingles")
-    rows, n_grams = distinct.count(), grams.count()
+    small = fits(distinct, BROADCAST_BYTES)
     sizes = sorted(r["k"] for r in distinct.select("k").distinct().collect())  # at most 1, 2 and 3
     texts = with_words(docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string")))
-    passes = {k: stage(shingle_places(texts, distinct, rows, k), "places") for k in sizes or [SHINGLE]}
+    passes = {k: stage(shingle_places(texts, distinct, small, k), "places") for k in sizes or [SHINGLE]}
     every = next(iter(passes.values())).where("pos is null or pos = 0").select("doc_id", "text_hash", "n_words")
     places = reduce(DataFrame.unionByName, (p.where("shingle is not null") for p in passes.values()))
 
     counts = stage(places.groupBy("shingle").count(), "shingle-counts")
     rarity = grams.join(counts, "shingle", "left")
     prefix = rarity.groupBy("window", "size").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "shingle")).alias("rarest")).where("rarest.n > 0")
-    prefix = prefix.select("window", "size", "rarest.off", "rarest.shingle").join(windows.select("window", "items"), "window")
-    near = places.join(small(stage(prefix, "prefixes"), n_grams), "shingle").withColumn("start", F.col("pos") - F.col("off"))
+    prefix = stage(prefix.select("window", "size", "rarest.off", "rarest.shingle"), "prefixes")
+    near = places.join(F.broadcast(prefix) if fits(prefix, BROADCAST_BYTES) else prefix, "shingle").withColumn("start", F.col("pos") - F.col("off"))
     inside = near.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
     hits = inside.where(F.slice("context", F.col("start") - F.col("begins") + 1, F.col("size")) == F.col("window"))
-    return every, stage(hits.select("doc_id", "text_hash", "start", "size", "items"), "window-hits")
+    return every, stage(hits.select("doc_id", "text_hash", "start", "size", "window"), "window-hits"), owners
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and text_hash)."""
-    every, hits = window_hits(docs, items)
+    every, hits, owners = window_hits(docs, items)
     key = ["doc_id", "text_hash"]
     spans = hits.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = F.max("end").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0))
     n_hit = spans.select(*key, fresh.alias("fresh")).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
-    named = hits.select(*key, F.explode("items").alias("item")).distinct().groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("names"))
+    occurring = hits.select(*key, "window").distinct()
+    named = occurring.join(owners.select("window", "item_id"), "window").select(*key, F.col("item_id").alias("item")).distinct().groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("names"))
     found = stage(n_hit.join(named, [n_hit[k].eqNullSafe(named[k]) for k in key], "left").select(*[n_hit[k] for k in key], "n_hit", "names"), "contaminated")
     names = F.coalesce("names", F.array().cast("array<string>"))
     return every.join(found, [every[k].eqNullSafe(found[k]) for k in key], "left").select(

@@ -22,7 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, UPPER, ascii_lower, stage
+from lodestone.llm.common import BROADCAST_BYTES, LOWER, UPPER, ascii_lower, fits, stage
 
 # The rules that are given, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -31,9 +31,6 @@ DEFAULT = "allow"
 #: Distinct labelled URLs that are mined, about; tokens of one of them; the least share and number of URLs that a
 #: combination needs, and the least share of them with its verdict.
 LABELLED, ITEMS, SUPPORT, LEAST, CONFIDENCE = 2_000_000, 10, 0.002, 5, 0.9
-#: Tables of up to so many tokens or rules are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
 HOST_PATH, QUERY, DOMAIN, SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)", r"(?s)^[^?#]*\?([^#]*)", r"([^.]*\.)?[^.]*\z", r"^([A-Za-z]+)://"
 
 
@@ -60,7 +57,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if fits(df, BROADCAST_BYTES) else df
 
 
 def _items(labelled: DataFrame, least: int, n: int, blocked: int) -> DataFrame:

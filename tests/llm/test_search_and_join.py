@@ -133,8 +133,8 @@ def case(seed):
 
 
 def test_windows_match_brute_force(spark, monkeypatch):
-    for seed, bound in ((1, 400_000), (2, 0)):  # 0: the way without broadcasts
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+    for seed, bound in ((1, 1_000_000), (2, 0)):  # 0: the way without broadcasts
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
         docs, items = case(seed)
         table = documents(spark, [t for _, t in docs], [d for d, _ in docs])
         bench = spark.createDataFrame(items, "item_id long, text string")
@@ -144,6 +144,15 @@ def test_windows_match_brute_force(spark, monkeypatch):
         assert kept.columns == table.columns and kept.count() == sum(not r.contaminated for r in got)
 
 
+def test_a_window_of_very_many_items(spark):
+    """A sentence that all items share: their ids are joined to the documents that have it, not sent along."""
+    shared = " ".join(f"common{i}" for i in range(10))
+    bench = spark.createDataFrame([(i, shared) for i in range(5000)], "item_id long, text string")
+    texts = [f"before {shared} after", "nothing of it", shared]
+    got = decontaminate.decontaminate(documents(spark, texts), bench).drop("text_hash").collect()
+    assert sorted(str(list(r)) for r in got) == brute_hits(list(enumerate(texts)), [(i, shared) for i in range(5000)])
+
+
 def test_empty_tables(spark):
     docs, bench = documents(spark, ["a b c", None]), spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.decontaminate(docs, bench).collect()] == [False, False]

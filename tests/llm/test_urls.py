@@ -52,9 +52,9 @@ def test_without_labels_all_are_allowed(spark):
     assert {r[4] for r in found(spark, rows)} == {"allow"}
 
 
-@pytest.mark.parametrize("rows", [0, 1_000_000])
-def test_joins_by_shuffle_or_broadcast_agree(spark, monkeypatch, rows):
-    monkeypatch.setattr(urls, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_joins_by_shuffle_or_broadcast_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", most)
     assert found(spark, pages(8)) == brute(pages(8))
 
 
