@@ -33,8 +33,9 @@ from lodestone.llm.common import stage
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors of the first shard, of the others and of a block of queries, on average: bounds on what a task holds.
 FIRST_ROWS, SHARD_ROWS, BLOCK_ROWS = 256, 16384, 4096
-#: Rows of a shard that are traversed before the k-th best is looked at again; terms probed at a time.
-STRIDE, PROBES = 512, 8
+#: Rows of a shard that are traversed before the k-th best is looked at again: a few at first, while it rises, then
+#: twice as many each time, up to the last; terms probed at a time.
+FIRST_STRIDE, STRIDE, PROBES = 256, 4096, 8
 WIDTHS = (("smallint", 15), ("int", 31), ("bigint", 63))
 
 
@@ -63,7 +64,10 @@ class Shard:
         self.ids, rows = ids[order], rows[order]
         self.postings = np.ascontiguousarray(rows.T)
         self.most = max(abs(int(rows.min(initial=0))), int(rows.max(initial=0)))
-        self.blocks = [(at, min(at + STRIDE, len(ids))) for at in range(0, len(ids), STRIDE)]
+        self.blocks, at, stride = [], 0, FIRST_STRIDE
+        while at < len(ids):
+            self.blocks.append((at, min(at + stride, len(ids))))
+            at, stride = at + stride, min(2 * stride, STRIDE)
         self.low = [rows[a:b].min(axis=0) for a, b in self.blocks]
         self.high = [rows[a:b].max(axis=0) for a, b in self.blocks]
         self.typed: dict[type, np.ndarray] = {}
