@@ -116,12 +116,13 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float |
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of all scores that reach the k-th best, best first; ties beyond k are left to the merge."""
+    """Places of the k best finite scores, best first. Places are in the order in which ties rank, over all shards, so
+    whatever ties beyond k has k better ones everywhere."""
     if k <= 0:
         return np.array([], dtype=int)
     least = np.partition(scores, -k)[-k]
     at = np.flatnonzero((scores >= least) & np.isfinite(scores))
-    return at[np.argsort(-scores[at], kind="stable")]
+    return at[np.argsort(-scores[at], kind="stable")][:k]
 
 
 def enrich(matches: DataFrame, catalog: DataFrame, key: str = "camera_id") -> DataFrame:

@@ -128,7 +128,10 @@ def connection_totals(spark, sf_dir):
 
 
 def connections_admitted(spark, sf_dir):
-    return frames.admitted(_events(spark, sf_dir).select("user_id", "ts", "event_id"), "user_id", "ts", "event_id")
+    """Clients of 64 servers, five at a time on each; every third event is a disconnect."""
+    action = F.when(F.col("event_id") % 3 == 0, "disconnect").otherwise("connect")
+    events = _events(spark, sf_dir).select("event_id", "user_id", "ts", (F.col("user_id") % 64).alias("server"), action.alias("action"))
+    return frames.admissions(events, "server", "user_id", "action", "ts", "event_id").select("event_id", "server", "outcome")
 
 
 def task_state_latest(spark, sf_dir):
@@ -329,7 +332,13 @@ SQL = {
     "skip_policy": "SELECT event_id, CASE WHEN value = 0 THEN false WHEN value >= 100 THEN false WHEN value / 100 < 0.7 THEN true ELSE (event_id % 10) / 10 > 0.8 END AS skip FROM events",
     "connection_stats": _PER_USER,
     "connection_totals": "SELECT count(DISTINCT user_id) AS connections, count(*) AS received, count(*) FILTER (event_type <> 'click') AS processed, count(*) FILTER (event_type = 'click') AS dropped FROM events",
-    "connections_admitted": "SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 ORDER BY ts, event_id LIMIT 5",
+    "connections_admitted": """WITH RECURSIVE e AS (SELECT event_id, user_id, user_id % 64 AS server, event_id % 3 = 0 AS leaves, row_number() OVER (PARTITION BY user_id % 64 ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT DISTINCT server, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS held FROM e
+        UNION ALL SELECT e.server, e.n, e.event_id,
+          CASE WHEN leaves THEN CASE WHEN list_contains(held, user_id) THEN 'closed' ELSE 'absent' END WHEN len(held) >= 5 THEN 'full' WHEN list_contains(held, user_id) THEN 'duplicate' ELSE 'admitted' END,
+          CASE WHEN leaves THEN list_filter(held, lambda x: x <> user_id) WHEN len(held) >= 5 OR list_contains(held, user_id) THEN held ELSE list_append(held, user_id) END
+        FROM f JOIN e ON e.server = f.server AND e.n = f.n + 1)
+      SELECT event_id, server, outcome FROM f WHERE n > 0""",
     "task_state_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "task_status_pivot": " ".join(["SELECT", ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOPX"), ", count(*) AS total FROM orders"]),
     "ttl_expired": "SELECT event_id, user_id FROM events WHERE event_type <> 'click' AND ts + INTERVAL 15 MINUTE <= TIMESTAMP '2024-01-15'",

@@ -1,4 +1,4 @@
-"""A fresh place for written tables, in the folder that the driver and all executors share."""
+"""Fresh places for written tables, in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,4 +19,26 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError(f"spark.checkpoint.dir is not set: on {master or 'a cluster'} it must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir that has all of an application's intermediate tables."""
+    return f"lodestone-{spark.sparkContext.applicationId}"
+
+
+def drop_run(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this application, once its results are written; DataFrames that still read
+    them can't be used any more. Whether there were any."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{run_folder(spark)}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as an intermediate table: its lineage ends there, and what reads it twice reads the same rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

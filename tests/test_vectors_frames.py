@@ -180,3 +180,53 @@ def test_long_histories_are_dealt_over_runs(spark, monkeypatch):
     new = F.when(micros - F.lag(micros).over(w) <= 5_000_000, 0).otherwise(1)
     one = df.withColumn("n", new).withColumn("session", F.sum("n").over(last(1 << 30))).groupBy("k", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_frames"))
     assert same(frames.idle_sessions(df, "k", "ts", "id", gap_seconds=5), one)
+
+
+def admitted_one_by_one(rows, capacity):
+    """rows: (pool, order, key, action), in any order."""
+    held, out = {}, {}
+    for pool, at, key, action in sorted(rows, key=lambda r: r[:2]):
+        mine = held.setdefault(pool, set())
+        if action == "connect":
+            out[pool, at] = "full" if len(mine) >= capacity else "duplicate" if key in mine else "admitted"
+            if out[pool, at] == "admitted":
+                mine.add(key)
+        elif action == "disconnect":
+            out[pool, at] = "closed" if key in mine else "absent"
+            mine.discard(key)
+    return out
+
+
+@pytest.mark.parametrize("leaving", [0.2, 0.5, 0.8])
+def test_admission_frees_places(spark, monkeypatch, leaving):
+    """Pools that are often empty and pools that never are; one pool and one client hold a third of all events."""
+    monkeypatch.setattr(frames, "INTERVAL_NUMBERS", 9)
+    rng = random.Random(int(10 * leaving))
+    rows = [(0 if i % 3 == 0 else rng.randrange(4), i, "a" if i % 3 == 0 and rng.random() < 0.7 else rng.choice("abcdefgh"), rng.choices(["disconnect", "connect", "other"], [leaving, 1 - leaving, 0.05])[0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "pool long, at long, who string, what string")
+    got = {(r.pool, r.at): r.outcome for r in frames.admissions(df, "pool", "who", "what", "at", capacity=3).collect()}
+    assert got == admitted_one_by_one(rows, 3)
+    assert leaving < 0.5 or {"admitted", "duplicate", "closed", "absent"} <= set(got.values())
+
+
+def test_one_task_with_all_events_is_dealt(spark, monkeypatch):
+    """No window over a whole task: intervals of ten events give the rows of one event after the other."""
+    monkeypatch.setattr(frames, "INTERVAL_NUMBERS", 10)
+    rng = random.Random(9)
+    log = [rng.choice(["create", "start", "start", "update", "complete", "fail", "delete"]) for _ in range(500)]
+    rows = spark.createDataFrame([("hot", i, a, i % 50, 60) for i, a in enumerate(log)], "task string, at long, action string, done long, total long")
+    moves = frames.task_transitions(rows, "task", "action", "at")
+    assert [(r.life, r.accepted, r.status) for r in moves.orderBy("at").collect()] == simulate(log)
+    assert "partitionBy" not in moves._jdf.queryExecution().toString() and "Window" not in moves._jdf.queryExecution().executedPlan().toString()
+    m = frames.buffer_metrics(rows, "task", F.col("done"), F.col("total"), "at", samples=7).first()
+    assert (m.received, m.mean_depth, m.mean_ms, m.dropped) == (500, round(sum(i % 50 for i in range(493, 500)) / 7, 2), 60.0, 490)
+
+
+def test_equal_vectors_send_k_rows(spark):
+    """Ties beyond k don't leave a shard, and rank as over one list of all rows."""
+    assert len(vectors._top(np.ones(3000), 5)) == 5 and vectors._top(np.ones(3000), 5).tolist() == [0, 1, 2, 3, 4]
+    rows = index(spark, [[1.0, 0.0]] * 300, [f"c{i % 40:02d}" for i in range(300)])
+    got = vectors.search(asked(spark, [1, 0]), rows, k=5).orderBy("rank").collect()
+    assert [r.camera_id for r in got] == [f"c0{i}" for i in range(5)]
+    raw = vectors.search(asked(spark, [1, 0]), rows, k=5, collapse=False).collect()
+    assert {r.camera_id for r in raw} == {"c00"} and len(raw) == 5
