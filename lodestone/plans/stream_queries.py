@@ -239,6 +239,13 @@ def stream_task_states(spark, sf_dir):
     return done.select("user_id", F.coalesce("status", F.lit("")).alias("status"), "refused")
 
 
+def stream_tasks_kept(spark, sf_dir):
+    """Statuses when all events are in and the tasks that ended long enough ago are forgotten."""
+    events = _stream(spark, sf_dir).select("user_id", "event_id", "ts", F.expr(_ACTION).alias("action"))
+    done = streams.run_to_end(streams.task_states(events, "user_id", "action", "event_id", "ts"), scratch(spark, "stream"), "update", ("user_id",))
+    return done.select("user_id", F.coalesce("status", F.lit("")).alias("status"))
+
+
 def stream_timely(spark, sf_dir):
     arrived = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 9)
     frames_in = _stream(spark, sf_dir).select("event_id", "ts", arrived.alias("arrived"))
@@ -258,7 +265,7 @@ def stream_bounded_buffer(spark, sf_dir):
 QUERIES = [
     vec_norm, vec_mean, vec_topk_raw, vec_topk_collapsed, vec_topk_centred, vec_orig_reference, vec_index_stats, eval_recall, eval_synthetic, frame_sampling, rolling_mean_100, rolling_fps_30, idle_sessions,
     session_window_batch, tumbling_counts, bounded_buffer_drop_oldest, skip_policy, connection_stats, connection_totals, connections_admitted, task_state_latest, task_status_pivot, ttl_expired,
-    upload_checks, task_progress, eval_degraded, identify_fixed, task_lifecycle, task_table, frame_timeouts, rate_per_check, buffer_metrics, stream_first_seen_daily, stream_task_states, stream_timely, stream_tumbling_counts, stream_running_counters, stream_dedup, stream_sessions, stream_bounded_buffer,
+    upload_checks, task_progress, eval_degraded, identify_fixed, task_lifecycle, task_table, frame_timeouts, rate_per_check, buffer_metrics, stream_first_seen_daily, stream_task_states, stream_tasks_kept, stream_timely, stream_tumbling_counts, stream_running_counters, stream_dedup, stream_sessions, stream_bounded_buffer,
 ]
 
 _Q = f"""v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -306,6 +313,11 @@ SQL = {
         greatest(count(*) - 10, 0) AS dropped, least(count(*), 10) AS queue_size, round(least(count(*), 10) / 10, 2) AS utilisation FROM n GROUP BY user_id""",
     "stream_first_seen_daily": "SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events",
     "stream_task_states": f"WITH {_LIVES} SELECT user_id, arg_max(status, event_id) AS status, count(*) FILTER (NOT accepted) AS refused FROM t GROUP BY user_id",
+    "stream_tasks_kept": f"""WITH {_LIVES}, c AS (SELECT user_id, event_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier FROM t),
+      b AS (SELECT user_id, event_id FROM c WHERE status IS DISTINCT FROM earlier),
+      a AS (SELECT user_id, arg_max(status, event_id) AS status FROM t GROUP BY user_id),
+      w AS (SELECT b.user_id, arg_max(epoch_ms(ts), b.event_id) AS since FROM b JOIN events USING (event_id) GROUP BY b.user_id)
+      SELECT user_id, CASE WHEN status IN ('completed', 'failed', 'deleted') AND since + 900000 < (SELECT max(epoch_ms(ts)) FROM events) - 86400000 THEN 'expired' ELSE status END AS status FROM a JOIN w USING (user_id)""",
     "stream_timely": "SELECT event_id FROM events WHERE event_id % 9 <= 5",
     "vec_norm": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",
     "vec_mean": "SELECT pos, round(avg(x), 6) AS m FROM (SELECT unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY pos",

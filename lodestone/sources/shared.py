@@ -9,17 +9,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, below a folder of this machine, if the driver is
-    all there is. Executors elsewhere would not see that folder, so on a cluster the setting is required."""
+_local: dict[str, str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of this machine, if the driver is all there is. Executors
+    elsewhere would not see that folder, so on a cluster the setting is required."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.conf.get("spark.master", "")
+        master, app = spark.conf.get("spark.master", ""), spark.sparkContext.applicationId
         if not re.match(r"local(\[|$)", master):
             raise ValueError(f"spark.checkpoint.dir is not set: on {master or 'a cluster'} it must name a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        base = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="lodestone-"))
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder of this run."""
+    return f"{_base(spark)}/{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -30,10 +37,7 @@ def run_folder(spark: SparkSession) -> str:
 def drop_run(spark: SparkSession) -> bool:
     """Delete all intermediate tables of this application, once its results are written; DataFrames that still read
     them can't be used any more. Whether there were any."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{run_folder(spark)}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/{run_folder(spark)}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,4 +1,8 @@
-"""Structured Streaming twins of the frame and task operators."""
+"""Structured Streaming twins of the frame and task operators.
+
+Stateful ones forget by event time: with a time column they have a watermark, and a key whose time has come gets
+one last call, in which its state is removed. Without one, their state is kept for ever, as complete results need.
+"""
 
 from __future__ import annotations
 
@@ -47,8 +51,47 @@ def tumbling_counts(events: DataFrame, ts: str, width: str, *keys: str, late: st
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
-def running_counters(events: DataFrame, key: str) -> DataFrame:
-    return events.groupBy(key).agg(F.count("*").alias("received"), F.max("ts").alias("last_activity"))
+def running_counters(events: DataFrame, key: str, idle_seconds: int | None = None, late: str = "1 day") -> DataFrame:
+    """Per key: received and last_activity (of column ts). With idle_seconds a key that has been idle for longer, as the
+    watermark tells, is forgotten, and what it sends later counts from one again."""
+    if idle_seconds is None:
+        return events.groupBy(key).agg(F.count("*").alias("received"), F.max("ts").alias("last_activity"))
+
+    def step(group, batches, state: GroupState):
+        received, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for pdf in batches:
+            pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
+            received, last = len(pdf) + (0 if again else received), max(last, int(pdf["__ms"].max()))
+        state.update((received, last))
+        _until(state, last + idle_seconds * 1000)
+        yield pd.DataFrame({key: [group[0]], "received": [received], "last_ms": [last]})
+
+    done = _stepped(events, key, [], "ts", late, step, "received long, last_ms long", "received long, last_ms long")
+    return done.select(key, "received", F.timestamp_millis("last_ms").alias("last_activity"))
+
+
+def _since_idle(pdf: pd.DataFrame, last: int | None, idle_seconds: int) -> tuple[pd.DataFrame, bool]:
+    """The events of a batch after its last gap longer than allowed, the one before its first event included, and
+    whether there was such a gap. So a key starts again whether or not its state was removed in the meantime."""
+    pdf = pdf.sort_values("__ms", kind="stable")
+    gaps = pdf["__ms"].diff().fillna(0 if last is None else pdf["__ms"].iloc[0] - last)
+    long = (gaps > idle_seconds * 1000).to_numpy().nonzero()[0]
+    return (pdf.iloc[long[-1] :], True) if len(long) else (pdf, False)
+
+
+def _until(state: GroupState, ms: int) -> None:
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _stepped(events: DataFrame, key: str, columns: list[str], time: str | None, late: str, step, out: str, kept: str) -> DataFrame:
+    """step over each key's new events, with __ms, their time in milliseconds, and timeouts by it if there is a time column."""
+    kind = events.schema[key].dataType.simpleString()
+    wanted = list(dict.fromkeys([key, *columns, *([time] if time else [])]))
+    timed = events.withWatermark(time, late).select(*wanted, F.unix_millis(time).alias("__ms")) if time else events.select(*wanted)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {out}", kept, "update", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def first_seen(events: DataFrame, key: str, ts: str, every_seconds: int = 86_400, late: str = "1 day") -> DataFrame:
@@ -68,16 +111,26 @@ def timely(frames: DataFrame, sent: str, arrived: str, limit: str = "5 seconds")
     return frames.where(F.col(arrived) <= F.col(sent) + F.expr(f"INTERVAL {limit}"))
 
 
-def task_states(events: DataFrame, key: str, action: str, ts: str) -> DataFrame:
+def task_states(events: DataFrame, key: str, action: str, order: str, time: str | None = None, keep_minutes: int = 15, late: str = "1 day") -> DataFrame:
     """Per task after each batch: status, and how many events were refused. The state of a task is its status; the
-    events of a batch are taken in order of time, and those that the status doesn't allow are refused, as in
-    operators.frames.task_transitions(). The state is two values, whatever a task has been through."""
+    events of a batch are taken in order, and those that the status doesn't allow are refused, as in
+    operators.frames.task_transitions(). The state is three values, whatever a task has been through.
+
+    With a time column a task that is completed, failed or deleted is forgotten keep_minutes after that, and its last
+    status is 'expired', so that its files can be removed; tasks that wait or run are never forgotten.
+    """
     allowed = {"start": ("pending", "processing"), "update": ("processing", "processing"), "complete": ("processing", "completed"), "fail": ("processing", "failed")}
 
     def step(group, batches, state: GroupState):
-        status, refused = state.get if state.exists else (None, 0)
+        status, refused, since = state.get if state.exists else (None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "status": ["expired"], "refused": [refused]})
+            return
         for pdf in batches:
-            for what in pdf.sort_values(ts, kind="stable")[action]:
+            pdf = pdf.sort_values(order, kind="stable")
+            for what, ms in zip(pdf[action], pdf["__ms"] if time else [0] * len(pdf)):
+                before = status
                 if what == "create":
                     status = "pending"
                 elif what == "delete" and status not in (None, "deleted"):
@@ -86,29 +139,40 @@ def task_states(events: DataFrame, key: str, action: str, ts: str) -> DataFrame:
                     status = allowed[what][1]
                 else:
                     refused += 1
-        state.update((status, refused))
+                since = int(ms) if status != before else since
+        state.update((status, refused, since))
+        if time and status in ("completed", "failed", "deleted"):
+            _until(state, since + keep_minutes * 60_000)
         yield pd.DataFrame({key: [group[0]], "status": [status], "refused": [refused]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    return events.select(key, action, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, status string, refused long", "status string, refused long", "update", GroupStateTimeout.NoTimeout)
+    return _stepped(events, key, [action, order], time, late, step, "status string, refused long", "status string, refused long, since long")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n_frames")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("expires"), "n_frames")
 
 
-def bounded_buffer(frames: DataFrame, key: str, order: str, capacity: int = 10) -> DataFrame:
+def bounded_buffer(frames: DataFrame, key: str, order: str, capacity: int = 10, time: str | None = None, idle_seconds: int = 300, late: str = "1 day") -> DataFrame:
     """Per key after each batch: received, dropped, and the order values that a buffer of this capacity, which
-    drops its oldest, holds. The state is never more than the capacity; frames of a batch come sorted."""
+    drops its oldest, holds. The state is never more than the capacity; frames of a batch come sorted. With a
+    time column the buffer of a key that has been idle for longer than idle_seconds is forgotten."""
 
     def step(group, batches, state: GroupState):
-        received, kept = state.get if state.exists else (0, [])
+        received, kept, last = state.get if state.exists else (0, [], 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(kept)
         for pdf in batches:
+            if time:
+                pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
+                received, kept, last = (0, [], int(pdf["__ms"].max())) if again else (received, kept, max(last, int(pdf["__ms"].max())))
             received += len(pdf)
             kept = sorted([*kept, *pdf[order].tolist()])[-capacity:]
-        state.update((received, kept))
+        state.update((received, kept, last))
+        if time:
+            _until(state, last + idle_seconds * 1000)
         yield pd.DataFrame({key: [group[0]], "received": [received], "dropped": [max(0, received - capacity)], "held": [kept]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    return frames.select(key, order).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, received long, dropped long, held array<{kinds[order]}>", f"received long, held array<{kinds[order]}>", "update", GroupStateTimeout.NoTimeout)
+    kind = frames.schema[order].dataType.simpleString()
+    return _stepped(frames, key, [order], time, late, step, f"received long, dropped long, held array<{kind}>", f"received long, held array<{kind}>, last long")

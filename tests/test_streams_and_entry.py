@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import __spark_entry__
+from lodestone.sources import shared
 from lodestone.streaming import frames as streams
 
 ROOT = pathlib.Path(__spark_entry__.__file__).parent
@@ -89,3 +90,59 @@ def test_task_states_follow_batches(spark, tmp_path):
     assert [tuple(r) for r in seen] == [("t", "pending", 4)]
     every = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).orderBy("_batch").collect()
     assert [(r.status, r.refused) for r in every] == [("pending", 1), ("processing", 2), ("completed", 3), ("deleted", 4), ("pending", 4)]
+
+
+def progress_of(df, tmp_path):
+    """Rows of state after each batch, and what was written."""
+    out = []
+    query = df.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "kept")).foreachBatch(lambda batch, _: out.extend(map(tuple, batch.collect()))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress], out
+
+
+def test_finished_tasks_are_forgotten_and_running_ones_never(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    steps = [[(f"t{i}", a, 0) for i in range(20) for a in ("create", "start")], [(f"t{i}", "complete" if i % 2 else "delete", 60) for i in range(15)], [("new", "create", 5 * 3600)], [("new", "start", 9 * 3600)]]
+    for i, rows in enumerate(steps):
+        table = spark.createDataFrame([(k, a, 100 * i + j, datetime(2024, 1, 1) + timedelta(seconds=s)) for j, (k, a, s) in enumerate(rows)], "task string, action string, at long, ts timestamp")
+        table.coalesce(1).write.parquet(f"{folder}/f{i}")
+        time.sleep(1.1)
+    events = streams.event_stream(spark, folder, "*.parquet", StructType.fromDDL("task string, action string, at long, ts timestamp"))
+    rows, out = progress_of(streams.task_states(events, "task", "action", "at", "ts", late="10 minutes"), tmp_path)
+    assert max(rows) >= 20 and rows[-1] == 6  # t15 to t19 still run, and the new one
+    assert sorted(r[0] for r in out if r[1] == "expired") == sorted(f"t{i}" for i in range(15))
+
+
+@pytest.mark.parametrize("kind", ["buffer", "counters"])
+def test_idle_keys_are_forgotten(spark, tmp_path, kind):
+    folder = str(tmp_path / "in")
+    for i, rows in enumerate([[(f"k{j}", j) for j in range(30)], [("k1", 7200)], [("k1", 14400)], [("k2", 21600)]]):
+        stamped(spark, folder, f"f{i}", rows)
+        time.sleep(1.1)
+    events = streams.event_stream(spark, folder, "*.parquet", StructType.fromDDL("key string, ts timestamp"))
+    df = streams.bounded_buffer(events.withColumn("n", F.unix_seconds("ts")), "key", "n", 2, time="ts", late="1 minute") if kind == "buffer" else streams.running_counters(events, "key", 300, "1 minute")
+    rows, out = progress_of(df, tmp_path)
+    assert max(rows) >= 30 and rows[-1] == 1
+    assert [r[1] for r in out if r[0] == "k1"] == [1, 1, 1]  # each time from one again
+
+
+def test_tables_of_a_run_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_base", lambda _: str(tmp_path))
+    assert shared.written(spark.range(5), "five").count() == 5
+    assert list(tmp_path.iterdir()) and shared.drop_run(spark)
+    assert not list(tmp_path.iterdir()) and not shared.drop_run(spark)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, master, folder=None):
+            self.settings = {"spark.master": master, "spark.checkpoint.dir": folder}
+            self.conf, self.sparkContext, self.applicationId = self, self, "app-of-a-test"
+
+        def get(self, name, default=None):
+            return self.settings.get(name) or default
+
+    assert shared.scratch(Session("yarn", "hdfs://x/y/"), "a").startswith("hdfs://x/y/lodestone-app-of-a-test/a-")
+    assert shared.scratch(Session("local[2]"), "a").rsplit("/", 2)[0] == shared.scratch(Session("local[2]"), "b").rsplit("/", 2)[0]
+    with pytest.raises(ValueError, match="share"):
+        shared.scratch(Session("yarn"), "a")
