@@ -234,8 +234,11 @@ def probe_jsonl_strict(spark, sf_dir):
 
 
 def version_diff(spark, sf_dir):
+    """Two versions of part, the second a layer on the first; of the first only the layer's keys are compared."""
     old, new = _sides(spark, sf_dir)
-    return snapshots.diff(old, merge.update(old, new, "p_partkey", "p_name"))
+    store = snapshots.Snapshots(spark, scratch(spark, "versions"))
+    store.create(old, key="p_partkey", unique=True)
+    return store.diff(1, store.append(new, "p_partkey", "p_name", "update").version)
 
 
 def time_travel_read(spark, sf_dir):

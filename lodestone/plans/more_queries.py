@@ -5,6 +5,13 @@ Inputs are made of the test tables' rows by expressions, so that SQL can say wha
 
 from __future__ import annotations
 
+import contextlib
+import os
+import sqlite3
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,6 +166,32 @@ def merge_conflicts(spark, sf_dir):
     return _t(spark, sf_dir, "region").select("r_regionkey", F.lit(said).contains(F.col("r_regionkey").cast("string")).alias("named"))
 
 
+def sqlite_product_cache(spark, sf_dir):
+    """part as product caches in SQLite files, a third of it with broken JSON, read again in ranges of rows.
+
+    Each task leaves a file of its rows in the shared folder, as crawlers would; files of failed tasks stay unread."""
+    part = _t(spark, sf_dir, "part").select(
+        F.concat(F.lit("/p/"), F.col("p_partkey")).alias("product_url"), F.col("p_name").alias("model_name"),
+        F.when(F.col("p_partkey") % 3 == 0, "[broken").otherwise(F.to_json(F.array(F.concat(F.lit("i/"), F.col("p_partkey"))))).alias("image_urls"),
+        F.lit(None).cast("string").alias("datasheet_url"), F.to_json(F.struct(F.struct("p_brand").alias("body"))).alias("specifications_html"),
+    )
+    folder = scratch(spark, "caches").removeprefix("file://").removeprefix("file:")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.db"
+        with contextlib.closing(sqlite3.connect(path)) as db:
+            db.execute("CREATE TABLE product_cache (product_url TEXT PRIMARY KEY, model_name TEXT, image_urls TEXT, datasheet_url TEXT, specifications_html TEXT)")
+            for batch in batches:
+                db.executemany("INSERT INTO product_cache VALUES (?, ?, ?, ?, ?)", zip(*(c.to_pylist() for c in batch.columns)))
+            db.commit()
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    paths = [r["path"] for r in part.mapInArrow(leave, "path string").collect()]  # one for each task
+    found = manifest.decoded(tables.sqlite(spark, paths, "product_cache"))
+    return found.select("product_url", "model_name", F.array_join("image_urls", " ").alias("images"), F.coalesce(F.col("specifications_html")["body"]["p_brand"], F.lit("")).alias("brand"))
+
+
 def cached_details(spark, sf_dir):
     """Details of pages: known ones from the cache, the others extracted."""
     pages = _t(spark, sf_dir, "pages").select("url", "html")
@@ -189,7 +222,7 @@ def eval_probe(spark, sf_dir):
 
 QUERIES = [
     catalog_records, catalog_rows_again, catalog_detail_view, catalog_first_images, catalog_columns_missing, optional_columns, manifest_products, manifest_counts, manifest_of_products, validation_quality_issues,
-    validation_distribution, text_helpers, augmentation_recipes, files_roundtrip, versions_kept, merge_conflicts, cached_details, index_of_images, eval_probe,
+    validation_distribution, text_helpers, augmentation_recipes, files_roundtrip, sqlite_product_cache, versions_kept, merge_conflicts, cached_details, index_of_images, eval_probe,
 ]
 
 _P = """(SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, p_name, p_brand, p_type, p_size FROM part)"""
@@ -215,6 +248,7 @@ SQL = {
       CAST(round(CAST(k * 0.5 AS DECIMAL(18, 4)), 2) AS DOUBLE) AS megabytes, CASE k % 3 WHEN 0 THEN 'HikVision' WHEN 1 THEN 'Axis Communications' ELSE p_brand END AS vendor FROM {_P}""",
     "augmentation_recipes": "SELECT n_nationkey, pos, name, severity FROM nation, (VALUES (0, 'perspective_warp', 1), (1, 'blur', 1), (2, 'lighting', 1)) AS r(pos, name, severity)",
     "files_roundtrip": "SELECT count(*) AS rows, CAST(sum(p_partkey) AS BIGINT) AS keys, CAST(sum(p_partkey) AS BIGINT) AS csv_keys, count(DISTINCT p_brand) AS brands, 'PAR1' AS head, 'PAR1' AS head_too FROM part",
+    "sqlite_product_cache": "SELECT '/p/' || p_partkey AS product_url, p_name AS model_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'i/' || p_partkey END AS images, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS brand FROM part",
     "versions_kept": "SELECT v AS version, (SELECT count(*) FROM nation WHERE n_nationkey < 5 * v) AS record_count, (SELECT count(*) FROM nation WHERE n_nationkey < 10) AS current_rows FROM (VALUES (2), (4)) AS t(v)",
     "merge_conflicts": "SELECT r_regionkey, true AS named FROM region",
     "cached_details": "SELECT url, CASE WHEN regexp_matches(url, '[02468]$') THEN 'known' ELSE 'fresh' END AS name FROM pages",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import sqlite3
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
 from lodestone.schema import MANIFEST
@@ -70,9 +74,104 @@ def strict_json(lines: DataFrame, schema: T.StructType, required: list[str]) ->
     return checked.select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema if f.name != "_broken"])
 
 
-def sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A SQLite table through JDBC; the driver's jar has to be on Spark's class path."""
-    return spark.read.format("jdbc").options(url=f"jdbc:sqlite:{path}", dbtable=table, driver="org.sqlite.JDBC").load()
+def sqlite(spark: SparkSession, paths: str | list[str], table: str, partitions: int = 0) -> DataFrame:
+    """A table of one or more SQLite files, read by ranges of its row numbers in as many tasks a file as asked for (by
+    default, as Spark likes). The files have to be where all tasks see them. Tables without row numbers are read
+    by one task each. A column is a long, a double, binary or a string, by the affinity of its declared type in
+    the first file; a value of another kind is converted, or null where that can't be."""
+    spark.dataSource.register(SqliteSource)
+    options = {"paths": json.dumps([paths] if isinstance(paths, str) else paths), "table": table, "partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    return spark.read.format("lodestone_sqlite").options(**options).load()
+
+
+class SqliteSource(DataSource):
+    """The standard library's sqlite3 as a batch source."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lodestone_sqlite"
+
+    def schema(self) -> T.StructType:
+        first = json.loads(self.options["paths"])[0]
+        with _opened(first) as db:
+            columns = db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
+        if not columns:
+            raise ValueError(f"no table {self.options['table']!r} in {first}")
+        return T.StructType([T.StructField(name, _affinity(kind)) for _, name, kind, *_ in columns])
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return SqliteReader(schema, self.options)
+
+
+class Rows(InputPartition):
+    def __init__(self, path: str, low: int | None = None, high: int | None = None):
+        self.path, self.low, self.high = path, low, high
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        self.schema, self.table = schema, _quoted(options["table"])
+        self.paths, self.tasks = json.loads(options["paths"]), max(1, int(options["partitions"]))
+
+    def partitions(self) -> list[Rows]:
+        found = []
+        for path in self.paths:
+            with _opened(path) as db:
+                try:
+                    low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+                except sqlite3.OperationalError:  # a table without row numbers
+                    found.append(Rows(path))
+                    continue
+            if low is not None:
+                step = -(-(high - low + 1) // self.tasks)
+                found += [Rows(path, at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
+        return found or [Rows(self.paths[0])]  # no rows, by one task
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        names, kinds = ", ".join(_quoted(f.name) for f in self.schema), [f.dataType for f in self.schema]
+        where, values = ("", ()) if partition.low is None else (" WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
+        with _opened(partition.path) as db:
+            for row in db.execute(f"SELECT {names} FROM {self.table}{where}", values):
+                yield tuple(_converted(value, kind) for value, kind in zip(row, kinds))
+
+
+@contextlib.contextmanager
+def _opened(path: str) -> Iterator[sqlite3.Connection]:
+    """A database, read only; bytes that aren't UTF-8 are replaced in texts."""
+    db = sqlite3.connect(f"file:{quote(unquote(urlparse(path).path) if path.startswith('file:') else path)}?mode=ro", uri=True)
+    db.text_factory = lambda b: b.decode("utf-8", "replace")
+    try:
+        yield db
+    finally:
+        db.close()
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _affinity(declared: str) -> T.DataType:
+    kind = (declared or "").upper()
+    if "INT" in kind:
+        return T.LongType()
+    if any(word in kind for word in ("CHAR", "CLOB", "TEXT")):
+        return T.StringType()
+    if "BLOB" in kind:
+        return T.BinaryType()
+    return T.DoubleType() if any(word in kind for word in ("REAL", "FLOA", "DOUB")) else T.StringType()
+
+
+def _converted(value, kind: T.DataType):
+    try:
+        if value is None:
+            return None
+        if isinstance(kind, T.BinaryType):
+            return value if isinstance(value, bytes) else str(value).encode()
+        if isinstance(kind, T.StringType):
+            return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
+        return int(value) if isinstance(kind, T.LongType) else float(value)
+    except ValueError:
+        return None
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -1,11 +1,13 @@
+import sqlite3
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lodestone.operators import manifest, merge
 from lodestone.schema import MANIFEST, PRODUCT_CACHE
-from lodestone.sources import tables
-from lodestone.sources.snapshots import Snapshots, VersionTaken, diff
+from lodestone.sources import snapshots, tables
+from lodestone.sources.snapshots import Snapshots, VersionTaken, diff, identity
 
 # Rows of the hand-over fixtures.
 OLD = [("cam-001", "Camera 1"), ("cam-002", "Camera 2"), ("cam-003", "Camera 3")]
@@ -151,3 +153,74 @@ def test_reports_and_file_heads(spark, tmp_path):
         (tmp_path / "f" / name).write_bytes(data)
     got = {r.path: (r.size, bytes(r.head)) for r in tables.files(spark, str(tmp_path / "f")).collect()}
     assert got == {"a.pdf": (17, b"%PDF"), "sub dir/b.webp": (8, b"RIFF"), "sub dir/c": (2, b"ab")}  # empty files are not listed
+
+
+def test_identity_of_many_documents(spark):
+    """Two manifests that share their first document differ; order, partitions and repeats do what they should."""
+    docs = lambda *values: spark.createDataFrame([(v,) for v in values], "value string")
+    a = identity(docs("A", "B"))
+    assert a == identity(docs("B", "A")) == identity(docs("A", "B").repartition(3)) and a.startswith("sha256:")
+    assert len({a, identity(docs("A", "C")), identity(docs("A", "B", "B")), identity(docs("A")), identity(docs("A", None)), identity(docs())}) == 6
+    assert identity(docs(*map(str, range(3000)))) == identity(docs(*map(str, reversed(range(3000)))).repartition(7))
+
+
+def numbers(spark, ids, word="old"):
+    return spark.createDataFrame([(i, f"{word}{i}", i) for i in ids], "id long, name string, ord long")
+
+
+def test_appends_write_what_they_change(spark, tmp_path, monkeypatch):
+    """Every strategy gives the rows of a merge of the whole table, a null key included; a layer has the batch's rows."""
+    monkeypatch.setattr(snapshots, "MOST_LAYERS", 3)
+    store, expected = Snapshots(spark, str(tmp_path / "v")), None
+    rows = lambda df: sorted(map(str, df.select("id", "name", "ord").collect()))
+    expected = numbers(spark, [*range(200), None])
+    store.create(expected, key="id", unique=True)
+    batches = [("update", [5, 6, 300, None]), ("skip", [7, 301, 301]), ("error", [400, 401]), ("update", [5, 401, 500]), ("update", [1])]
+    layers = []
+    for strategy, ids in batches:
+        new = numbers(spark, ids, strategy)
+        expected = spark.createDataFrame(snapshots.merging.STRATEGIES[strategy](expected, new, "id", "ord").collect(), expected.schema)
+        v = store.append(new, "id", "ord", strategy)
+        layers.append(len(v.layers))
+        assert rows(store.read()) == rows(expected) and v.record_count == expected.count()
+        assert rows(store.diff(v.version - 1, v.version).drop("change")) == rows(diff(store.read(v.version - 1), store.read(v.version)).drop("change"))
+    assert layers == [1, 2, 3, 0, 1]
+    assert spark.read.parquet(store.info(2).layers[0]).count() == 4
+    with pytest.raises(merge.MergeConflict):
+        store.append(numbers(spark, [1]), "id", "ord", "error")
+    assert store.keep_last(1) == [1, 2, 3, 4, 5] and rows(store.read()) == rows(expected)
+
+
+def test_buckets_that_are_equal_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 20)
+    store = Snapshots(spark, str(tmp_path / "v"))
+    store.create(numbers(spark, range(200)), key="id")
+    store.create(numbers(spark, [i for i in range(200) if i != 17]).unionByName(numbers(spark, [17], "new")), key="id")
+    found = store.diff(1, 2)
+    assert sorted((r.name, r.change) for r in found.collect()) == [("new17", "added"), ("old17", "removed")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("__bucket" in filters.split("]")[0] for filters in plan.split("PartitionFilters: [")[1:]) and "PartitionFilters: [" in plan
+    assert store.diff(1, 1).count() == 0
+
+
+def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
+    paths = [str(tmp_path / name) for name in ("a b.db", "c.db")]
+    for i, path in enumerate(paths):
+        db = sqlite3.connect(path)
+        db.execute('CREATE TABLE "t""x" (id INTEGER PRIMARY KEY, "na me" VARCHAR(9), price REAL, raw BLOB, other)')
+        db.executemany('INSERT INTO "t""x" VALUES (?, ?, ?, ?, ?)', [(100 * i + k, f"n{k}", k / 2, bytes([k]), k) for k in range(1, 50, 1 + i)] + [(1000 * (i + 1), None, "no number", "text", b"\xff")])
+        db.execute("CREATE TABLE bare (k TEXT PRIMARY KEY, v INT) WITHOUT ROWID")
+        db.execute("INSERT INTO bare VALUES ('x', 1), ('y', NULL)")
+        db.execute("CREATE TABLE none_yet (k INT)")
+        db.commit()
+        db.close()
+    df = tables.sqlite(spark, paths, 't"x', partitions=4)
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "double", "binary", "string"]
+    assert df.rdd.getNumPartitions() == 8
+    rows = {r.id: r for r in df.collect()}
+    assert len(rows) == 49 + 25 + 2 and rows[7]["na me"] == "n7" and rows[7].price == 3.5 and bytes(rows[7].raw) == b"\x07" and rows[7].other == "7"
+    assert rows[1000].price is None and bytes(rows[1000].raw) == b"text" and rows[2000].other == "\ufffd"
+    assert sorted(map(tuple, tables.sqlite(spark, paths[0], "bare").collect())) == [("x", 1), ("y", None)]
+    assert tables.sqlite(spark, paths, "none_yet").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        tables.sqlite(spark, paths, "absent").collect()
