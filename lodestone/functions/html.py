@@ -216,3 +216,11 @@ def extract(pages: DataFrame, site: Callable[[Node], dict] = table_page, unknown
             yield pd.DataFrame(rows, columns=["url", "name", "number", "images", "datasheet_url", "specifications", "error"])
 
     return pages.select("url", "html").mapInPandas(run, f"url string, {DETAILS}, error string")
+
+
+def routed(products: DataFrame, kind: str, subcategory: str, categories: DataFrame) -> DataFrame:
+    """products with name, url and filter of the static category by which each is fetched: of its kind, and of its
+    subcategory where the category has a filter; null where no category has it. categories: static_categories()."""
+    mine = F.broadcast(categories.select("name", "node_id", "url", "filter"))  # a few fixed rows
+    fits = (F.col(kind) == F.col("node_id")) & (F.col("filter").isNull() | (F.col(subcategory) == F.col("filter")))
+    return products.join(mine, fits, "left").drop("node_id")

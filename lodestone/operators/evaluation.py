@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.operators import vectors
 
@@ -22,17 +20,29 @@ def recipes(k: int) -> list[tuple[str, int]]:
     return RECIPES[:k]
 
 
-def _seeded(name: str):
-    """Noise of a seed made of the row's key, so results don't depend on partitions."""
-    return lambda v, severity, seed: v + np.random.default_rng(seed).normal(0, {"noise": 0.05, "strong_noise": 0.2}[name] * severity, len(v))
+def uniform(key: Column, place: Column, which: int) -> Column:
+    """A number in (0, 1) that depends on nothing but its key, place and which of the place's numbers it is: 48 bits of
+    an MD5 that any engine can repeat."""
+    digits = F.substring(F.md5(F.concat_ws("|", key, place.cast("string")).cast("binary")), 1 + 12 * which, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-#: Degradations of a vector: (vector, severity, seed) -> vector. Images need their own, registered alike.
-DEGRADATIONS: dict[str, Callable] = {
-    "noise": _seeded("noise"),
-    "strong_noise": _seeded("strong_noise"),
-    "cut": lambda v, severity, seed: np.where(np.arange(len(v)) < 8 * severity, 0.0, v),
-    "mask": lambda v, severity, seed: np.where(np.random.default_rng(seed).random(len(v)) < 0.1 * severity, 0.0, v),
+def normal(key: Column, place: Column) -> Column:
+    """A normally distributed number of the same kind, from two uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(key, place, 0))) * F.cos(2 * math.pi * uniform(key, place, 1))
+
+
+def _noise(width: float) -> Degradation:
+    return lambda v, severity, key: F.transform(v, lambda x, i: x + normal(key, i) * width * severity)
+
+
+Degradation = Callable[[Column, Column, Column], Column]
+#: Degradations of a vector, as expressions of it, the severity and a key. Images need their own, registered alike.
+DEGRADATIONS: dict[str, Degradation] = {
+    "noise": _noise(0.05),
+    "strong_noise": _noise(0.2),
+    "cut": lambda v, severity, key: F.transform(v, lambda x, i: F.when(i < 8 * severity, 0.0).otherwise(x)),
+    "mask": lambda v, severity, key: F.transform(v, lambda x, i: F.when(uniform(key, i, 0) < 0.1 * severity, 0.0).otherwise(x)),
 }
 
 
@@ -43,14 +53,12 @@ def degradation_grid(rows: DataFrame, names: list[str], severities: list[int]) -
 
 
 def degraded(grid: DataFrame, seed: int = 42) -> DataFrame:
-    """grid with embedding degraded by its cell; the seed comes from the row's id, the name and the severity."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(v: pd.Series, name: pd.Series, severity: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(DEGRADATIONS[n](np.asarray(x, dtype=float), s, k), dtype=float) for x, n, s, k in zip(v, name, severity, key)])
-
-    key = F.crc32(F.concat_ws("|", F.lit(seed), F.col("row_id").cast("string"), "degradation", F.col("severity").cast("string")))
-    return grid.withColumn("embedding", apply("embedding", "degradation", "severity", key))
+    """grid with embedding degraded by its cell; what is random comes from the seed, the row's id, the name and the
+    severity, so it doesn't depend on partitions."""
+    v, severity = F.col("embedding").cast("array<double>"), F.col("severity")
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string"), "degradation", severity.cast("string"))
+    cells = [F.when(F.col("degradation") == name, change(v, severity, key)) for name, change in DEGRADATIONS.items()]
+    return grid.withColumn("embedding", F.coalesce(*cells))
 
 
 def recall(asked: DataFrame, matches: DataFrame, *group: str) -> DataFrame:

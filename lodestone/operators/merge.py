@@ -15,7 +15,11 @@ Strategy = Callable[[DataFrame, DataFrame, str, str], DataFrame]
 
 
 class MergeConflict(ValueError):
-    """New rows have keys of existing ones."""
+    """New rows have keys of existing ones; keys: the first ten."""
+
+    def __init__(self, key: str, keys: list):
+        super().__init__(f"{key} in both tables, for one: {keys}")
+        self.key, self.keys = key, keys
 
 
 def stacked(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,11 +40,16 @@ def skip(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame
     return _one_each(existing, new, key, order, last=False)
 
 
+def conflicts(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The keys that both tables have, each once."""
+    return new.select(key).distinct().join(existing.select(key), key, "left_semi")
+
+
 def error(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """All rows of both sides; raises if a key is in both, with the first ten."""
-    both = new.select(key).distinct().join(existing.select(key), key, "left_semi").orderBy(key).limit(10).collect()
+    both = conflicts(existing, new, key).orderBy(key).limit(10).collect()
     if both:
-        raise MergeConflict(f"{key} in both tables, for one: {[r[0] for r in both]}")
+        raise MergeConflict(key, [r[0] for r in both])
     return stacked(existing, new).drop("__side")
 
 

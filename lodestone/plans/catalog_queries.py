@@ -28,7 +28,7 @@ def catalog_filter_page(spark, sf_dir):
 
 
 def catalog_search_regex(spark, sf_dir):
-    return catalog.search(_t(spark, sf_dir, "part"), "[a-m].*[13579]$", ["p_name", "p_type"]).select("p_partkey", "p_name")
+    return catalog.search(_t(spark, sf_dir, "part"), "^(red|small) .*(ring|bolt)$|^e.*y$", ["p_name", "p_type"]).select("p_partkey", "p_name")
 
 
 def catalog_search_literal(spark, sf_dir):
@@ -278,9 +278,13 @@ def html_product_links(spark, sf_dir):
 
 
 def html_static_categories(spark, sf_dir):
-    """The categories that no page lists, as many rows as they have products in part's types; here once each."""
-    found = html.static_categories(spark, {kind: f"https://example.com/{kind.lower()}" for kind in ("IP", "ITS", "THERMAL")})
-    return found.select("name", "href", "node_id", "url", F.coalesce("filter", F.lit("")).alias("filter"))
+    """How many products of part each of the categories that no page lists would fetch; '' for those that none has."""
+    listed = html.static_categories(spark, {kind: f"https://example.com/{kind.lower()}" for kind in ("IP", "ITS", "THERMAL")})
+    kinds, filters = F.array(*map(F.lit, ("IP", "ITS", "THERMAL", "IP", "OTHER"))), F.array(*map(F.lit, ("Network Cameras", "PTZ Cameras", "Recorders")))
+    part = _t(spark, sf_dir, "part").select("p_partkey", F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("kind"), F.get(filters, (F.col("p_size") % 3).cast("int")).alias("sub"))
+    counts = html.routed(part, "kind", "sub", listed).groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"))
+    both = listed.join(counts, "name", "full")
+    return both.select("name", F.coalesce("href", F.lit("")).alias("href"), F.coalesce("filter", F.lit("")).alias("filter"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _details(pages, site):
@@ -381,9 +385,11 @@ SQL = {
     "html_series_cards": f"SELECT '/s/' || p_partkey AS url, CAST(i - 1 AS INTEGER) AS pos, p_name AS name, '/p/' || p_partkey || '/' || i AS href, CAST(i AS VARCHAR) AS node_id FROM ({_CARDS})",
     "html_category_cards": f"SELECT '/s/' || p_partkey AS url, CAST(i AS INTEGER) AS pos, p_name AS name, '/p/' || p_partkey || '/' || i AS href, CAST(i AS VARCHAR) AS node_id FROM ({_CARDS}) UNION ALL SELECT '/s/' || p_partkey, 0, 'All', '/c', '' FROM part",
     "html_product_links": f"SELECT '/s/' || p_partkey AS url, CAST(i - 1 AS INTEGER) AS pos, '/p/' || p_partkey || '/' || i AS href FROM ({_CARDS}) UNION ALL SELECT '/s/' || p_partkey, 0, '/s/' || p_partkey FROM part WHERE p_partkey % 4 = 0",
-    "html_static_categories": """SELECT * FROM (VALUES ('IP - Network Cameras', 'Network Cameras', 'IP', 'https://example.com/ip', 'Network Cameras'), ('IP - PTZ Cameras', 'PTZ Cameras', 'IP', 'https://example.com/ip', 'PTZ Cameras'),
-      ('IP - Explosion-Proof Series', 'Explosion-Proof and Anti-Corrosion Series', 'IP', 'https://example.com/ip', 'Explosion-Proof and Anti-Corrosion Series'), ('ITS - Traffic Cameras', 'https://example.com/its', 'ITS', 'https://example.com/its', ''),
-      ('Thermal - All Products', 'https://example.com/thermal', 'THERMAL', 'https://example.com/thermal', '')) AS t(name, href, node_id, url, filter)""",
+    "html_static_categories": """WITH c AS (SELECT * FROM (VALUES ('IP - Network Cameras', 'Network Cameras', 'IP', 'Network Cameras'), ('IP - PTZ Cameras', 'PTZ Cameras', 'IP', 'PTZ Cameras'),
+      ('IP - Explosion-Proof Series', 'Explosion-Proof and Anti-Corrosion Series', 'IP', 'Explosion-Proof and Anti-Corrosion Series'), ('ITS - Traffic Cameras', 'https://example.com/its', 'ITS', ''), ('Thermal - All Products', 'https://example.com/thermal', 'THERMAL', '')) AS t(name, href, kind, filter)),
+      p AS (SELECT ['IP', 'ITS', 'THERMAL', 'IP', 'OTHER'][p_partkey % 5 + 1] AS kind, ['Network Cameras', 'PTZ Cameras', 'Recorders'][p_size % 3 + 1] AS sub FROM part),
+      n AS (SELECT coalesce(name, '') AS name, count(*) AS n FROM p LEFT JOIN c ON p.kind = c.kind AND (c.filter = '' OR c.filter = p.sub) GROUP BY 1)
+      SELECT name, coalesce(href, '') AS href, coalesce(filter, '') AS filter, coalesce(n, 0) AS n FROM c FULL JOIN n USING (name)""",
     "html_table_details": """WITH p AS (SELECT '/t/' || p_partkey AS url, p_name AS name, '' AS number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/i/' || p_partkey || '/1.jpg /i/' || p_partkey || '/2.jpg' END AS images,
         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '/d/' || p_partkey || '.pdf' END AS datasheet_url, CASE WHEN p_partkey % 7 = 0 THEN [{'g': '', 't': '', 'v': ''}] ELSE [{'g': 'Body', 't': 'Size', 'v': CAST(p_size AS VARCHAR)}, {'g': 'Body', 't': 'Brand', 'v': p_brand}] END AS s FROM part)
       SELECT url, name, number, images, datasheet_url, x.g AS "group", x.t AS title, x.v AS value FROM (SELECT *, unnest(s) AS x FROM p)""",
@@ -400,7 +406,7 @@ SQL = {
     "manifest_reconstruct": f"""SELECT replace(n_name, '_', ' ') AS series, 'id-' || s_suppkey AS camera_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ID ' || s_suppkey ELSE 'id-' || s_suppkey END AS model_name, CASE WHEN s_suppkey % 3 = 0 THEN 'u' || s_suppkey ELSE '' END AS image_urls,
       CASE WHEN s_suppkey % 3 = 0 THEN 'sheet' ELSE '' END AS datasheet_url, CASE WHEN s_suppkey % 2 = 0 THEN CAST(2 AS BIGINT) ELSE 1 END AS n_image_files, 'zeta/' || replace(r_name, ' ', '_') || '/' || replace(n_name, ' ', '_') || '/id-' || s_suppkey || '.PDF' AS datasheet_file FROM {_TREE}""",
     "catalog_filter_page": "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 20 OFFSET 20",
-    "catalog_search_regex": "SELECT p_partkey, p_name FROM part WHERE coalesce(regexp_matches(lower(p_name), '[a-m].*[13579]$'), false) OR coalesce(regexp_matches(lower(p_type), '[a-m].*[13579]$'), false)",
+    "catalog_search_regex": "SELECT p_partkey, p_name FROM part WHERE coalesce(regexp_matches(lower(p_name), '^(red|small) .*(ring|bolt)$|^e.*y$'), false) OR coalesce(regexp_matches(lower(p_type), '^(red|small) .*(ring|bolt)$|^e.*y$'), false)",
     "catalog_search_literal": "SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids FROM part WHERE contains(lower(p_name), 'e') OR contains(lower(p_type), 'e')",
     "catalog_point_lookup": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 7",
     "catalog_last_by_id": "SELECT source AS id, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents WHERE trim(source) <> '' GROUP BY source",

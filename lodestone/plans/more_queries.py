@@ -158,12 +158,14 @@ def versions_kept(spark, sf_dir):
 def merge_conflicts(spark, sf_dir):
     """Keys that an append by error would name."""
     old, new = _t(spark, sf_dir, "region").select("r_regionkey", "r_name"), _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name"))
+    named = []
     try:
         merge.error(old, new, "r_regionkey", "r_name")
-        said = ""
     except merge.MergeConflict as e:
-        said = str(e)
-    return _t(spark, sf_dir, "region").select("r_regionkey", F.lit(said).contains(F.col("r_regionkey").cast("string")).alias("named"))
+        named = e.keys
+    both = merge.conflicts(old, new, "r_regionkey").select(F.col("r_regionkey").alias("both"))
+    met = old.join(both, F.col("r_regionkey") == F.col("both"), "left")
+    return met.select("r_regionkey", (F.col("both").isNotNull() & F.col("r_regionkey").isin(named)).alias("named"))
 
 
 def sqlite_product_cache(spark, sf_dir):

@@ -290,6 +290,18 @@ j AS (SELECT *, max(action) FILTER (event_id = ended) OVER (PARTITION BY user_id
 t AS (SELECT *, CASE WHEN life = 0 THEN '' WHEN event_id >= gone THEN 'deleted' WHEN event_id >= ended THEN CASE how WHEN 'complete' THEN 'completed' ELSE 'failed' END WHEN event_id >= begun THEN 'processing' ELSE 'pending' END AS status FROM j)"""
 
 SQL = {
+    "eval_synthetic": f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      o AS (SELECT vec_id, label, e FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+      c AS (SELECT *, '42|' || vec_id || '|' || g || '|' || sev AS k FROM o, (VALUES ('noise', 1), ('noise', 2), ('mask', 1), ('mask', 2)) AS x(g, sev)),
+      m AS (SELECT *, list_transform(e, lambda x, i: md5(k || '|' || (i - 1))) AS h FROM c),
+      u AS (SELECT *, list_transform(h, lambda d: (CAST('0x' || substr(d, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) AS a, list_transform(h, lambda d: (CAST('0x' || substr(d, 13, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) AS b FROM m),
+      d AS (SELECT vec_id, label, g, sev, list_transform(e, lambda x, i: CASE WHEN g = 'noise' THEN x + sqrt(-2 * ln(a[i])) * cos(2 * pi() * b[i]) * 0.05 * sev WHEN a[i] < 0.1 * sev THEN 0.0 ELSE x END) AS e FROM u),
+      n AS (SELECT vec_id, label, g, sev, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM d),
+      s AS (SELECT n.vec_id AS q, n.label AS truth, g, sev, v.label AS camera_id, v.vec_id AS row_id, list_dot_product(n.u, v.e) AS score FROM n CROSS JOIN v),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q, g, sev, camera_id ORDER BY score DESC, row_id) = 1),
+      r AS (SELECT *, row_number() OVER (PARTITION BY q, g, sev ORDER BY score DESC, camera_id, row_id) AS rank FROM b),
+      f AS (SELECT q, g, sev, min(rank) FILTER (camera_id = truth AND rank <= 5) AS found FROM r GROUP BY q, g, sev)
+      SELECT g AS "group", sev AS severity, count(*) AS n, count(*) FILTER (found = 1) AS top1_hits, count(*) FILTER (found <= 5) AS top5_hits, round_even(count(*) FILTER (found = 1) / count(*), 4) AS top1_rate, round_even(count(*) FILTER (found <= 5) / count(*), 4) AS top5_rate FROM f GROUP BY g, sev""",
     "eval_degraded": f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
       o AS (SELECT vec_id, label, e FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
       c AS (SELECT vec_id, label, sev, list_transform(e, lambda x, i: CASE WHEN i <= 8 * sev THEN 0.0 ELSE x END) AS e FROM o, (VALUES (1), (2)) AS g(sev)),
