@@ -81,7 +81,14 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float |
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = rows.withColumns({"shard": slot("row_id", shards), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     right = q.withColumns({"block": slot("query_id", blocks), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    kinds = {"query_id": q.schema["query_id"].dataType.simpleString(), "row_id": rows.schema["row_id"].dataType.simpleString(), "camera_id": rows.schema["camera_id"].dataType.simpleString()}
+    ranked = best(scored(left, right, k, collapse, exclude_self), k, collapse)
+    return ranked if threshold is None else ranked.where(F.col("score") >= threshold)
+
+
+def scored(left: DataFrame, right: DataFrame, k: int, collapse: bool, exclude_self: bool) -> DataFrame:
+    """query_id, camera_id, row_id, score: what each group of index rows (left) and queries (right) of equal shard and block
+    sends, its k best of each query."""
+    kinds = {"query_id": right.schema["query_id"].dataType.simpleString(), "row_id": left.schema["row_id"].dataType.simpleString(), "camera_id": left.schema["camera_id"].dataType.simpleString()}
 
     def score(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "camera_id", "row_id", "score"]
@@ -96,23 +103,26 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float |
         if exclude_self:
             scores[ids[:, None] == qids[None, :]] = -np.inf
         starts = np.flatnonzero(np.append(True, part["camera_id"].to_numpy()[1:] != part["camera_id"].to_numpy()[:-1])) if collapse else np.arange(len(part))
-        best = np.maximum.reduceat(scores, starts, axis=0)
-        first = np.where(scores == np.repeat(best, np.diff(np.append(starts, len(part))), axis=0), np.arange(len(part))[:, None], len(part))
+        highest = np.maximum.reduceat(scores, starts, axis=0)
+        first = np.where(scores == np.repeat(highest, np.diff(np.append(starts, len(part))), axis=0), np.arange(len(part))[:, None], len(part))
         where = np.minimum.reduceat(first, starts, axis=0)
         out = []
         for j, qid in enumerate(qids):
-            top = _top(best[:, j], min(k, len(starts)))
+            top = _top(highest[:, j], min(k, len(starts)))
             at = where[top, j]
-            out.append(pd.DataFrame({"query_id": qid, "camera_id": part["camera_id"].to_numpy()[at], "row_id": ids[at], "score": best[top, j]}))
+            out.append(pd.DataFrame({"query_id": qid, "camera_id": part["camera_id"].to_numpy()[at], "row_id": ids[at], "score": highest[top, j]}))
         return pd.concat(out)[names]
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, f"query_id {kinds['query_id']}, camera_id {kinds['camera_id']}, row_id {kinds['row_id']}, score double")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, f"query_id {kinds['query_id']}, camera_id {kinds['camera_id']}, row_id {kinds['row_id']}, score double")
+
+
+def best(found: DataFrame, k: int, collapse: bool) -> DataFrame:
+    """query_id, rank, camera_id, row_id, score of the k best of each query; with collapse, one row per product."""
     if collapse:
         order = Window.partitionBy("query_id", "camera_id").orderBy(F.desc("score"), "row_id")
         found = found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "camera_id", "row_id"))).where(F.col("rank") <= k)
-    kept = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
-    return kept.select("query_id", "rank", "camera_id", "row_id", "score")
+    return ranked.select("query_id", "rank", "camera_id", "row_id", "score")
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
