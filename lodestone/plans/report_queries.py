@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry
-from lodestone.operators import catalog, evaluation, identify, validation
+from lodestone.operators import catalog, evaluation, identify, merge, validation
 from lodestone.plans import more_queries, stream_queries
 from lodestone.sources import snapshots, tables
 from lodestone.sources.shared import scratch
@@ -82,9 +82,47 @@ def report_files(spark, sf_dir):
     return spark.read.json(f"{path}/json").join(lines, "lang")
 
 
-QUERIES = [validation_whole, eval_limited, eval_summary, identify_degenerate, identify_metadata, version_facts, report_files]
+def catalog_head(spark, sf_dir):
+    return catalog.head(_t(spark, sf_dir, "part"), 7, "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+def catalog_reloaded(spark, sf_dir):
+    """A cached table that grows on disk: rows seen before it is reloaded, and after."""
+    path, part = scratch(spark, "cached"), _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part.where("p_partkey % 2 = 0").write.parquet(path)
+    cached = tables.CachedTable(spark, path)
+    before = cached.df.groupBy("p_brand").agg(F.count("*").alias("n_before")).collect()  # a row for each brand
+    part.where("p_partkey % 2 = 1").write.mode("append").parquet(path)
+    after = cached.reload().groupBy("p_brand").agg(F.count("*").alias("n_after"))
+    return after.join(spark.createDataFrame(before, "p_brand string, n_before long"), "p_brand", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0).cast("long")))
+
+
+def merge_registered(spark, sf_dir):
+    """A strategy of one's own: of two rows with a key, the one with the longer name; and the message for an unknown one."""
+    key = F.col("p_partkey")
+    old = _t(spark, sf_dir, "part").where(key % 3 < 2).select(key.alias("camera_id"), F.col("p_name").alias("name"))
+    new = _t(spark, sf_dir, "part").where(key % 3 > 0).select(key.alias("camera_id"), F.col("p_type").alias("name"))
+    longest = F.max_by("name", F.struct(F.length("name"), F.col("name")))
+    merge.register("longest", lambda a, b, k, order: a.unionByName(b).groupBy(k).agg(longest.alias("name")))
+    try:
+        merged, _ = merge.merge(old, new, "camera_id", "name", "longest")
+    finally:
+        del merge.STRATEGIES["longest"]
+    try:
+        merge.merge(old, new, "camera_id", "name", "longest")
+        refused = ""
+    except ValueError as e:
+        refused = str(e)
+    return merged.withColumn("refused", F.lit(refused))
+
+
+QUERIES = [catalog_head, catalog_reloaded, merge_registered, validation_whole, eval_limited, eval_summary, identify_degenerate, identify_metadata, version_facts, report_files]
 
 SQL = {
+    "catalog_head": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 7",
+    "catalog_reloaded": "SELECT p_brand, count(*) FILTER (p_partkey % 2 = 0) AS n_before, count(*) AS n_after FROM part GROUP BY p_brand",
+    "merge_registered": """SELECT p_partkey AS camera_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 2 THEN p_type ELSE CASE WHEN (length(p_name), p_name) > (length(p_type), p_type) THEN p_name ELSE p_type END END AS name,
+      'unknown strategy ''longest''; there are [''error'', ''skip'', ''update'']' AS refused FROM part""",
     "validation_whole": """WITH c AS (SELECT count(*) AS total, count(*) FILTER (p_partkey % 4 <> 1) AS specs, count(*) FILTER (p_partkey % 6 = 0) AS missing,
         2 * count(*) FILTER (p_partkey % 10 = 0) - count(*) FILTER (p_partkey % 30 = 0) AS junk, count(*) FILTER (p_partkey % 5 <> 0) AS listed FROM part),
       n AS (SELECT *, missing + junk + CASE WHEN listed < total THEN 2 ELSE 0 END AS errors, CASE WHEN listed < total THEN 1 ELSE 0 END AS warnings FROM c)

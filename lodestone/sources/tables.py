@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import json
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ def parquet(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 class CachedTable:
-    """A table kept in memory until it is reloaded."""
+    """A table kept in memory until it is reloaded. What this session itself writes to its path, Spark takes in at once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._df = spark, path, None
@@ -174,15 +175,15 @@ def _converted(value, kind: T.DataType):
         return None
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def files(spark: SparkSession, root: str, pattern: str = "*", opened: Callable[[str], BinaryIO] | None = None) -> DataFrame:
     """path (relative to root), size and head (first 4 bytes) of all files below root. Spark's listing passes over
     empty files, so checks find these missing.
 
-    The listing reads no contents. Four bytes of each file are read where Arrow knows the file system; where it
-    doesn't, files are read by Spark, of which only the head leaves the scan.
+    The listing reads no contents. Four bytes of each file are read through opened, which opens a listed path in a task, or by
+    Arrow where it knows the file system; with neither, files are read whole by Spark, of which only the head leaves the scan.
     """
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    listed = with_heads(source.select("path", "length")) if _scheme(spark, root) in ARROW_SCHEMES else source.select("path", "length", F.substring("content", 1, 4).alias("head"))
+    listed = with_heads(source.select("path", "length"), opened or arrow_opened) if opened or _scheme(spark, root) in ARROW_SCHEMES else source.select("path", "length", F.substring("content", 1, 4).alias("head"))
     base = F.regexp_replace(F.lit(root), "^[a-z]+:/*|/+$", "")
     relative = F.ltrim(F.element_at(F.split("path", F.concat(F.lit("\\Q"), base, F.lit("\\E")), 2), -1), F.lit("/"))
     return listed.select(relative.alias("path"), F.col("length").alias("size"), "head")
@@ -197,16 +198,20 @@ def _scheme(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
 
 
-def with_heads(listed: DataFrame) -> DataFrame:
+def arrow_opened(path: str) -> BinaryIO:
+    local = path.startswith("file:")
+    fs, name = (pafs.LocalFileSystem(), unquote(urlparse(path).path)) if local else pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def with_heads(listed: DataFrame, opened: Callable[[str], BinaryIO] = arrow_opened) -> DataFrame:
     """path, length and head, the first four bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = []
             for path in batch.column("path").to_pylist():
-                local = path.startswith("file:")
-                fs, name = (pafs.LocalFileSystem(), unquote(urlparse(path).path)) if local else pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(name) as data:
+                with opened(path) as data:
                     heads.append(data.read(4))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["path", "length", "head"])
 

@@ -224,3 +224,29 @@ def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
     assert tables.sqlite(spark, paths, "none_yet").count() == 0
     with pytest.raises(Exception, match="no table"):
         tables.sqlite(spark, paths, "absent").collect()
+
+
+def test_heads_through_an_opener_of_ones_own(spark, tmp_path):
+    """Of a file of any size, four bytes are asked for."""
+    (tmp_path / "f").mkdir()
+    (tmp_path / "asked").mkdir()
+    sizes, asked = {"small.pdf": 10, "large.pdf": 3_000_000}, str(tmp_path / "asked")
+    for name, size in sizes.items():
+        (tmp_path / "f" / name).write_bytes(b"%PDF".ljust(size, b"."))
+
+    def opened(path):
+        import io
+        import os
+
+        class Counted(io.FileIO):
+            def read(self, n=-1):
+                with open(os.path.join(asked, os.path.basename(path)), "a") as log:
+                    log.write(f"{n},")
+                return super().read(n)
+
+        return Counted(path.removeprefix("file:"))
+
+    got = {r.path: (r["size"], bytes(r["head"])) for r in tables.files(spark, str(tmp_path / "f"), opened=opened).collect()}
+    assert got == {name: (size, b"%PDF") for name, size in sizes.items()}
+    for name in sizes:
+        assert set((tmp_path / "asked" / name).read_text().split(",")) == {"4", ""}
