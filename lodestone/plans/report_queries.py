@@ -74,6 +74,19 @@ def version_facts(spark, sf_dir):
     return spark.createDataFrame(rows, "version long, parent_version long, append_mode boolean, record_count long, records_added long, records_updated long")
 
 
+def version_manifests(spark, sf_dir):
+    """Three versions, of whose manifests the first has all parts, the second the same dealt anew, and the third all but the
+    last: whether their hashes are that of the first."""
+    part, store = _t(spark, sf_dir, "part"), snapshots.Snapshots(spark, scratch(spark, "manifests"))
+    documents = part.select("p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_type")).alias("json"))
+    last = documents.agg(F.max("p_partkey").alias("last"))
+    fewer = documents.join(last, F.col("p_partkey") == F.col("last"), "left_anti")
+    rows = part.select("p_partkey").limit(1)
+    hashes = [store.create(rows, manifest=d.select("json")).manifest_hash for d in (documents, documents.repartition(7, "json"), fewer)]
+    told = spark.createDataFrame([(n + 1, h == hashes[0]) for n, h in enumerate(hashes)], "version long, same boolean")
+    return told.crossJoin(documents.agg(F.count("*").alias("n_documents")))  # one row
+
+
 def report_files(spark, sf_dir):
     """A small report written as JSON and CSV, and both read again."""
     path = scratch(spark, "report")
@@ -116,7 +129,7 @@ def merge_registered(spark, sf_dir):
     return merged.withColumn("refused", F.lit(refused))
 
 
-QUERIES = [catalog_head, catalog_reloaded, merge_registered, validation_whole, eval_limited, eval_summary, identify_degenerate, identify_metadata, version_facts, report_files]
+QUERIES = [catalog_head, catalog_reloaded, merge_registered, validation_whole, eval_limited, eval_summary, identify_degenerate, identify_metadata, version_facts, version_manifests, report_files]
 
 SQL = {
     "catalog_head": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 7",
@@ -148,5 +161,6 @@ SQL = {
     "version_facts": """WITH c AS (SELECT count(*) FILTER (n_nationkey < 10) AS a, count(*) AS b, count(*) FILTER (n_nationkey >= 10) AS fresh, count(*) FILTER (n_nationkey BETWEEN 5 AND 9) AS met FROM nation)
       SELECT CAST(1 AS BIGINT) AS version, CAST(0 AS BIGINT) AS parent_version, false AS append_mode, a AS record_count, CAST(0 AS BIGINT) AS records_added, CAST(0 AS BIGINT) AS records_updated FROM c
       UNION ALL SELECT 2, 1, true, b, fresh, met FROM c""",
+    "version_manifests": "SELECT CAST(v AS BIGINT) AS version, v < 3 AS same, (SELECT count(*) FROM part) AS n_documents FROM (VALUES (1), (2), (3)) AS t(v)",
     "report_files": "SELECT lang, count(*) AS n, count(*) AS csv_n FROM documents WHERE lang IS NOT NULL GROUP BY lang",
 }
