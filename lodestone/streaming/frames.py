@@ -6,15 +6,19 @@ one last call, in which its state is removed. Without one, their state is kept f
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream of Parquet files of a folder; naive times become UTC instants, which watermarks need."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream of Parquet files of a folder; naive times become UTC instants, which watermarks need. Batches take files
+    by their time of change; with None, one batch has all that there are, so that no order of files matters."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    raw = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
     return raw.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
@@ -57,14 +61,13 @@ def running_counters(events: DataFrame, key: str, idle_seconds: int | None = Non
     if idle_seconds is None:
         return events.groupBy(key).agg(F.count("*").alias("received"), F.max("ts").alias("last_activity"))
 
-    def step(group, batches, state: GroupState):
+    def step(group, pdf, state: GroupState):
         received, last = state.get if state.exists else (0, 0)
         if state.hasTimedOut:
             state.remove()
             return
-        for pdf in batches:
-            pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
-            received, last = len(pdf) + (0 if again else received), max(last, int(pdf["__ms"].max()))
+        pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
+        received, last = len(pdf) + (0 if again else received), max(last, int(pdf["__ms"].max()))
         state.update((received, last))
         _until(state, last + idle_seconds * 1000)
         yield pd.DataFrame({key: [group[0]], "received": [received], "last_ms": [last]})
@@ -87,11 +90,21 @@ def _until(state: GroupState, ms: int) -> None:
 
 
 def _stepped(events: DataFrame, key: str, columns: list[str], time: str | None, late: str, step, out: str, kept: str) -> DataFrame:
-    """step over each key's new events, with __ms, their time in milliseconds, and timeouts by it if there is a time column."""
+    """step over each key's new events, with __ms, their time in milliseconds, and timeouts by it if there is a time column.
+
+    A batch's events of a key come in any number of Arrow pieces and, after a shuffle, in any order, so step gets them
+    all at once, but for the key: some tens of bytes for each event of one key in one batch.
+    """
     kind = events.schema[key].dataType.simpleString()
     wanted = list(dict.fromkeys([key, *columns, *([time] if time else [])]))
     timed = events.withWatermark(time, late).select(*wanted, F.unix_millis(time).alias("__ms")) if time else events.select(*wanted)
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {out}", kept, "update", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
+    needed = [*dict.fromkeys(columns), *(["__ms"] if time else [])]
+
+    def whole(group, pieces, state: GroupState):
+        pdf = None if state.hasTimedOut else pd.concat([p[needed] for p in pieces], ignore_index=True)
+        yield from step(group, pdf, state)
+
+    return timed.groupBy(key).applyInPandasWithState(whole, f"{key} {kind}, {out}", kept, "update", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def first_seen(events: DataFrame, key: str, ts: str, every_seconds: int = 86_400, late: str = "1 day") -> DataFrame:
@@ -113,7 +126,7 @@ def timely(frames: DataFrame, sent: str, arrived: str, limit: str = "5 seconds")
 
 def task_states(events: DataFrame, key: str, action: str, order: str, time: str | None = None, keep_minutes: int = 15, late: str = "1 day") -> DataFrame:
     """Per task after each batch: status, and how many events were refused. The state of a task is its status; the
-    events of a batch are taken in order, and those that the status doesn't allow are refused, as in
+    events of a batch are taken in order, whatever order they come in, and those that the status doesn't allow are refused, as in
     operators.frames.task_transitions(). The state is three values, whatever a task has been through.
 
     With a time column a task that is completed, failed or deleted is forgotten keep_minutes after that, and its last
@@ -121,25 +134,24 @@ def task_states(events: DataFrame, key: str, action: str, order: str, time: str
     """
     allowed = {"start": ("pending", "processing"), "update": ("processing", "processing"), "complete": ("processing", "completed"), "fail": ("processing", "failed")}
 
-    def step(group, batches, state: GroupState):
+    def step(group, pdf, state: GroupState):
         status, refused, since = state.get if state.exists else (None, 0, 0)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({key: [group[0]], "status": ["expired"], "refused": [refused]})
             return
-        for pdf in batches:
-            pdf = pdf.sort_values(order, kind="stable")
-            for what, ms in zip(pdf[action], pdf["__ms"] if time else [0] * len(pdf)):
-                before = status
-                if what == "create":
-                    status = "pending"
-                elif what == "delete" and status not in (None, "deleted"):
-                    status = "deleted"
-                elif what in allowed and status == allowed[what][0]:
-                    status = allowed[what][1]
-                else:
-                    refused += 1
-                since = int(ms) if status != before else since
+        pdf = pdf.sort_values(order, kind="stable")
+        for what, ms in zip(pdf[action], pdf["__ms"] if time else itertools.repeat(0)):
+            before = status
+            if what == "create":
+                status = "pending"
+            elif what == "delete" and status not in (None, "deleted"):
+                status = "deleted"
+            elif what in allowed and status == allowed[what][0]:
+                status = allowed[what][1]
+            else:
+                refused += 1
+            since = int(ms) if status != before else since
         state.update((status, refused, since))
         if time and status in ("completed", "failed", "deleted"):
             _until(state, since + keep_minutes * 60_000)
@@ -157,18 +169,17 @@ def bounded_buffer(frames: DataFrame, key: str, order: str, capacity: int = 10,
     drops its oldest, holds. The state is never more than the capacity; frames of a batch come sorted. With a
     time column the buffer of a key that has been idle for longer than idle_seconds is forgotten."""
 
-    def step(group, batches, state: GroupState):
+    def step(group, pdf, state: GroupState):
         received, kept, last = state.get if state.exists else (0, [], 0)
         if state.hasTimedOut:
             state.remove()
             return
         kept = list(kept)
-        for pdf in batches:
-            if time:
-                pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
-                received, kept, last = (0, [], int(pdf["__ms"].max())) if again else (received, kept, max(last, int(pdf["__ms"].max())))
-            received += len(pdf)
-            kept = sorted([*kept, *pdf[order].tolist()])[-capacity:]
+        if time:
+            pdf, again = _since_idle(pdf, last if received else None, idle_seconds)
+            received, kept, last = (0, [], int(pdf["__ms"].max())) if again else (received, kept, max(last, int(pdf["__ms"].max())))
+        received += len(pdf)
+        kept = sorted([*kept, *pdf[order].tolist()])[-capacity:]
         state.update((received, kept, last))
         if time:
             _until(state, last + idle_seconds * 1000)

@@ -3,11 +3,13 @@ import pathlib
 import time
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import __spark_entry__
+from lodestone.plans import stream_queries
 from lodestone.sources import shared
 from lodestone.streaming import frames as streams
 
@@ -92,6 +94,31 @@ def test_task_states_follow_batches(spark, tmp_path):
     assert [(r.status, r.refused) for r in every] == [("pending", 1), ("processing", 2), ("completed", 3), ("deleted", 4), ("pending", 4)]
 
 
+def reversed_events(spark, folder, files):
+    """events.parquet of six tasks and 1,000 hours, its files and their rows written last first."""
+    rows = spark.range(1000).selectExpr("(id * 7 + id % 13) event_id", "id % 6 user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) ts", "id")
+    for i in reversed(range(files)):
+        part = rows.where(F.floor(F.col("id") * files / 1000) == i).drop("id")
+        part.coalesce(1).sortWithinPartitions(F.desc("event_id")).write.mode("append").parquet(f"{folder}/events.parquet")
+        time.sleep(1.1 if files > 1 else 0)
+    every = duckdb.connect()
+    every.execute("SET timezone = 'UTC'")
+    every.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/part-*.parquet'")
+    return every
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_task_states_in_any_order_of_rows_pieces_and_files(spark, tmp_path, files):
+    every = reversed_events(spark, str(tmp_path), files)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # so that a task's events come in pieces
+    try:
+        got = stream_queries.stream_task_states(spark, str(tmp_path)).orderBy("user_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in got] == every.execute(stream_queries.SQL["stream_task_states"] + " ORDER BY user_id").fetchall()
+
+
 def progress_of(df, tmp_path):
     """Rows of state after each batch, and what was written."""
     out = []
