@@ -173,3 +173,15 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared.scratch(Session("local[2]"), "a").rsplit("/", 2)[0] == shared.scratch(Session("local[2]"), "b").rsplit("/", 2)[0]
     with pytest.raises(ValueError, match="share"):
         shared.scratch(Session("yarn"), "a")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tasks_kept_in_any_order_of_rows_pieces_and_files(spark, tmp_path, files):
+    every = reversed_events(spark, str(tmp_path), files)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = stream_queries.stream_tasks_kept(spark, str(tmp_path)).orderBy("user_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in got] == every.execute(stream_queries.SQL["stream_tasks_kept"] + " ORDER BY user_id").fetchall()
