@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Window
@@ -230,3 +232,32 @@ def test_equal_vectors_send_k_rows(spark):
     assert [r.camera_id for r in got] == [f"c0{i}" for i in range(5)]
     raw = vectors.search(asked(spark, [1, 0]), rows, k=5, collapse=False).collect()
     assert {r.camera_id for r in raw} == {"c00"} and len(raw) == 5
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+def test_a_block_of_queries_needs_bounded_memory(collapse):
+    rng = np.random.default_rng(5)
+    part = pd.DataFrame({"row_id": np.arange(16384), "camera_id": np.arange(16384) % 9, "embedding": list(unit(rng.normal(size=(16384, 8))))})
+    block = pd.DataFrame({"query_id": np.arange(1024), "embedding": list(rng.normal(size=(1024, 8)))})
+    part.at[900, "embedding"] = part.at[9, "embedding"]  # of the same product
+    block.at[3, "embedding"] = part.at[9, "embedding"] * 100
+    tracemalloc.start()
+    got = vectors._block_best(part, block, 5, collapse, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # all scores would be 134 MB, more than once
+    scores = np.array(block["embedding"].tolist()) @ np.array(part["embedding"].tolist()).T
+    for j in (0, 511, 1023):
+        best = np.argsort(-scores[j], kind="stable")
+        best = list(dict.fromkeys(i % 9 for i in best))[:5] if collapse else best[:5]
+        mine = got[got["query_id"] == j]
+        assert (mine["camera_id"] if collapse else mine["row_id"]).tolist() == list(best)
+    assert got[got["query_id"] == 3]["row_id"].tolist()[0] == 9
+
+
+def test_equal_vectors_have_equal_scores_wherever_they_are():
+    v = np.random.default_rng(8).normal(size=61)
+    part = pd.DataFrame({"row_id": np.arange(5003), "camera_id": "c", "embedding": [v] * 5003})
+    block = pd.DataFrame({"query_id": np.arange(7), "embedding": list(np.random.default_rng(9).normal(size=(7, 61)))})
+    got = vectors._block_best(part, block, 4, False, True)
+    assert [got[got["query_id"] == j]["row_id"].tolist() for j in (0, 2, 6)] == [[1, 2, 3, 4], [0, 1, 3, 4], [0, 1, 2, 3]]
