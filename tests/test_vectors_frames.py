@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry
+from lodestone.functions import vectors as V
 from lodestone.operators import evaluation, frames, vectors
 
 INDEX = "row_id long, camera_id string, image_path string, embedding array<float>"
@@ -261,3 +262,19 @@ def test_equal_vectors_have_equal_scores_wherever_they_are():
     block = pd.DataFrame({"query_id": np.arange(7), "embedding": list(np.random.default_rng(9).normal(size=(7, 61)))})
     got = vectors._block_best(part, block, 4, False, True)
     assert [got[got["query_id"] == j]["row_id"].tolist() for j in (0, 2, 6)] == [[1, 2, 3, 4], [0, 1, 3, 4], [0, 1, 2, 3]]
+
+
+@pytest.mark.parametrize("scaled", [V.unit, V.unit_or_zero])
+def test_a_vector_is_measured_once_and_not_for_each_component(spark, scaled):
+    """Within a lambda, lengths and differences would be computed for each component: 64 times as long for 64 of them."""
+    rows = spark.createDataFrame([(1, [3.0, 0.0, 4.0]), (2, None)], "id long, v array<double>")
+    found = rows.withColumn("u", scaled(V.minus(F.col("v"), F.array(*[F.lit(0.0)] * 3))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("zip_with(") == 1
+    assert [r.u for r in found.orderBy("id").collect()] == [[0.6, 0.0, 0.8], None]
+    zero = rows.select(scaled(F.array(F.lit(0.0), F.lit(0.0))).alias("u"))
+    if scaled is V.unit:
+        with pytest.raises(PySparkException, match="zero norm"):
+            zero.collect()
+    else:
+        assert zero.first().u == [0.0, 0.0]
