@@ -79,6 +79,17 @@ def test_pages_made_of_a_small_file_are_parsed_by_many_tasks(spark, tmp_path, qu
     assert found.where("url like '%1'").select(F.spark_partition_id()).distinct().count() >= 4
 
 
+def test_products_of_pages_are_listed_in_one_pass(spark):
+    """Pages that share a url keep their own links, and each page is made and parsed once, without a join."""
+    card = '<h3>Products within</h3><div class="nav-card__coll">{}</div>'
+    one, two = ('<a class="nav-card" href="/p/%d"><h4>n</h4></a>' % i for i in (1, 2))
+    pages = spark.createDataFrame([("/s", card.format(one)), ("/s", card.format(one + two)), ("/q", card.format("")), (None, None)], "url string, html string")
+    found = html.product_links(pages)
+    assert sorted(map(tuple, found.where("url is not null").collect())) == [("/q", 0, "/q"), ("/s", 0, "/p/1"), ("/s", 0, "/p/1"), ("/s", 1, "/p/2")]
+    assert [tuple(r) for r in found.where("url is null").collect()] == [(None, 0, None)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_caches(spark):
     known = spark.createDataFrame([("u1", 1)], "url string, n long")
     new = spark.createDataFrame([("u1", 5), ("u2", 7), ("u2", 6)], "url string, n long")
