@@ -185,3 +185,12 @@ def test_tasks_kept_in_any_order_of_rows_pieces_and_files(spark, tmp_path, files
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [tuple(r) for r in got] == every.execute(stream_queries.SQL["stream_tasks_kept"] + " ORDER BY user_id").fetchall()
+
+
+@pytest.mark.parametrize("query", ["stream_tasks_kept", "stream_task_states", "stream_dedup", "stream_first_seen_daily", "stream_running_counters"])
+def test_streams_take_their_own_files_only_and_in_any_order(spark, tmp_path, query):
+    """Other tables are folders too, whose files have like names; and the newest events come first, a file each time."""
+    every = reversed_events(spark, str(tmp_path), 3)
+    spark.range(40).selectExpr("id doc_id", "id user_id", "'x' text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = getattr(stream_queries, query)(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(every.execute(stream_queries.SQL[query]).fetchall())
