@@ -278,3 +278,21 @@ def test_a_vector_is_measured_once_and_not_for_each_component(spark, scaled):
             zero.collect()
     else:
         assert zero.first().u == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("query", ["identify_fixed", "vec_topk_collapsed", "eval_probe"])
+def test_searches_of_products_need_bounded_memory_with_any_ids(query):
+    """Ids as each query has them: text for boxes, numbers, text for probes and rows."""
+    rng = np.random.default_rng(6)
+    text = lambda ids: ids.astype(str).astype(object)
+    rows, asks = np.arange(16384), np.arange(1024)
+    part = pd.DataFrame({"row_id": text(rows) if query == "eval_probe" else rows, "camera_id": text(rows % 9) if query == "eval_probe" else rows % 9, "embedding": list(unit(rng.normal(size=(16384, 8))))})
+    block = pd.DataFrame({"query_id": asks if query == "vec_topk_collapsed" else text(asks), "embedding": list(rng.normal(size=(1024, 8)))})
+    tracemalloc.start()
+    got = vectors._block_best(part, block, 3, True, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6 and len(got) == 3 * 1024
+    best = pd.Series(np.array(part["embedding"].tolist()) @ block["embedding"][7]).groupby(part["camera_id"]).max().nlargest(3)
+    mine = got[got["query_id"].astype(str) == "7"]
+    assert mine["camera_id"].tolist() == best.index.tolist() and np.allclose(mine["score"], best)
